@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, sharding, simhash
+from . import bpe, decontamination, secrets, sharding, simhash
 from .common import table
 
 
@@ -33,8 +33,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_simhash, op8_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_simhash, op8_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
