@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, secrets, sharding, simhash
+from . import bpe, decontamination, html, secrets, sharding, simhash
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_simhash, op8_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op5_simhash, op8_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
