@@ -235,7 +235,8 @@ def blocks(spark: SparkSession, benchmark: DataFrame, item: str = "item_id", tex
     def run(batches):
         for batch in batches:
             found = windows(zip(batch["item"], batch["text"], strict=True), width)
-            yield pd.DataFrame({"window": [np.array(w, np.uint64).view(np.int64) for w, _ in found], "items": [i for _, i in found]})
+            if found:
+                yield pd.DataFrame({"window": [np.array(w, np.uint64).view(np.int64) for w, _ in found], "items": [i for _, i in found]})
 
     slim = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), text_or_empty(text).alias("text"))
     each = slim.mapInPandas(run, kind).groupBy("window").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
