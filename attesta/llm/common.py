@@ -26,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder, in a few files for each core of the cluster."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    return df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

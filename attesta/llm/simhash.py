@@ -115,7 +115,7 @@ def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     null key take part, but null is a component's id only where it has no other key. Repeated rows stay.
     """
     own = written(docs.select(F.col(key), fingerprints(text_or_empty(text), words).alias("fp")), "fingerprints")
-    least = checkpointed(own.groupBy("fp").agg(F.min(key).alias("least")))
+    least = own.groupBy("fp").agg(F.min(key).alias("least"))
     linked = checkpointed(edges(least.select("fp"), threshold))
     root = components(linked, "x", "y").withColumnRenamed("x", "fp")
     labelled = least.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
