@@ -149,8 +149,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
     """`docs` with every reported span, overlapping ones merged, replaced by `mask` in the text; texts without spans stay as they are, nulls included."""
-    columns = docs.columns
-    found = scanned(docs, text)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).cast("string").alias("text"))
+    found = scanned(held, spread="text")
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def joined(done: Column, s: Column) -> Column:
@@ -160,8 +160,8 @@ def masked(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
         return F.when(s["start"] < end, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), put(start, F.greatest(end, s["end"])))).otherwise(F.concat(done, put(s["start"], s["end"])))
 
     flat = found.withColumn("_merged", F.aggregate("_spans", none, joined))
-    m, t = F.col("_merged"), F.col(text)
+    m, t = F.col("_merged"), F.col("text")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(m, i)["end"])
     stop = lambda i: F.coalesce(F.try_element_at(m, i + 1)["start"], F.length(t))
     kept = F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.substring(t, start(i) + 1, stop(i) - start(i)))
-    return flat.withColumn(text, F.when(F.size(m) > 0, F.array_join(kept, mask)).otherwise(t)).select(*columns)
+    return flat.select(F.col("row").withField(f"`{text}`", F.when(F.size(m) > 0, F.array_join(kept, mask)).otherwise(t)).alias("row")).select("row.*")

@@ -321,4 +321,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that score below the threshold, unchanged."""
     model = learned(docs, labels, text=text)
-    return docs.withColumn("_score", scores(text_or_empty(text), model, docs.sparkSession)).where(F.col("_score") < THRESHOLD).drop("_score")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), scores(text_or_empty(text), model, docs.sparkSession).alias("score"))
+    return held.where(F.col("score") < THRESHOLD).select("row.*")
