@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html, secrets, sharding, simhash, topk, toxicity
+from . import bpe, decontamination, html, repeats, secrets, sharding, simhash, topk, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.report(table(spark, sf_dir, "pages"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op5_simhash, op6_topk, op8_sharding, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op8_sharding, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
