@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html, repeats, secrets, sharding, simhash, topk, toxicity
+from . import bpe, decontamination, html, quality, repeats, secrets, sharding, simhash, topk, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op8_sharding, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op7_kneser_ney, op8_sharding, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
