@@ -33,7 +33,7 @@ UNSETTLED = 3
 #: Characters read at once, and the length from which a piece that reaches the buffer's end is streamed.
 CHUNK, OPEN = 1 << 16, 1 << 12
 #: Pieces remembered in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 RUNS = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"\p{White_Space}*"), "P": regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")}
 

@@ -33,7 +33,7 @@ WINDOWS = 200_000
 #: Every so many suffix positions one is kept for locating.
 SAMPLE = 8
 #: Bytes of text in a shard.
-SHARD = 4 << 20
+SHARD = 1 << 20
 
 _word_byte = np.zeros(256, bool)
 _word_byte[ord("0") : ord("9") + 1] = _word_byte[ord("a") : ord("z") + 1] = _word_byte[128:] = True

@@ -33,7 +33,7 @@ from .suffixes import repeated
 
 LENGTH, ANCHOR = 400, 64
 #: Bytes of text looked at together (positions fit 24 bits), bytes of a shard's suffix array, and segments of a class.
-SLAB, SHARD, CLASS = 6 << 20, 3 << 20, 512
+SLAB, SHARD, CLASS = 1 << 20, 2 << 20, 512
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -56,7 +56,7 @@ def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
         # A text too long for a slab is read in parts that share all but one byte of a window.
         for at in range(0, max(1, len(text) - length + 1), SLAB - length):
             if len(text) - at >= length:
-                parts.append((t, at, text[at : at + SLAB - 1] if len(text) > SLAB else text))
+                parts.append((t, at, text[at : at + SLAB - 1]))
     for low, high in words.pieces([p for _, _, p in parts], SLAB):
         mine = [p for _, _, p in parts[low:high]]
         data, begin = words.joined(mine, 0)

@@ -133,7 +133,7 @@ class Model:
 class Reader:
     """Features of texts under a lexicon; remembers which words have no hit."""
 
-    def __init__(self, terms: dict[str, tuple[float, float]], remembered: int = 400_000):
+    def __init__(self, terms: dict[str, tuple[float, float]], remembered: int = 150_000):
         self.automaton = Automaton(terms)
         self.known: dict[str, tuple | None] = {}
         self.remembered = remembered
@@ -211,7 +211,7 @@ def counted(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
             for text in batch["text"]:
                 terms = candidate_terms(text)
                 seen.update(terms if told.value is None else terms & told.value)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
                 seen.clear()
         if seen:
