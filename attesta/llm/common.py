@@ -34,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder, in a few files for each core of the cluster."""
+def checkpointed(df: DataFrame, files: int = 4) -> DataFrame:
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder, in `files` files for each core of the cluster, or fewer."""
     spark = df.sparkSession
     shared_dir(spark)
-    return df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    return df.coalesce(max(12 * files, files * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

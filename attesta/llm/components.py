@@ -37,7 +37,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     state = None
     while True:
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now)), files=1)
         # The sum of the rows' hashes tells one set of edges from another.
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if told == state:
