@@ -73,7 +73,8 @@ def bonus(quality: Column) -> Column:
 
 
 def adjusted(base: Column, quality: Column) -> Column:
-    return F.least(base + bonus(quality), F.lit(100.0))
+    """The score with its bonus, 100 at most, with two decimals."""
+    return F.round(F.least(base + bonus(quality), F.lit(100.0)), 2)
 
 
 def classified(s: Column) -> Column:

@@ -106,7 +106,7 @@ def alias_best_match(spark, d):
 QUALITY_SQL = "case length(b) % 3 when 0 then 'good' when 1 then 'low' else 'unclassified' end"
 
 
-@query(PAIRS_SQL + f", q as (select a, b, score as base_score, {QUALITY_SQL} as quality from c), r as (select *, least(base_score + case quality when 'good' then 10 when 'low' then 5 else 0 end, 100) as score from q) select a, b, base_score, quality, score, case when score >= 95 then 'CONFIRMED' when score >= 80 then 'LIKELY' else 'POTENTIAL' end as class from r where score >= 60")
+@query(PAIRS_SQL + f", q as (select a, b, score as base_score, {QUALITY_SQL} as quality from c), r as (select *, round(least(base_score + case quality when 'good' then 10 when 'low' then 5 else 0 end, 100), 2) as score from q) select a, b, base_score, quality, score, case when score >= 95 then 'CONFIRMED' when score >= 80 then 'LIKELY' else 'POTENTIAL' end as class from r where score >= 60")
 def alias_quality_adjust(spark, d):
     n = part_names(spark, d)
     quality = F.when(F.length("b") % 3 == 0, "good").when(F.length("b") % 3 == 1, "low").otherwise("unclassified")
