@@ -31,9 +31,9 @@ from . import words
 from .common import text_or_empty, written
 from .suffixes import repeated
 
-LENGTH, ANCHOR = 400, 64
+LENGTH, ANCHOR = 400, 128
 #: Bytes of text looked at together (positions fit 24 bits), bytes of a shard's suffix array, and segments of a class.
-SLAB, SHARD, CLASS = 1 << 20, 2 << 20, 512
+SLAB, SHARD, CLASS = 1 << 20, 1 << 20, 64
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -101,7 +101,7 @@ def as_rows(spans) -> list[dict]:
 
 
 def key(text: Column) -> Column:
-    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+    return F.unhex(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 24))
 
 
 def emitted(docs: DataFrame, length: int) -> DataFrame:
@@ -117,7 +117,7 @@ def emitted(docs: DataFrame, length: int) -> DataFrame:
             known: dict[int, list] = {}
             for t, start, size, anchor, data in segments(texts, length):
                 here = (t, start, size + length - 1)
-                held = seen.get(name := (anchor, blake2b(data, digest_size=16).digest()))
+                held = seen.get(name := (anchor, blake2b(data, digest_size=12).digest()))
                 if held is None:
                     seen[name] = [here, times[t]]
                 else:
@@ -171,7 +171,7 @@ def counted(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [(blake2b(d[i : i + length], digest_size=16).digest(), seg, i, n) for seg, n, d in zip(batch["seg"], batch["n"], batch["data"], strict=True) for i in range(len(d) - length + 1)]
+            out = [(blake2b(d[i : i + length], digest_size=12).digest(), seg, i, n) for seg, n, d in zip(batch["seg"], batch["n"], batch["data"], strict=True) for i in range(len(d) - length + 1)]
             if out:
                 yield pd.DataFrame(out, columns=["window", "seg", "at", "n"])
 
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     t = text_or_empty(text)
     slim = docs.select(key(t).alias("key"), t.alias("text")).where(F.octet_length("text") >= length)
     raw = written(emitted(slim, length), "segments")
-    places = raw.where("anchor is not null").groupBy("anchor", "seg", "key", "start", "size").agg(F.sum("n").alias("n"))
+    places = raw.where("anchor is not null")
     known = raw.where("anchor is null").select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.end")
     each = places.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
     each = written(each, "distinct")

@@ -80,7 +80,7 @@ def doubled(s: np.ndarray) -> np.ndarray:
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """The order of all suffixes of a string whose last symbol is 0 and occurs nowhere else."""
-    if symbols > max(4096, len(s) // 16):
+    if symbols > max(512, len(s) // 512):  # buckets too small to be worth an array each
         return doubled(s)
     s = s.astype(np.uint16 if symbols <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
     smaller = classes(s)
