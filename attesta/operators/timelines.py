@@ -54,5 +54,6 @@ def shared_lines(df: DataFrame, key: str, text: str, least_length: int = 20) ->
 
 
 def correlated(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Pearson correlation of two measures in each group, to 6 decimals."""
-    return df.groupBy(by).agg(F.round(F.corr(x, y), 6).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    """Pearson correlation of two measures in each group, to 6 decimals; null where one doesn't vary."""
+    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return df.groupBy(by).agg(F.round(value, 6).alias("correlation"), F.count(F.lit(1)).alias("n"))

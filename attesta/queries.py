@@ -445,7 +445,7 @@ def shared_narrative(spark, d):
     return timelines.shared_lines(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query("select lang, round(corr(n_chars, quality), 6) as correlation, count(*) as n from documents join labels using (doc_id) group by lang")
+@query("select lang, round(covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0), 6) as correlation, count(*) as n from documents join labels using (doc_id) group by lang")
 def discourse_correlation(spark, d):
     both = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
     return timelines.correlated(both, "lang", "n_chars", "quality")
