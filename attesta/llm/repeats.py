@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     t = text_or_empty(text)
     slim = docs.select(key(t).alias("key"), t.alias("text")).where(F.octet_length("text") >= length)
     raw = written(emitted(slim, length), "segments")
-    places = raw.where("anchor is not null")
+    places = raw.where("anchor is not null").drop("spans")
     known = raw.where("anchor is null").select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.end")
     each = places.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
     each = written(each, "distinct")
