@@ -1,12 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints are compared only where they meet at an anchor. The anchors are the words of the [31, 26] Hamming
-code, a perfect covering code of radius 1, laid once over the lower and once over the upper half of the
-fingerprint (31 bits of each). Two fingerprints that differ in 2 bits or fewer differ in at most 1 bit in one of
-the halves. There, the nearest anchor of the one (its home, at distance 1 or less) is within radius + 1 = 2 of
-the other. So each fingerprint goes to its home and is replicated to every anchor within distance 2: 16 or, at an
-anchor, 1 (the next ones are 3 away) per half. Homes meet replicas at equal anchors, so every link is found, and no
-other fingerprints are compared. A half has 2^26 anchors, so an anchor meets few fingerprints that aren't close.
+Fingerprints are compared only where they meet at an anchor. The 64 bits are read in parts, and the anchors of a
+part are the words of a Hamming code: [31, 26] for two parts, [21, 16] for three. Fingerprints that differ in
+2 * parts - 1 bits or fewer differ in at most one bit of some part. There the nearest anchor of the one (its home,
+within the covering radius) is the home of a point at distance 1 or less of the other. So each fingerprint goes to
+its home and is replicated to the homes of all points at distance 1 or less, which are the anchors within covering
+radius plus one that such a partner can have: 16 at most of two parts, 22 of three. Homes meet replicas at equal
+anchors, so every link is found. A part has 2^26 or 2^16 anchors, so few other fingerprints meet.
 
 Equal fingerprints are one node, so copies never form pairs.
 """
@@ -25,9 +25,8 @@ from .common import checkpointed, text_or_empty, written
 from .components import components
 
 SEED = 42
-#: Bits in which linked fingerprints may differ. The anchors above cover 2; other values need other codes.
-THRESHOLD = 2
-LENGTH = 31
+#: Bits in which linked fingerprints may differ: of the contract, and of the deduplication by five-word shingles.
+THRESHOLD, LOOSE = 2, 5
 #: Shingles hashed at once, so that a long text needs bounded memory.
 BLOCK = 1 << 18
 
@@ -64,43 +63,40 @@ def fingerprints(text: Column, words: int = 3) -> Column:
     return of(text)
 
 
-def syndrome(half: Column) -> Column:
-    """The Hamming syndrome of 31 bits: the exclusive or of the positions (from 1) of set bits; 0 at an anchor."""
-    parity = lambda mask: F.bit_count(half.bitwiseAND(F.lit(mask))) % 2
-    masks = [sum(1 << (p - 1) for p in range(1, LENGTH + 1) if p >> b & 1) for b in range(5)]
-    return sum((parity(m) * (1 << b) for b, m in enumerate(masks)), F.lit(0))
+def syndrome(part: Column, length: int) -> Column:
+    """The Hamming syndrome of the part's bits: the exclusive or of the positions (from 1) of set bits; 0 at an anchor."""
+    masks = [sum(1 << (p - 1) for p in range(1, length + 1) if p >> b & 1) for b in range(5)]
+    return sum((F.bit_count(part.bitwiseAND(F.lit(m))) % 2 * (1 << b) for b, m in enumerate(masks)), F.lit(0))
 
 
-def homes(half: Column) -> Column:
-    """The nearest anchor of 31 bits."""
-    s = syndrome(half)
-    return F.when(s == 0, half).otherwise(half.bitwiseXOR(F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), s - 1).cast("bigint")))
+def leaders(length: int) -> Column:
+    """By syndrome, the fewest bits to flip to reach an anchor: none, one, or two where the code is shortened."""
+    bit = [0] + [1 << (p - 1) for p in range(1, length + 1)]
+    two = lambda s: next(bit[p] | bit[p ^ s] for p in range(1, length + 1) if 0 < p ^ s <= length)
+    return F.array(*(F.lit(bit[s] if s <= length else two(s)).cast("bigint") for s in range(32)))
 
 
-def reached(half: Column) -> Column:
-    """All anchors within distance 2: the home and, unless the bits are an anchor, one for each pair of positions whose exclusive or is the syndrome."""
-    s = syndrome(half)
-    bit = lambda p: F.pow(F.lit(2.0), p - 1).cast("bigint")
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(LENGTH)), lambda p: F.struct(p.alias("p"), p.bitwiseXOR(s).alias("q"))), lambda x: x["p"] < x["q"])
-    near = F.transform(pairs, lambda x: half.bitwiseXOR(bit(x["p"])).bitwiseXOR(bit(x["q"])))
-    return F.concat(F.array(homes(half)), F.when(s == 0, F.array().cast("array<bigint>")).otherwise(near))
-
-
-def halves(fp: Column) -> Column:
-    """The 31 low bits of each half, with the half's number; the two bits left out count only in the comparison."""
-    mask = F.lit((1 << LENGTH) - 1)
-    return F.array(F.struct(F.lit(0).alias("half"), fp.bitwiseAND(mask).alias("bits")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned(fp, 32).bitwiseAND(mask).alias("bits")))
+def anchors(fp: Column, parts: int) -> Column:
+    """array<struct<part, home, near>>: the home of each part and the anchors to which the fingerprint is replicated."""
+    width = 64 // parts
+    length = min(width, 31)
+    bits = F.array(*(F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << length) - 1)).alias("x")) for i in range(parts)))
+    each = F.transform(bits, lambda b: F.struct(b["part"].alias("part"), b["x"].alias("x"), syndrome(b["x"], length).alias("s")))
+    leader = leaders(length)
+    flips = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(1 << (i - 1) if i else 0).cast("bigint").alias("bit")) for i in range(length + 1)))
+    to = lambda e: F.transform(flips, lambda f: e["x"].bitwiseXOR(f["bit"]).bitwiseXOR(F.get(leader, e["s"].bitwiseXOR(f["i"]))))
+    return F.transform(each, lambda e: F.struct(e["part"].alias("part"), e["x"].bitwiseXOR(F.get(leader, e["s"])).alias("home"), F.array_distinct(to(e)).alias("near")))
 
 
 def edges(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(x, y): pairs of different fingerprints of the column `fp` (distinct) that differ in `threshold` bits or fewer."""
-    if threshold > 2:
-        raise ValueError("the anchors cover fingerprints that differ in 2 bits or fewer")
-    each = fps.select("fp", F.explode(halves(F.col("fp"))).alias("h"))
-    home = each.select("h.half", homes(F.col("h.bits")).alias("anchor"), F.col("fp").alias("x"))
-    near = each.select("h.half", F.explode(reached(F.col("h.bits"))).alias("anchor"), F.col("fp").alias("y"))
+    """(x, y): pairs of different fingerprints of the column `fp` (distinct) that differ in `threshold` (5 at most) bits or fewer."""
+    if not 0 < threshold <= 5:
+        raise ValueError("the codes cover fingerprints that differ in 1 to 5 bits")
+    each = fps.select("fp", F.explode(anchors(F.col("fp"), 2 if threshold <= 3 else 3)).alias("a"))
+    home = each.select("a.part", F.col("a.home").alias("anchor"), F.col("fp").alias("x"))
+    near = each.select("a.part", F.explode("a.near").alias("anchor"), F.col("fp").alias("y"))
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold
-    return home.join(near, ["half", "anchor"]).where((F.col("x") != F.col("y")) & close).select("x", "y")
+    return home.join(near, ["part", "anchor"]).where((F.col("x") != F.col("y")) & close).select("x", "y")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -130,13 +126,13 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = LOOSE) -> DataFrame:
     """The rows of `docs` that stay: of each component the row of the least key, once if that row is repeated.
 
     Texts without words are one component. Rows with a null key can't be named and all stay. Shingles are of five
     words. Only keys are joined to the rows; texts are shuffled only for keys that are repeated.
     """
-    found = clustered(docs, key, text, words).where(F.col(key).isNotNull())
+    found = clustered(docs, key, text, words, threshold).where(F.col(key).isNotNull())
     best = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     once = docs.join(best.where("_rows = 1").select(key), key, "left_semi")
     repeated = docs.join(best.where("_rows > 1").select(key), key, "left_semi").dropDuplicates([key])

@@ -179,17 +179,18 @@ def test_fingerprints():
         assert simhash.fingerprint(t, 3) % (1 << 64) == slow_fingerprint(t, 3)
 
 
-def test_anchors_find_every_link(spark):
+@pytest.mark.parametrize("bits", [2, 3, 5])
+def test_anchors_find_every_link(spark, bits):
     r = random.Random(1)
     found = {r.getrandbits(64) for _ in range(40)}
     for x in list(found):
         for _ in range(10):
-            for _ in range(r.randint(1, 3)):
+            for _ in range(r.randint(1, bits + 1)):
                 x ^= 1 << r.randrange(64)
             found.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in found)
-    got = {tuple(sorted((e.x, e.y))) for e in simhash.edges(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
-    assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    got = {tuple(sorted((e.x, e.y))) for e in simhash.edges(spark.createDataFrame([(x,) for x in signed], "fp long"), bits).collect()}
+    assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= bits}
 
 
 def test_components(spark):
