@@ -9,6 +9,7 @@ from .screening import CLAUSE
 
 #: Levels of materiality, the weightiest first.
 LEVELS = ("SUSTANCIAL", "RELEVANTE", "MENOR")
+#: Fixed value: what stands for an empty field.
 PENDING = "[pendiente]"
 
 
