@@ -11,7 +11,6 @@ The pairs' results, k rows a query at most, are ranked per query.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
 
