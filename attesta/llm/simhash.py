@@ -8,7 +8,8 @@ its home and is replicated to the homes of all points at distance 1 or less, whi
 radius plus one that such a partner can have: 16 at most of two parts, 22 of three. Homes meet replicas at equal
 anchors, so every link is found. A part has 2^26 or 2^16 anchors, so few other fingerprints meet.
 
-Equal fingerprints are one node, so copies never form pairs.
+Equal fingerprints are one node, so copies never form pairs. Within 2 bits a fingerprint has 2,080 links at most,
+so these are joined as pairs; for more bits the anchors' fingerprints are compared as arrays (`ties`).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SEED = 42
 THRESHOLD, LOOSE = 2, 5
 #: Shingles hashed at once, so that a long text needs bounded memory.
 BLOCK = 1 << 18
+#: Expected fingerprints in a chunk of an anchor's homes and replicas, and pairs compared at once.
+HOMES, REPLICAS, COMPARED = 4096, 16384, 1 << 19
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -99,6 +102,64 @@ def edges(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return home.join(near, ["part", "anchor"]).where((F.col("x") != F.col("y")) & close).select("x", "y")
 
 
+def tied(homes: np.ndarray, near: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger, smaller) that connect what the links between two sets of fingerprints connect: the links themselves, or fewer where they are many."""
+    xs, ys = [], []
+    step = max(1, COMPARED // max(1, len(near)))
+    for at in range(0, len(homes), step):
+        part = homes[at : at + step]
+        apart = np.bitwise_count((part[:, None] ^ near[None, :]).view(np.uint64))
+        i, j = np.nonzero((apart > 0) & (apart <= threshold))
+        if not len(i):
+            continue
+        x, y = np.maximum(part[i], near[j]), np.minimum(part[i], near[j])
+        nodes = np.unique(np.concatenate((x, y)))
+        if len(x) >= len(nodes):  # every node to the least one it is connected to
+            a, b = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
+            label, before = np.arange(len(nodes)), None
+            while before is None or (label != before).any():
+                before = label.copy()
+                least = np.minimum(label[a], label[b])
+                np.minimum.at(label, a, least)
+                np.minimum.at(label, b, least)
+                label = label[label]
+            x, y = nodes, nodes[label]
+            x, y = x[x != y], y[x != y]
+        xs.append(x)
+        ys.append(y)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def ties(fps: DataFrame, threshold: int = LOOSE) -> DataFrame:
+    """(x, y): pairs with the same components as `edges`, but no more rows for an anchor than fingerprints meet there.
+
+    Within 5 bits a fingerprint can have millions of links. So the fingerprints of an anchor are compared as arrays
+    and only what connects them is returned. Large anchors are salted: their homes and replicas are dealt into chunks
+    by a hash, and every chunk of homes meets every chunk of replicas. The sizes of anchors that set the number of
+    chunks are broadcast: three parts have 3 * 2^16 anchors at most.
+    """
+    parts = 3
+    each = fps.select("fp", F.explode(anchors(F.col("fp"), parts)).alias("a"))
+    all_near = each.select("a.part", F.explode("a.near").alias("anchor"), "a.home", "fp")
+    sizes = all_near.groupBy("part", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("home") == F.col("anchor")).cast("long")).alias("m"))
+    sizes = sizes.where("m > 0 and n > 1").select("part", "anchor", F.ceil(F.col("m") / HOMES).alias("m"), F.ceil(F.col("n") / REPLICAS).alias("n"))
+    dealt = all_near.join(F.broadcast(sizes), ["part", "anchor"])
+    salt = lambda k: F.pmod(F.xxhash64("fp"), F.col(k))
+    home = dealt.where("home = anchor").groupBy("part", "anchor", salt("m").alias("chunk")).agg(F.collect_list("fp").alias("homes"))
+    near = dealt.groupBy("part", "anchor", "m", salt("n").alias("other")).agg(F.collect_list("fp").alias("near"))
+    near = near.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    met = home.join(near, ["part", "anchor", "chunk"]).select("homes", "near")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [tied(h, n, threshold) for h, n in zip(batch["homes"], batch["near"], strict=True)]
+            none = np.zeros(0, np.int64)
+            yield pd.DataFrame({"x": np.concatenate([none, *(x for x, _ in found)]), "y": np.concatenate([none, *(y for _, y in found)])})
+
+    return met.mapInPandas(run, "x bigint, y bigint").distinct()
+
+
 def hexadecimal(fp: Column) -> Column:
     """A bigint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
@@ -112,7 +173,7 @@ def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     """
     own = written(docs.select(F.col(key), fingerprints(text_or_empty(text), words).alias("fp")), "fingerprints")
     least = own.groupBy("fp").agg(F.min(key).alias("least"))
-    linked = checkpointed(edges(least.select("fp"), threshold))
+    linked = checkpointed(edges(least.select("fp"), threshold) if threshold <= 3 else ties(least.select("fp"), threshold))
     root = components(linked, "x", "y").withColumnRenamed("x", "fp")
     labelled = least.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -193,6 +193,20 @@ def test_anchors_find_every_link(spark, bits):
     assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= bits}
 
 
+@pytest.mark.parametrize("size", [4096, 3])
+def test_ties_connect_what_links_connect(spark, monkeypatch, size):
+    for name in ("HOMES", "REPLICAS", "COMPARED"):
+        monkeypatch.setattr(simhash, name, size)
+    r = random.Random(4)
+    found = {0, -1, 1 << 62}
+    for x in [r.getrandbits(63) for _ in range(6)]:  # groups in which most are linked; 0 and 1 << 62 are the seventh
+        found |= {x ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 3))) for _ in range(60)}
+    fps = spark.createDataFrame([(x,) for x in found], "fp long")
+    roots = [{tuple(e) for e in components.components(made(fps, 5), "x", "y").collect()} for made in (simhash.edges, simhash.ties)]
+    assert roots[0] == roots[1] and len({root for _, root in roots[0]}) == 7
+    assert simhash.ties(fps.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 10), (7, 8), (8, 7), (20, 21), (22, 21), (22, 23), (24, 23), (30, 30)]
     got = {r.x: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
