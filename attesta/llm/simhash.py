@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import checkpointed, text_or_empty, written
 from .components import components
 
@@ -187,14 +188,14 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = LOOSE) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """The rows of `docs` that stay: of each component the row of the least key, once if that row is repeated.
 
-    Texts without words are one component. Rows with a null key can't be named and all stay. Shingles are of five
-    words. Only keys are joined to the rows; texts are shuffled only for keys that are repeated.
+    Texts are linked by the exact similarity of their shingles (`similar`), not by fingerprints. Texts without words
+    are one component. Rows with a null key can't be named and all stay. Only keys are joined to the rows; texts are
+    shuffled only for keys that are repeated.
     """
-    found = clustered(docs, key, text, words, threshold).where(F.col(key).isNotNull())
-    best = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    best = similar.representatives(docs, key, text, words).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     once = docs.join(best.where("_rows = 1").select(key), key, "left_semi")
     repeated = docs.join(best.where("_rows > 1").select(key), key, "left_semi").dropDuplicates([key])
     return once.unionByName(repeated).unionByName(docs.where(F.col(key).isNull()))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, components, decontamination, html, quality, repeats, secrets, sharding, simhash, suffixes, topk, toxicity
+from attesta.llm import bpe, components, decontamination, html, quality, repeats, secrets, sharding, simhash, similar, suffixes, topk, toxicity
 from attesta.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -224,6 +224,36 @@ def test_simhash_rows(spark):
     assert simhash.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("often", [10**6, 1])
+def test_deduplicated_links_similarity(spark, monkeypatch, often):
+    monkeypatch.setattr(similar, "SAMPLED", 1)
+    monkeypatch.setattr(similar, "FREQUENT", often)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    common = [word() for _ in range(40)]  # a passage of texts that are otherwise different
+    texts = ["", "one two", "ONE  two", "one three"] + [" ".join(common + [word() for _ in range(k)]) for k in (6, 9, 12, 60, 70)]
+    for _ in range(25):
+        base = [word() for _ in range(r.randint(40, 200))]
+        for edits in (0, 1, 1, 2, 3, 5):
+            now = list(base)
+            for _ in range(edits):
+                now[r.randrange(len(now))] = word()
+            texts.append(" ".join(now))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+    far = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                far.append((simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)) % (1 << 64))
+                x, y = root[i], root[j]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    assert max(x.bit_count() for x in far) > 5
+    got = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == set(root)
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
