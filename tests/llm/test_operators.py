@@ -254,6 +254,22 @@ def test_deduplicated_links_similarity(spark, monkeypatch, often):
     assert got == set(root)
 
 
+def test_close_fingerprints_are_not_enough(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    base = [word() for _ in range(60)]
+    fp = simhash.fingerprint(" ".join(base), 5)
+    while True:
+        other = list(base)
+        other[10 + r.randrange(10)], other[30 + r.randrange(10)] = word(), word()
+        if ((simhash.fingerprint(" ".join(other), 5) ^ fp) % (1 << 64)).bit_count() <= 5:
+            break
+    assert 5 * len(sets(base) & sets(other)) < 4 * len(sets(base) | sets(other))
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], DOCS)
+    assert simhash.deduplicated(docs).count() == 2
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
