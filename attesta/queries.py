@@ -392,6 +392,34 @@ def influence_degrees(spark, d):
     return networks.degrees(e, "a", "b")
 
 
+ALL_EDGES_SQL = "select distinct o_custkey as customer, l_suppkey as supplier from orders join lineitem on l_orderkey = o_orderkey"
+
+
+def all_entity_edges(spark: SparkSession, d: str) -> DataFrame:
+    """All edges; `entity_edges` has those of urgent orders with large lines only."""
+    o, i = read(spark, d, "orders"), read(spark, d, "lineitem")
+    return o.join(i, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
+
+
+def named_edges(e: DataFrame) -> DataFrame:
+    return e.select(F.concat(F.lit("c"), F.col("customer").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("b"))
+
+
+@query(ALL_EDGES_SQL)
+def all_entity_links(spark, d):
+    return all_entity_edges(spark, d)
+
+
+@query()  # recursive SQL would list every pair of reachable nodes
+def all_entity_components(spark, d):
+    return networks.components(named_edges(all_entity_edges(spark, d)), "a", "b", checkpoint)
+
+
+@query(f"with e as ({ALL_EDGES_SQL}), n as (select 'c' || customer as node, 1 as o, 0 as i, 's' || supplier as x from e union all select 's' || supplier, 0, 1, 'c' || customer from e) select node, sum(o)::bigint as n_out, sum(i)::bigint as n_in, count(distinct x) as neighbours from n group by node")
+def all_influence_degrees(spark, d):
+    return networks.degrees(named_edges(all_entity_edges(spark, d)), "a", "b")
+
+
 # Timelines ---------------------------------------------------------------------------------------
 
 

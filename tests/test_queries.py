@@ -43,6 +43,23 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(21)} | {100: 100} | {200 + i: 100 for i in range(30)}
 
 
+def test_components_of_all_entities(spark, small, oracle):
+    edges = oracle.execute("select distinct 'c' || o_custkey, 's' || l_suppkey from orders join lineitem on l_orderkey = o_orderkey").fetchall()
+    near: dict[str, set[str]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want: dict[str, str] = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += near[y]
+    assert {r.node: r.component for r in queries.QUERIES["all_entity_components"](spark, small).collect()} == want
+    assert queries.QUERIES["all_entity_links"](spark, small).count() == len(edges) > queries.QUERIES["entity_links"](spark, small).count()
+
+
 def test_nothing_from_nothing(spark, small):
     none = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     assert documents.entities(none, "doc_id", "text").count() == 0
