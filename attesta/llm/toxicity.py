@@ -28,8 +28,10 @@ SAMPLE = 20_000
 CANDIDATES, TERMS = 50_000, 2_000
 #: Stems are this long; a term needs so many toxic rows and this log ratio of frequencies.
 STEMS, LEAST_ROWS, LEAST_RATIO = range(4, 9), 5, 3.5
-#: Letters from which a term may be misspelled by one edit.
-FUZZY = 6
+#: Letters from which a word, and a stem, may be misspelled by one edit. Many ordinary words begin within an edit of a short stem.
+FUZZY, FUZZY_STEM = 4, 6
+#: Shorter words of the lexicon count as misspelled only in words that the sample doesn't know as ordinary.
+SHORT = 6
 #: Words on either side of a hit that are its context, and the most words inside a quotation.
 WINDOW, QUOTED = 8, 60
 #: Where a score counts as toxic.
@@ -42,6 +44,10 @@ REPORTS = frozenset("said says say saying quote quoted quotes quoting wrote writ
 ADDRESS = frozenset("you your yours you're youre u ur du dich dir dein deine tu toi te ton ta tes vous votre vos ti tus usted vosotros".split())
 
 
+def may_be_misspelled(term: str) -> bool:
+    return len(term) >= FUZZY if not term.endswith("*") else len(term) > FUZZY_STEM
+
+
 class Automaton:
     """Finds the lexicon's terms in words, up to one edit. States are sets of (trie node, edits), made when first needed."""
 
@@ -55,7 +61,7 @@ class Automaton:
             letters = term.rstrip("*")
             node = 0
             for c in letters:
-                if len(letters) >= FUZZY:
+                if may_be_misspelled(term):
                     self.loose[node] = True
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
@@ -64,7 +70,7 @@ class Automaton:
                     self.stem.append(None)
                     self.loose.append(False)
                 node = self.child[node][c]
-            if len(letters) >= FUZZY:
+            if may_be_misspelled(term):
                 self.loose[node] = True
             (self.stem if term.endswith("*") else self.word)[node] = term
         self.number: dict[frozenset, int] = {}
@@ -86,7 +92,7 @@ class Automaton:
             self.number[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            hits = [[(self.terms[t][e], t, e) for n, e in key if (t := where[n]) and (not e or len(t.rstrip("*")) >= FUZZY)] for where in (self.stem, self.word)]
+            hits = [[(self.terms[t][e], t, e) for n, e in key if (t := where[n]) and (not e or may_be_misspelled(t))] for where in (self.stem, self.word)]
             self.found.append(tuple(max(h, default=None) for h in hits))
         return self.number[key]
 
@@ -96,7 +102,7 @@ class Automaton:
             if (n := self.child[node].get(c)) is not None:
                 out.add((n, e))
             if not e:
-                if self.loose[node] and node:
+                if self.loose[node]:
                     out.add((node, 1))  # a letter too many
                 out.update((n, 1) for x, n in self.child[node].items() if x != c and self.loose[n])
         to = self._state(out) if out else -1
@@ -123,6 +129,7 @@ class Model:
     """The lexicon's weights (exact, misspelled) and the logistic coefficients over `features`."""
 
     terms: dict[str, tuple[float, float]] = field(default_factory=dict)
+    ordinary: frozenset[str] = frozenset()
     coefficients: tuple[float, ...] = (-2.2, 0, 0, 0, 0, 0, 0)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -131,9 +138,10 @@ class Model:
 
 
 class Reader:
-    """Features of texts under a lexicon; remembers which words have no hit."""
+    """Features of texts under a lexicon; remembers which words have no hit. Ordinary words are no misspellings."""
 
-    def __init__(self, terms: dict[str, tuple[float, float]], remembered: int = 150_000):
+    def __init__(self, terms: dict[str, tuple[float, float]], ordinary: frozenset[str] = frozenset(), remembered: int = 150_000):
+        self.ordinary = ordinary
         self.automaton = Automaton(terms)
         self.known: dict[str, tuple | None] = {}
         self.remembered = remembered
@@ -148,7 +156,8 @@ class Reader:
             try:
                 h = known[w]
             except KeyError:
-                h = known[w] = self.automaton.hit(w) if len(w) > 2 else None
+                h = self.automaton.hit(w) if len(w) > 2 else None
+                h = known[w] = None if h and h[2] and w in self.ordinary else h
             if h:
                 found[w] = h
         return words, found
@@ -225,14 +234,18 @@ def log_ratio(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
 
 
 def chosen_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int) -> dict[str, float]:
-    """Terms by weight: the shortest stems first; longer ones only if they separate clearly better than the stem in front of them."""
+    """Terms by weight: the shortest stems first; longer ones only if they separate clearly better than the stem in front of them.
+
+    A stem that is too short to be misspelled is joined by the whole words it stands for, which can be.
+    """
     weight = {t: log_ratio(a, b, n_toxic, n_other) for t, (a, b) in counts.items()}
     good = sorted((t for t, w in weight.items() if w >= LEAST_RATIO), key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t))
     out: dict[str, float] = {}
     for t in good:
         letters = t.rstrip("*")
         before = [out[s] for n in STEMS if n <= len(letters) and (s := letters[:n] + "*") in out]
-        if not before or weight[t] > max(before) + 1:
+        beside = not t.endswith("*") and len(t) >= FUZZY and not any(len(s) > FUZZY_STEM and t.startswith(s[:-1]) for s in out if s.endswith("*"))
+        if not before or weight[t] > max(before) + 1 or beside:
             out[t] = weight[t]
     most = sorted(out, key=lambda t: (-counts[t][0] * out[t], t))[:TERMS]
     return {t: out[t] for t in most}
@@ -276,26 +289,34 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         reader, seen = Reader(draft.value), Counter()
         for batch in batches:
             for t, y in zip(batch["text"], batch["_toxic"], strict=True):
-                seen.update({(h[1], int(y)) for h in reader.hits(t)[1].values() if h[2]})
+                seen.update({(h[1], w, int(y)) for w, h in reader.hits(t)[1].items() if h[2]})
         if seen:
-            yield pd.DataFrame([(t, y, c) for (t, y), c in seen.items()], columns=["term", "_toxic", "n"])
-
-    loose = {(r["term"], r["_toxic"]): r["n"] for r in rows.mapInPandas(misspelled, "term string, _toxic int, n bigint").groupBy("term", "_toxic").agg(F.sum("n").alias("n")).collect()}
+            yield pd.DataFrame([(t, w, y, c) for (t, w, y), c in seen.items()], columns=["term", "word", "_toxic", "n"])
+
+    met_words = rows.mapInPandas(misspelled, "term string, word string, _toxic int, n bigint").groupBy("term", "word", "_toxic").agg(F.sum("n").alias("n")).collect()
+    by_word: dict[tuple[str, str], list[int]] = {}
+    for r in met_words:
+        by_word.setdefault((r["term"], r["word"]), [0, 0])[r["_toxic"]] += r["n"]
+    ordinary = frozenset(w for (t, w), (other, bad) in by_word.items() if len(t.rstrip("*")) < SHORT and other and log_ratio(bad, other, n_toxic, n_other) < LEAST_RATIO)
+    loose: Counter[tuple[str, int]] = Counter()
+    for (t, w), (other, bad) in by_word.items():
+        if w not in ordinary:
+            loose.update({(t, 0): other, (t, 1): bad})
     terms = {}
     for t, w in exact.items():
         met = loose.get((t, 1), 0) + loose.get((t, 0), 0)
         own = log_ratio(loose.get((t, 1), 0), loose.get((t, 0), 0), n_toxic, n_other) if met else w / 2
         terms[t] = (w, max(0.0, min(own, w)))
-    final = spark.sparkContext.broadcast(terms)
+    final = spark.sparkContext.broadcast((terms, ordinary))
 
     def read(batches):
-        reader = Reader(final.value)
+        reader = Reader(*final.value)
         for batch in batches:
             yield pd.DataFrame({"x": [list(map(float, reader.features(t))) for t in batch["text"]], "y": batch["_toxic"]})
 
     got = rows.mapInPandas(read, "x array<double>, y int").collect()
     w = fitted(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
-    return Model(terms, tuple(map(float, w)))
+    return Model(terms, ordinary, tuple(map(float, w)))
 
 
 def scores(text: Column, model: Model, session) -> Column:
@@ -304,7 +325,7 @@ def scores(text: Column, model: Model, session) -> Column:
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(told.value.terms)
+        reader = Reader(told.value.terms, told.value.ordinary)
         for batch in batches:
             yield pd.Series(told.value.scores(np.array([reader.features(t) for t in batch], float).reshape(-1, 6)))
 

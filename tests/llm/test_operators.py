@@ -387,6 +387,19 @@ def test_toxicity_rows(spark):
     assert toxicity.report(d, n.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_short_terms_are_found_misspelled(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("bcdfglnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    bad = ["idiot", "stupid", "moron", "scum"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" you " + " ".join(r.sample(bad, 2)) if i % 4 == 0 else " moroz scam")) for i in range(400)]
+    tests = {1000: "iidiot", 1001: "stpid", 1002: "mooron", 1003: "scumm", 1004: "idiot"}
+    rows += [(k, " ".join(words[:30]) + " you " + " ".join([w] * 2)) for k, w in tests.items()] + [(1010, " ".join(words[:30]) + " you moroz scam")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.report(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(got[k] > got[1010] + 0.05 for k in tests), got
+    assert got[1010] < toxicity.THRESHOLD
+
+
 # 10 ----------------------------------------------------------------------------------------------
 
 
