@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +33,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 UNSETTLED = 3
 #: Characters read at once, and the length from which a piece that reaches the buffer's end is streamed.
 CHUNK, OPEN = 1 << 16, 1 << 12
-#: Pieces remembered in each of two generations.
-REMEMBERED = 100_000
+#: Pieces remembered in each of two generations, bytes of pieces that are merged side by side, and characters of texts looked at together.
+REMEMBERED, SHORT, TOGETHER = 100_000, 64, 1 << 20
 
 RUNS = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"\p{White_Space}*"), "P": regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")}
 
@@ -45,6 +46,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(other)}
 
 
+#: Tokens that stand together: their ids, the ids as decimals joined by commas, and their bytes.
+Piece = tuple[tuple[int, ...], bytes, bytes]
+
+
 class Vocabulary:
     """Merges and tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -67,6 +72,67 @@ class Vocabulary:
         self.right = [ids[b] for _, b in pairs]
         self.made = [ids[a + b] for a, b in pairs]
         self.rank = {(a, b): r for r, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
+        self.name = [b"%d" % i for i in range(len(self.token))]
+        self._arrays()
+
+    def piece(self, ids: list[int]) -> Piece:
+        return tuple(ids), b",".join([self.name[i] for i in ids]), b"".join([self.token[i] for i in ids])
+
+    def _arrays(self) -> None:
+        """The same as arrays: pairs in order of (left, right) with their ranks."""
+        self.bytes_, self.makes = np.array(self.byte, np.int64), np.array([*self.made, 0], np.int64)
+        pair = (np.array(self.left, np.int64) << 32) | np.array(self.right, np.int64)
+        order = np.argsort(pair)
+        self.pair, self.pair_rank = pair[order], order
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens; the number of merges where there is none."""
+        none = len(self.pair)
+        if not none:
+            return np.zeros(len(left), np.int64)
+        asked = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair, asked), none - 1)
+        return np.where(self.pair[at] == asked, self.pair_rank[at], none)
+
+    def merged_together(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of many pieces: in each round every piece makes its next merge. Only pairs beside a merge are looked up again."""
+        none = len(self.pair)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        now = self.bytes_[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), size)
+        rank = np.full(len(now), none, np.int64)
+        inside = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inside] = self.ranks(now[inside], now[inside + 1])
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(now):
+            begin = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+            size = np.diff(np.append(begin, len(now)))
+            least = np.minimum.reduceat(rank, begin)
+            if (least == none).any():  # these pieces are ready
+                done = np.repeat(least == none, size)
+                ready.append((piece[done], now[done]))
+                now, piece, rank = now[~done], piece[~done], rank[~done]
+                size, least = size[least != none], least[least != none]
+            hit = rank == np.repeat(least, size)
+            if (hit[1:] & hit[:-1]).any():  # one token in a row: every second pair from the left
+                place = np.arange(len(hit))
+                start = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
+                hit &= (place - start) % 2 == 0
+            at = np.flatnonzero(hit)
+            now[at] = self.makes[rank[at]]
+            kept = np.ones(len(now), bool)
+            kept[at + 1] = False
+            at -= np.arange(len(at))
+            now, piece, rank = now[kept], piece[kept], rank[kept]
+            again = np.concatenate((at, at[at > 0] - 1))
+            rank[again] = none
+            again = again[again + 1 < len(now)]
+            again = again[piece[again] == piece[again + 1]]
+            rank[again] = self.ranks(now[again], now[again + 1])
+        which = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in ready)])
+        tokens = np.concatenate([np.zeros(0, np.int64), *(t for _, t in ready)])[np.argsort(which, kind="stable")].tolist()
+        stop = np.cumsum(np.bincount(which, minlength=len(pieces))).tolist()
+        return [tokens[a:b] for a, b in zip([0, *stop], stop)]
 
     def lookahead(self) -> int:
         """Bytes of sufficient lookahead: the longest chain of merges that can carry a change to the left."""
@@ -158,28 +224,38 @@ class Transducer:
 
 
 class Pieces(dict):
-    """The tokens of each piece met lately; what a generation forgets comes from the one before or is made anew."""
+    """Each piece met lately; what a generation forgets comes from the one before or is made anew."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         super().__init__()
         self.vocabulary, self.transducer, self.old = vocabulary, transducer, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> Piece:
         found = self.old.get(piece)
         if found is None:
             b = piece.encode()
             if len(b) > OPEN:
-                return (*self.transducer.feed(b), *self.transducer.finish())
-            found = tuple(self.vocabulary.merged(b))
+                return self.vocabulary.piece(self.transducer.feed(b) + self.transducer.finish())
+            found = self.vocabulary.piece(self.vocabulary.merged(b))
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
         self[piece] = found
         return found
 
+    def meet(self, pieces: set[str]) -> None:
+        """Makes the short ones that are new all at once; they stay until the next call at least."""
+        if len(self) + len(pieces) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        unknown = [(p, b) for p in pieces if p not in self and p not in self.old and len(b := p.encode()) <= SHORT]
+        if unknown:
+            made = self.vocabulary.merged_together([b for _, b in unknown])
+            self.update(zip([p for p, _ in unknown], map(self.vocabulary.piece, made), strict=True))
+
 
 class Encoder:
-    """Text in chunks of any size in, lists of token ids out; holds a few characters or one lookahead of bytes."""
+    """Text in chunks of any size in, pieces out as they become stable; holds a few characters or one lookahead of bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -190,30 +266,33 @@ class Encoder:
         self.kept = UNSETTLED + max([0, *(len(s) - 1 for s in vocabulary.special)])
         self.held, self.open = "", ""
 
-    def feed(self, text: str, last: bool = False) -> Iterator[list[int]]:
-        """Token ids that are stable now; with `last`, all that remain."""
+    def feed(self, text: str, last: bool = False) -> Iterator[list[Piece]]:
+        """Pieces, or parts of one, whose tokens are stable now; with `last`, all that remain."""
         text = self.held + text
         self.held, at = "", 0
         if self.cut:
             for m in self.cut.finditer(text):
                 yield from self._segment(text[at : m.start()], True)
-                yield [self.vocabulary.special[m[0]]]
+                yield self._part([self.vocabulary.special[m[0]]])
                 at = m.end()
         yield from self._segment(text[at:] if at else text, last)
 
-    def _segment(self, text: str, whole: bool) -> Iterator[list[int]]:
+    def _part(self, ids: list[int]) -> list[Piece]:
+        return [self.vocabulary.piece(ids)] if ids else []
+
+    def _segment(self, text: str, whole: bool) -> Iterator[list[Piece]]:
         if self.open:
             n = RUNS[self.open].match(text).end()
             if not whole and n > len(text) - self.kept:
                 n = max(0, len(text) - self.kept)
-                yield self.transducer.feed(text[:n].encode())
+                yield self._part(self.transducer.feed(text[:n].encode()))
                 self.held = text[n:]
                 return
             if self.open == "S" and n and n < len(text):
                 n -= 1  # the last white space belongs to the next piece
-            yield self.transducer.feed(text[:n].encode())
+            yield self._part(self.transducer.feed(text[:n].encode()))
             text = text[n:]
-            yield self.transducer.finish()
+            yield self._part(self.transducer.finish())
             self.open = ""
         pieces = self.find(text)
         if not whole:
@@ -224,18 +303,37 @@ class Encoder:
             if keep < len(pieces) and len(p := pieces[keep]) > OPEN + self.kept and cut + len(p) == len(text):
                 self.open = next(k for k, run in RUNS.items() if run.match(p[-1]).end())
                 safe = len(p) - self.kept
-                yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces[:keep])))
-                yield self.transducer.feed(p[:safe].encode())
+                yield [self.pieces[x] for x in pieces[:keep]]
+                yield self._part(self.transducer.feed(p[:safe].encode()))
                 self.held = p[safe:]
                 return
             self.held, pieces = text[cut:], pieces[:keep]
-        yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        yield [self.pieces[x] for x in pieces]
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of a whole text, some at a time."""
+    def encode(self, text: str) -> Iterator[list[Piece]]:
+        """The pieces of a whole text, some at a time."""
         for at in range(0, len(text), CHUNK):
             yield from self.feed(text[at : at + CHUNK], at + CHUNK >= len(text))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[Iterator[list[Piece]]]:
+        """`encode` of each text. New pieces of short texts that stand together are merged together."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[Iterator[list[Piece]]]:
+        short = [len(t) <= CHUNK and not (self.cut and self.cut.search(t)) for t in texts]
+        found = [self.find(t) if s else [] for t, s in zip(texts, short, strict=True)]
+        self.pieces.meet(set(chain.from_iterable(found)))
+        for text, s, pieces in zip(texts, short, found, strict=True):
+            yield iter([[self.pieces[x] for x in pieces]]) if s else self.encode(text)
+
 
 class Decoder:
     """Token ids in, text out: token bytes pass through an incremental UTF-8 state machine, which keeps an unfinished character."""
@@ -245,7 +343,11 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], last: bool = False) -> str:
-        return self.state.decode(b"".join(map(self.token.__getitem__, ids)), last)
+        return self.take(b"".join(map(self.token.__getitem__, ids)), last)
+
+    def take(self, data: bytes, last: bool = False) -> str:
+        """The same for tokens of which the bytes are at hand."""
+        return self.state.decode(data, last)
 
 
 def digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -257,19 +359,21 @@ def digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         vocabulary = Vocabulary(tokenizer)
-        encoder, names = Encoder(vocabulary), [str(i) for i in range(len(vocabulary.token))]
+        encoder = Encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, t in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, parts in zip(batch["doc_id"], encoder.encode_all(batch["text"]), strict=True):
                 ids_hash, text_hash, decoder, n, size = sha256(), sha256(), Decoder(vocabulary), 0, 0
-                for ids in encoder.encode(t):
-                    if ids:
-                        ids_hash.update((("," if n else "") + ",".join(map(names.__getitem__, ids))).encode())
-                        n += len(ids)
-                        part = decoder.feed(ids)
+                for pieces in parts:
+                    if pieces:
+                        if n:
+                            ids_hash.update(b",")
+                        ids_hash.update(b",".join([written for _, written, _ in pieces]))
+                        n += sum([len(ids) for ids, _, _ in pieces])
+                        part = decoder.take(b"".join([data for _, _, data in pieces]))
                         size += len(part)
                         text_hash.update(part.encode())
-                rest = decoder.feed((), True)
+                rest = decoder.take(b"", True)
                 text_hash.update(rest.encode())
                 rows.append((doc_id, n, ids_hash.hexdigest(), text_hash.hexdigest(), size + len(rest)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded"]).astype({"doc_id": batch["doc_id"].dtype})
@@ -286,7 +390,7 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "tok
     def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(Vocabulary(tokenizer))
         for texts in batches:
-            yield pd.Series([list(chain.from_iterable(encoder.encode(t))) for t in texts], dtype=object)
+            yield pd.Series([[i for pieces in parts for ids, _, _ in pieces for i in ids] for parts in encoder.encode_all(texts)], dtype=object)
 
     return docs.withColumn(ids, to_ids(text_or_empty(text)))
 
