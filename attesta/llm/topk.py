@@ -1,36 +1,46 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Tasks pack the vectors they read into shards of bounded size, each with its ball tree, and the queries into blocks
-of bounded size. Every block meets every shard: shards have a slot, blocks go to all slots, and an equi-join on the
-slot pairs them. In a pair the tree is walked for all queries of the block at once, nodes with the larger upper
-bounds on the inner product first, and a query leaves a branch whose bound is below its current kth score. That
-score is shared: it starts from a bounded sample of all vectors and is carried from pair to pair inside a task.
-The pairs' results, k rows a query at most, are ranked per query.
+Vectors are dealt into cells by the nearest of a bounded number of directions and by their norm, and cells into
+shards of bounded size, each with its ball tree. So a shard's ball is narrow where the data are, and whole shards can
+be skipped. Queries are packed into blocks by the same cells. In a pair of block and shard the tree is walked for all
+queries of the block at once, nodes with the larger upper bounds on the inner product first, and a query leaves a
+branch whose bound is below its current kth score. That score is shared: it starts from a bounded sample of all
+vectors, a first round searches the shards of the block's own cell, the second round begins with what the first one
+found, and it is carried from pair to pair inside a task. In the second round blocks go to all slots and meet the
+shards of a slot by an equi-join. The pairs' results, k rows a query at most, are ranked per query.
+
+Components are whole numbers held as floating point. Products are summed as such where they are exact (below 2^52 by
+the norms), else as Python's integers.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
+from operator import mul
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors in a shard, in a leaf, and in a block of queries; vectors in the sample that gives the first kth scores.
-SHARD, LEAF, BLOCK, SAMPLE = 16_384, 256, 1_024, 2_048
-#: Components are whole numbers below this size, so that inner products fit a long.
-LIMIT = float(1 << 26)
+#: Vectors in a shard, in a leaf, and in a block of queries; vectors in the sample that gives directions and the first kth scores; directions.
+SHARD, LEAF, BLOCK, SAMPLE, DIRECTIONS = 4_096, 128, 1_024, 2_048, 256
+#: Shards of a slot, and the inner product (by the norms) below which floating point is exact.
+SLOT, EXACT = 4, float(1 << 52)
+NONE = np.iinfo(np.int64).min
 
 
 @dataclass
 class Ball:
     center: np.ndarray
     radius: float
+    size: float  # of the center
     low: int
     high: int
     children: tuple[Ball, ...] = ()
@@ -51,13 +61,13 @@ class Shard:
         def ball(low: int, high: int) -> Ball:
             mine = vectors[order[low:high]]
             center = mine.mean(axis=0)
-            far = np.sqrt(((mine - center) ** 2).sum(axis=1))
+            far = norms(mine - center)
             # A little wider than computed, so that rounding never cuts a vector off.
-            here = Ball(center, float(far.max()) * (1 + 1e-9) + 1e-6, low, high)
+            here = Ball(center, float(far.max()) * (1 + 1e-9) + 1e-6, float(norms(center[None])[0]), low, high)
             if high - low > LEAF:
                 a = mine[far.argmax()]
-                b = mine[((mine - a) ** 2).sum(axis=1).argmax()]
-                side = mine @ (b - a)
+                b = mine[norms(mine - a).argmax()]
+                side = mine @ ((b - a) / norms((b - a)[None])[0])
                 half = (high - low) // 2
                 order[low:high] = order[low:high][np.argsort(side, kind="stable")]
                 here.children = ball(low, low + half), ball(low + half, high)
@@ -68,38 +78,65 @@ class Shard:
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id, and the kth score."""
+    """The k best (score, id) of each query so far, ties to the smaller id, and the kth score, which nothing below can enter."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), NONE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
-        self.floor = np.full(n, -np.inf) if floor is None else floor.copy()
+        self.found = np.zeros((n, k), bool)
+        self.floor = np.full(n, NONE) if floor is None else floor.copy()
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, scores: np.ndarray, valid: np.ndarray, ids: np.ndarray) -> None:
+        """Takes the scores (rows x ids) that are valid."""
         k = self.score.shape[1]
-        some = (scores >= self.floor[rows, None]).any(axis=1)
-        rows, scores = rows[some], scores[some]
+        valid = valid & (scores >= self.floor[rows, None])
+        some = valid.any(axis=1)
+        rows, scores, valid = rows[some], scores[some], valid[some]
         if not len(rows):
             return
         score = np.concatenate((self.score[rows], scores), axis=1)
         known = np.concatenate((self.id[rows], np.broadcast_to(ids, scores.shape)), axis=1)
-        order = np.lexsort((known, -score), axis=1)[:, :k]
-        self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(known, order, 1)
-        self.floor[rows] = np.maximum(self.floor[rows], self.score[rows, -1])
-
-
-def search(ids: np.ndarray, queries: np.ndarray, shard: Shard, best: Best) -> None:
-    """Adds a shard's vectors to the best of each query, its own row left out."""
-    size = np.sqrt((queries**2).sum(axis=1))
+        real = np.concatenate((self.found[rows], valid), axis=1)
+        order = np.lexsort((known, ~score, ~real), axis=1)[:, :k]  # ~x turns the order of whole numbers round
+        self.score[rows], self.id[rows], self.found[rows] = (np.take_along_axis(x, order, 1) for x in (score, known, real))
+        full = rows[self.found[rows, -1]]
+        self.floor[full] = np.maximum(self.floor[full], self.score[full, -1])
+
+
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors, a little more than exact; also of components whose squares no float holds."""
+    most = np.abs(vectors).max(axis=1, initial=1.0)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers as int64; what a long can't hold becomes its largest or smallest value."""
+    large, other = norms(queries), norms(vectors).max(initial=0.0)
+    out = np.empty((len(queries), len(vectors)), np.int64)
+    small = large * other < EXACT
+    out[small] = queries[small] @ vectors.T
+    if not small.all():
+        theirs = [[int(x) for x in v] for v in vectors]
+        for row in np.flatnonzero(~small).tolist():
+            mine = [int(x) for x in queries[row]]
+            out[row] = [max(NONE, min(~NONE, sum(map(mul, mine, v)))) for v in theirs]
+    return out
+
+
+def search(ids: np.ndarray, queries: np.ndarray, shard: Shard, best: Best) -> int:
+    """Adds a shard's vectors to the best of each query, its own row left out. Returns how many products were computed."""
+    size = norms(queries)
+    scored = 0
 
     def bound(ball: Ball, rows: np.ndarray) -> np.ndarray:
-        reach = queries[rows] @ ball.center + size[rows] * ball.radius
-        return reach + np.abs(reach) * 1e-9 + 1e-6
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = size[rows] * (ball.radius + 1e-9 * ball.size) + 1e-6
+            return np.nan_to_num(queries[rows] @ ball.center + slack, nan=np.inf)
 
     stack = [(shard.root, np.arange(len(ids)))]
     while stack:
         ball, rows = stack.pop()
-        rows = rows[bound(ball, rows) >= best.floor[rows]]
+        rows = rows[bound(ball, rows) * (1 + 1e-12) + 1 >= best.floor[rows]]
         if not len(rows):
             continue
         if ball.children:
@@ -107,39 +144,78 @@ def search(ids: np.ndarray, queries: np.ndarray, shard: Shard, best: Best) -> No
             stack += [(c, rows) for c in order]  # the larger bound is taken first
             continue
         theirs = shard.ids[ball.low : ball.high]
-        scores = queries[rows] @ shard.vectors[ball.low : ball.high].T
-        scores[ids[rows, None] == theirs[None, :]] = -np.inf
-        best.add(rows, scores, theirs)
+        scored += len(rows) * len(theirs)
+        best.add(rows, products(queries[rows], shard.vectors[ball.low : ball.high]), ids[rows, None] != theirs[None, :], theirs)
+    return scored
 
 
 def whole(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component as array<double>; null if the vector is null or has a null, non-finite or too large component."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * scale).cast("double"))
-    fit = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < LIMIT))
-    return F.when(vector.isNotNull() & (F.size(vector) > 0) & fit, x)
+    """floor(scale * x) of each component as array<double>; null if the vector is null or has a null or non-finite component."""
+    x = lambda v: v.cast("double") * scale
+    # From 2^53 on every double is whole.
+    each = F.transform(vector, lambda v: F.when(F.abs(x(v)) < float(1 << 53), F.floor(x(v)).cast("double")).otherwise(x(v)))
+    fit = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(x(v)) < float("inf")))
+    return F.when(vector.isNotNull() & fit, each)
+
+
+def directions(sample: np.ndarray, n: int) -> np.ndarray:
+    """n unit vectors (or fewer) of a sample, each as far as can be from those before."""
+    size = norms(sample)
+    unit = sample[size > 0] / size[size > 0, None]
+    if not len(unit) or n < 2:
+        return unit[:1]
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < n and near.min() < 0.99:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def celled(rows: DataFrame, told: Broadcast, size: int) -> DataFrame:
+    """(id, v, dim, cell, chunk): the cell by direction and norm (a factor of 2), and a part of the cell of about `size` rows."""
+
+    @F.pandas_udf("int")
+    def cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = np.zeros(len(batch), np.int64)
+            length = batch.map(len).to_numpy()
+            for dim in np.unique(length).tolist():
+                at = np.flatnonzero(length == dim)
+                v = np.array(batch.iloc[at].tolist(), float).reshape(len(at), dim)
+                far = norms(v)
+                unit, known = v / np.maximum(far, 1e-300)[:, None], told.value.get(dim)
+                out[at] = np.log2(np.maximum(far, 1.0)).astype(int) * DIRECTIONS + ((unit @ known.T).argmax(axis=1) if known is not None and len(known) else 0)
+            yield pd.Series(out)
+
+    placed = written(rows.select("id", "v", F.size("v").alias("dim"), cell("v").alias("cell")), "cells")
+    # One row for each direction, power of two and length of vectors.
+    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
+    return placed.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", F.pmod(F.xxhash64("id", "v"), "chunks").alias("chunk"))
 
 
 def packed(rows: DataFrame, size: int, tree: bool) -> DataFrame:
-    """One row (dim, n, data) for each `size` vectors of one length that a task reads."""
+    """One row (dim, cell, n, data) for each chunk of vectors of one cell; larger chunks are cut."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held, now = [], None
 
-        def pack(dim: int, rows: list):
-            ids, vectors = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)
+        def pack():
+            ids, vectors = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], float).reshape(len(held), now[0])
             data = pickle.dumps(Shard.of(ids, vectors) if tree else (ids, vectors), protocol=5)
-            return pd.DataFrame({"dim": [dim], "n": [len(rows)], "data": [data]})
+            return pd.DataFrame({"dim": [now[0]], "cell": [now[1]], "n": [len(held)], "data": [data]})
 
         for batch in batches:
-            for i, v in zip(batch["id"], batch["v"], strict=True):
-                mine = held.setdefault(len(v), [])
-                mine.append((i, v))
-                if len(mine) >= size:
-                    yield pack(len(v), held.pop(len(v)))
-        for dim, mine in held.items():
-            yield pack(dim, mine)
+            for i, v, *place in zip(*(batch[c] for c in ("id", "v", "dim", "cell", "chunk")), strict=True):
+                if held and (place != now or len(held) >= 2 * size):
+                    yield pack()
+                    held = []
+                now = place
+                held.append((i, v))
+        if held:
+            yield pack()
 
-    return rows.mapInPandas(run, "dim int, n bigint, data binary")
+    dealt = rows.repartition("dim", "cell", "chunk").sortWithinPartitions("dim", "cell", "chunk")
+    return dealt.mapInPandas(run, "dim int, cell int, n bigint, data binary")
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -153,49 +229,67 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     sample: dict[int, list] = {}
     for r in vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE).collect():
         sample.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
-    seeds = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], float)) for d, x in sample.items()})
+    arrays = {d: (np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], float).reshape(len(x), d)) for d, x in sample.items()}
+    seeds = spark.sparkContext.broadcast(arrays)
+    ways = spark.sparkContext.broadcast({d: directions(v, min(DIRECTIONS, max(1, total // SHARD))) for d, (_, v) in arrays.items()})
 
     def seeded(batches):
         for batch in batches:
-            floors = []
+            out = []
             for dim, data in zip(batch["dim"], batch["data"], strict=True):
                 ids, mine = pickle.loads(data)
                 best = Best(len(ids), k)
                 if dim in seeds.value:
                     theirs, v = seeds.value[dim]
-                    scores = mine @ v.T
-                    scores[ids[:, None] == theirs[None, :]] = -np.inf
-                    best.add(np.arange(len(ids)), scores, theirs)
-                floors.append(pickle.dumps((ids, mine, best.floor), protocol=5))
-            yield pd.DataFrame({"dim": batch["dim"], "block": [md5(f).hexdigest() for f in floors], "queries": floors})
-
-    slots = max(1, -(-total // (4 * SHARD)))
-    shards = written(packed(vectors, SHARD, True), "shards").withColumn("slot", F.pmod(F.hash("data"), F.lit(slots)))
-    blocks = packed(queries, BLOCK, False).mapInPandas(seeded, "dim int, block string, queries binary")
-    blocks = written(blocks, "queries").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = blocks.join(shards, ["slot", "dim"]).select("block", "queries", "data")
+                    best.add(np.arange(len(ids)), products(mine, v), ids[:, None] != theirs[None, :], theirs)
+                out.append(pickle.dumps((ids, mine, best.floor), protocol=5))
+            yield pd.DataFrame({"dim": batch["dim"], "cell": batch["cell"], "block": [md5(b).hexdigest() for b in out], "queries": out})
 
     def run(batches):
         floors: dict[str, np.ndarray] = {}
         for batch in batches:
-            for block, told, data in zip(batch["block"], batch["queries"], batch["data"], strict=True):
-                ids, mine, floor = pickle.loads(told)
+            for block, asked, data in zip(batch["block"], batch["queries"], batch["data"], strict=True):
+                ids, mine, floor = pickle.loads(asked)
                 best = Best(len(ids), k, floors.get(block, floor))
                 search(ids, mine, pickle.loads(data), best)
-                floors[block] = best.floor
-                row, column = np.nonzero(np.isfinite(best.score))
-                yield pd.DataFrame({"query_id": ids[row], "vec_id": best.id[row, column], "score": best.score[row, column].astype(np.int64)})
+                floors = {block: best.floor}  # rows come block by block
+                row, column = np.nonzero(best.found)
+                yield pd.DataFrame({"block": block, "query_id": ids[row], "vec_id": best.id[row, column], "score": best.score[row, column]})
 
-    found = pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
+    def raised(batches):
+        """Blocks whose queries know the kth score that their own cell gave."""
+        for batch in batches:
+            out = []
+            for asked, known, score in zip(batch["queries"], batch["ids"], batch["floors"], strict=True):
+                ids, mine, floor = pickle.loads(asked)
+                if known is not None and len(known):
+                    order = np.argsort(ids)
+                    at = order[np.searchsorted(ids[order], np.array(known, np.int64))]
+                    floor[at] = np.maximum(floor[at], np.array(score, np.int64))
+                out.append(pickle.dumps((ids, mine, floor), protocol=5))
+            yield batch.assign(queries=out)[["dim", "cell", "block", "queries"]]
+
+    blocks = written(packed(celled(queries, ways, BLOCK), BLOCK, False).mapInPandas(seeded, "dim int, cell int, block string, queries binary"), "queries")
+    shards = written(packed(celled(vectors, ways, SHARD), SHARD, True), "shards")
+    kind = "block string, query_id bigint, vec_id bigint, score bigint"
+    pair = lambda left, right, on: left.join(right, on).select("block", "queries", "data").sortWithinPartitions("block").mapInPandas(run, kind)
+    own = written(pair(blocks, shards, ["dim", "cell"]), "own")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kth = own.withColumn("rank", rank).where(F.col("rank") == k).groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("score").alias("floors"))
+    second = blocks.join(kth, "block", "left").mapInPandas(raised, "dim int, cell int, block string, queries binary")
+    slots = max(1, -(-total // (SLOT * SHARD)))
+    second = second.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumnRenamed("cell", "own")
+    others = shards.withColumn("slot", F.pmod(F.hash("data"), F.lit(slots)))
+    found = own.unionByName(pair(second, others.where("n > 0"), (second["slot"] == others["slot"]) & (second["dim"] == others["dim"]) & (second["own"] != others["cell"])))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def report(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: of each row whose vec_id is divisible by `every` the k best other rows.
 
-    Rows without an id take no part. Rows with the query's id are its own. Of several queries with one id the
-    least vector is asked; repeated candidates each take part.
+    Rows without an id and vectors that are null or hold null or non-finite components take no part; empty vectors
+    meet each other with score 0. Rows with the query's id are its own. Of several queries with one id the least vector
+    is asked; repeated candidates each take part. A score that a long can't hold becomes its largest or smallest value.
     """
     rows = embeddings.select(F.col("vec_id").alias("id"), whole(F.col("embedding")).alias("v")).where("id is not null and v is not null")
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
