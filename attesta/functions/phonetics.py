@@ -9,12 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ordered rewriting rules of Metaphone on upper-case names (pattern, key).
-METAPHONE = [
-    (r"([B-DF-HJ-NP-TV-Z])\1+(?<!CC)", r"\1"), (r"^(?:KN|GN|PN|WR)", "N"), (r"^AE", "E"), (r"^X", "S"), (r"^WH", "W"), (r"MB$", "M"), (r"SCH", "SK"), (r"CIA", "XA"), (r"CH", "X"),
-    (r"S(?=C[EIY])", ""), (r"C(?=[EIY])", "S"), (r"[CQ]K?", "K"), (r"DG(?=[EIY])", "J"), (r"D", "T"), (r"GH(?=[^AEIOU]|$)", ""), (r"GN(?:ED)?$", "N"), (r"G(?=[EIY])", "J"), (r"G", "K"),
-    (r"(?<=[AEIOU])H(?=[^AEIOU]|$)", ""), (r"PH", "F"), (r"SH|S(?=I[OA])|T(?=I[OA])", "X"), (r"TCH", "X"), (r"TH", "0"), (r"V", "F"), (r"W(?=[^AEIOU]|$)", ""), (r"X", "KS"), (r"Y(?=[^AEIOU]|$)", ""), (r"Z", "S"),
-]
+#: Beginnings that Metaphone reads otherwise.
+METAPHONE_FIRST = [("THOMPS", "TOMS"), ("THOM", "TOM"), ("AE", "E"), ("GN", "N"), ("KN", "N"), ("PN", "N"), ("WR", "R"), ("WH", "W"), ("X", "S")]
 #: NYSIIS rules for the beginning, the end, and the inside of a name.
 NYSIIS_FIRST = [("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS")]
 NYSIIS_LAST = [("EE", "Y"), ("IE", "Y"), ("DT", "D"), ("RT", "D"), ("RD", "D"), ("NT", "D"), ("ND", "D")]
@@ -26,11 +22,46 @@ def letters(name: str) -> str:
 
 
 def metaphone_key(name: str) -> str:
+    """The sounds of a name's consonants, and of a vowel at its beginning; each letter is read by its neighbours in the name. 0 is th, X is sh."""
     s = letters(name)
-    marked = s.replace("X", "ks").upper() if s[1:] and not s.startswith("X") else s
-    for pattern, key in METAPHONE:
-        marked = re.sub(pattern, key, marked)
-    return marked[:1] + re.sub(r"[AEIOU]", "", marked[1:])
+    s = next((b + s[len(a) :] for a, b in METAPHONE_FIRST if s.startswith(a)), s)
+    s = re.sub(r"([ABD-Z])\1+", r"\1", s)  # double letters but C sound once
+    key = []
+    for i, c in enumerate(s):
+        before, after, rest = s[i - 1 : i], s[i + 1 : i + 2], s[i:]
+        vowel, soft = after in set("AEIOU"), after in set("EIY")
+        if c in "AEIOU":
+            sound = c if i == 0 else ""
+        elif c == "B":
+            sound = "" if before == "M" and not after else "B"
+        elif c == "C":
+            if rest.startswith("CIA") or (after == "H" and before != "S"):
+                sound = "X"
+            elif soft:
+                sound = "" if before == "S" else "S"
+            else:
+                sound = "K"
+        elif c == "D":
+            sound = "J" if re.match("DG[EIY]", rest) else "T"
+        elif c == "G":
+            silent = (after == "H" and rest[2:3] not in set("AEIOU")) or rest in ("GN", "GNED") or (before == "D" and soft)
+            sound = "" if silent else "J" if soft else "K"
+        elif c == "H":
+            sound = "H" if vowel and before not in set("CGPST") else ""
+        elif c == "K":
+            sound = "" if before == "C" else "K"
+        elif c == "P":
+            sound = "F" if after == "H" else "P"
+        elif c == "S":
+            sound = "X" if after == "H" or re.match("SI[AO]", rest) else "S"
+        elif c == "T":
+            sound = "X" if re.match("TI[AO]", rest) else "0" if after == "H" else "" if rest.startswith("TCH") else "T"
+        elif c in "WY":
+            sound = c if vowel else ""
+        else:
+            sound = {"Q": "K", "V": "F", "X": "KS", "Z": "S"}.get(c, c)
+        key.append(sound)
+    return "".join(key)
 
 
 def nysiis_key(name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,34 +13,43 @@ BONUS = {"good": 10.0, "low": 5.0}
 BANDS = {"CONFIRMED": 95.0, "LIKELY": 80.0, "POTENTIAL": 60.0}
 
 
-def jaro(a: str, b: str) -> float:
-    """Share of common letters within half the longer name, less half the share of them that are out of order."""
-    if a == b:
-        return 1.0 if a else 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, mine = [True] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                mine.append(c)
-                break
-    if not mine:
-        return 0.0
-    theirs = [c for c, f in zip(b, free, strict=True) if not f]
-    m, moved = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
-    return (m / len(a) + m / len(b) + (m - moved) / m) / 3
+def code_points(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Names as rows of code points, filled up with 0, and their lengths."""
+    size = np.array([len(x) for x in names], np.int64)
+    out = np.zeros((len(names), max(1, int(size.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+    return out, size
+
+
+def jaro_winkler_values(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of pairs, for all pairs at once.
+
+    Jaro: the share of common letters within half the longer name, less half the share of them that are out of order.
+    It is raised by a common beginning of up to 4 letters if above 0.7. An empty name is like no other.
+    """
+    (x, n), (y, m) = code_points(a), code_points(b)
+    place = np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    free, mine = place < m[:, None], np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):  # each letter takes the first free one within reach
+        meets = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach) & (i < n[:, None])
+        hit = np.flatnonzero(meets.any(axis=1))
+        free[hit, meets[hit].argmax(axis=1)] = False
+        mine[hit, i] = True
+    theirs = ~free & (place < m[:, None])
+    common = mine.sum(axis=1)
+    # The common letters of both sides in order: pair by pair as many on either side.
+    moved = np.bincount(np.repeat(np.arange(len(a)), common), weights=x[mine] != y[theirs], minlength=len(a)).astype(int) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(common > 0, (common / n + common / m + (common - moved) / common) / 3, 0.0)
+    first = min(4, x.shape[1], y.shape[1])
+    same = (x[:, :first] == y[:, :first]) & (x[:, :first] > 0)
+    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
 
 
 def jaro_winkler_value(a: str, b: str) -> float:
-    """Jaro similarity raised by a common beginning of up to 4 letters if above 0.7."""
-    s = jaro(a, b)
-    if s <= 0.7:
-        return s
-    prefix = 0
-    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
-        prefix += 1
-    return s + 0.1 * prefix * (1 - s)
+    return float(jaro_winkler_values([a], [b])[0])
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -47,9 +57,13 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler_value(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+        known = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        if known.any():
+            out[known] = jaro_winkler_values(x[known].tolist(), y[known].tolist())
+        return pd.Series(out)
 
-    return of(a, b)
+    return F.when(a.isNotNull() & b.isNotNull(), of(a, b))
 
 
 def same_soundex(a: Column, b: Column) -> Column:

@@ -1,55 +1,83 @@
 """Screening of names against lists: candidate pairs, scores, classes, best matches, calibration.
 
-Only pairs that can reach the threshold are formed, by equi-joins. Pairs of equal Soundex meet on the code. For
-other pairs the score is at most 50 + 30 * levenshtein share, so they need a share of 1/3 or more at threshold 60,
-and so at least a third of the longer name's letters in common. Each name is known by its letters (numbered when
-repeated) in order of rarity; two such names share one among the first of each, long enough to leave out less than
-a third. A pair is formed at its first shared letter only. Thresholds below about 50 + 1 can't be joined this way.
+Only pairs that can reach the threshold are formed, by equi-joins. Pairs of equal Soundex meet on the code. For other
+pairs the score is bounded by what the names have in common: with c common letters of names of n and s letters,
+Levenshtein gives at most c / n and Jaro at most (c / n + c / s + 1) / 3, raised if the names begin alike. A name's
+signature is its first letter and how many of its letters fall into each of a few groups; the lesser counts of two
+signatures, summed, are at least c. So signatures are compared first, as arrays of numbers, and only names of
+signatures that may reach the threshold meet. There are far fewer signatures than names, as their number is bounded:
+if there are more than SIGNATURES, coarser groups are taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 
-#: Latin letters from rare to common, so that prefixes meet few names; other signs come first.
-RARITY = "zqxjkvbpygfwmucldrhsnioate "
+#: Letters from common to rare, dealt into groups in turn; any other sign is in a group of its own with its like.
+COMMON = "eaionrtlsudcmpghbyfvkwzxjq"
+#: Groups of letters, the most first; different signatures of one side that are broadcast; pairs of signatures compared at once.
+GROUPS, SIGNATURES, COMPARED = (16, 8, 4, 2, 1), 50_000, 1 << 20
 #: Half a step of the rounded score, left to it when pairs are dropped by an upper bound.
 SLACK = 0.005
 CLAUSE = "The absence of a match in the lists consulted is not a determination of absence of risk."
 
 
-def letters(name: Column) -> Column:
-    """Letters with their number of occurrence, rare ones first."""
-    each = F.filter(F.split(name, ""), lambda c: c != "")
-    counted = F.transform(each, lambda c, i: F.concat(F.lpad(F.position(c, F.lit(RARITY)).cast("string"), 2, "0"), c, F.size(F.filter(F.slice(each, F.lit(1), i), lambda x: x == c)).cast("string")))
-    return F.array_sort(counted)
+def signature(name: Column, groups: int) -> Column:
+    """array<int>: the first letter's code, then the number of letters in each group and of other signs."""
+    group = "".join(chr(ord("A") + i % groups) for i in range(len(COMMON)))
+    plain = F.translate(F.lower(name), COMMON, group)
+    counts = [F.length(plain) - F.length(F.replace(plain, F.lit(g), F.lit(""))) for g in sorted(set(group))]
+    return F.array(F.ascii(F.lower(name)), *counts, F.length(plain) - sum(counts, F.lit(0)))
+
+
+def reachable(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The largest score that names of these signatures (rows x signatures) can have without equal Soundex."""
+    n, m = one[:, 1:].sum(axis=1)[:, None], other[:, 1:].sum(axis=1)[None, :]
+    common = sum(np.minimum(one[:, None, g], other[None, :, g]) for g in range(1, one.shape[1]))
+    long, short = np.maximum(n, m), np.minimum(n, m)
+    jaro = np.where(common > 0, (common / long + common / short + 1) / 3, 0)
+    alike = 0.1 * np.minimum(4, short) * (one[:, None, 0] == other[None, :, 0])
+    return 100 * (S.WEIGHTS["jaro_winkler"] * np.where(jaro > 0.7, jaro + alike * (1 - jaro), jaro) + S.WEIGHTS["levenshtein"] * common / long)
+
+
+def meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(_s, _t): pairs of the signatures in columns `_s` and `_t` whose names may reach the threshold."""
+    theirs = np.array([r["_t"] for r in right.select("_t").distinct().collect()], np.int32)  # at most SIGNATURES rows, or the fewest there can be
+    told = left.sparkSession.sparkContext.broadcast(theirs)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        other = told.value
+        for batch in batches:
+            if not len(other):
+                continue
+            mine = np.array(batch["_s"].tolist(), np.int32)
+            step = max(1, COMPARED // len(other))
+            for at in range(0, len(mine), step):
+                i, j = np.nonzero(reachable(mine[at : at + step], other) >= threshold - SLACK)
+                yield pd.DataFrame({"_s": list(mine[at : at + step][i]), "_t": list(other[j])})
 
-def prefix(name: Column, share: float) -> Column:
-    """The rarest letters: all but one less than the share of the name that a partner must have in common."""
-    common = F.greatest(F.ceil(F.length(name) * share), F.lit(1))
-    return F.slice(letters(name), F.lit(1), (F.length(name) - common + 1).cast("int"))
+    return left.select("_s").distinct().mapInPandas(run, "_s array<int>, _t array<int>")
 
 
 def candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 60.0) -> DataFrame:
     """Pairs of rows (names `a` of `left` and `b` of `right`, null and empty names left out) that may score `threshold` or more, with sdx and lev."""
-    least = (threshold - SLACK - 50) / 30
     left, right = left.where(F.length(a) > 0), right.where(F.length(b) > 0)
     x, y = F.col(a), F.col(b)
     coded = left.withColumn("_c", F.soundex(x)).join(right.withColumn("_d", F.soundex(y)), F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("sdx", F.lit(1.0))
-    if least > 1:
-        loose = coded
-    else:
-        if least <= 0:
-            raise ValueError("names without common letters reach this threshold")
-        p, q = left.withColumn("_p", prefix(x, least)), right.withColumn("_q", prefix(y, least))
-        met = p.withColumn("_l", F.explode("_p")).join(q.withColumn("_m", F.explode("_q")), F.col("_l") == F.col("_m"))
-        first = F.array_min(F.array_intersect("_p", "_q")) == F.col("_l")
-        other = met.where(first & (F.soundex(x) != F.soundex(y))).drop("_p", "_q", "_l", "_m").withColumn("sdx", F.lit(0.0))
-        loose = coded.unionByName(other)
+    loose = coded
+    if threshold - SLACK <= 100 * (S.WEIGHTS["jaro_winkler"] + S.WEIGHTS["levenshtein"]):
+        sizes = right.agg(*(F.count_distinct(signature(y, g)).alias(str(g)) for g in GROUPS)).first()
+        groups = next((g for g in GROUPS if sizes[str(g)] <= SIGNATURES), GROUPS[-1])
+        p, q = left.withColumn("_s", signature(x, groups)), right.withColumn("_t", signature(y, groups))
+        met = p.join(meeting(p, q, threshold), "_s").join(q, "_t").drop("_s", "_t")
+        loose = coded.unionByName(met.where(F.soundex(x) != F.soundex(y)).withColumn("sdx", F.lit(0.0)))
     scored = loose.withColumn("lev", S.levenshtein_share(x, y))
     return scored.where(50 + 20 * F.col("sdx") + 30 * F.col("lev") >= threshold - SLACK)
 
