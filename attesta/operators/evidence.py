@@ -44,6 +44,14 @@ def defanged(value: Column, kind: Column) -> Column:
     return F.when(kind == "ip", ip).when(kind == "hash", value).otherwise(F.replace(F.replace(F.replace(value, F.lit("http"), F.lit("hxxp")), F.lit("."), F.lit("[.]")), F.lit("@"), F.lit("[@]")))
 
 
+def redacted(text: Column, names: Column, mask: str = "[redacted]") -> Column:
+    """A text without the names in an array<string> (null and empty ones left out), whatever their case; longer names first."""
+    given = F.array_sort(F.filter(F.array_distinct(names), lambda x: F.length(F.trim(x)) > 0), lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(given, lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}\s])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(given) > 0, F.regexp_replace(text, pattern, F.lit(mask))).otherwise(text)
+
+
 def hosts(df: DataFrame, url: str) -> DataFrame:
     """host and number of pages."""
     return df.select(F.lower(F.parse_url(F.col(url), F.lit("HOST"))).alias("host")).where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))

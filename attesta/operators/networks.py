@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +56,22 @@ def agreement(sources: list[DataFrame], names: list[str], key: str, value: str)
     return out.withColumn("agree", F.col("values") <= 1)
 
 
-def owners(stakes: DataFrame, least: float, depth: int = 8) -> DataFrame:
-    """(entity, owner, share): direct and indirect shares along chains of at most `depth` stakes (entity, owner, share), summed, from `least` on."""
-    now = every = stakes.select("entity", "owner", "share")
-    step = stakes.select(F.col("entity").alias("owner"), F.col("owner").alias("_next"), F.col("share").alias("_share"))
-    for _ in range(depth - 1):
-        now = now.join(step, "owner").select("entity", F.col("_next").alias("owner"), (F.col("share") * F.col("_share")).alias("share")).where("entity <> owner")
-        every = every.unionByName(now)
-    return every.groupBy("entity", "owner").agg(F.round(F.sum("share"), 6).alias("share")).where(F.col("share") >= least)
+def owners(stakes: DataFrame, least: float, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(entity, owner, share): direct and indirect shares along chains of stakes (entity, owner, share), summed, from `least` on.
+
+    Each round makes all chains one stake longer, summed by entity and owner, until there are no new ones. Where
+    stakes go round in circles, chains end when they are as long as there are owners, or weigh less than 1e-12.
+    """
+    step = checkpoint(stakes.groupBy("entity", "owner").agg(F.sum("share").alias("share")))
+    further = step.select(F.col("entity").alias("owner"), F.col("owner").alias("_next"), F.col("share").alias("_share"))
+    now, every = step, [step]
+    for _ in range(step.select("owner").distinct().count()):
+        now = now.join(further, "owner").select("entity", F.col("_next").alias("owner"), (F.col("share") * F.col("_share")).alias("share")).where("entity <> owner")
+        now = checkpoint(now.groupBy("entity", "owner").agg(F.sum("share").alias("share")).where("share >= 1e-12"))
+        if now.isEmpty():
+            break
+        every.append(now)
+    return reduce(DataFrame.unionByName, every).groupBy("entity", "owner").agg(F.round(F.sum("share"), 6).alias("share")).where(F.col("share") >= least)
 
 
 def shell_signs(df: DataFrame, signs: dict[str, Column], least: int) -> DataFrame:

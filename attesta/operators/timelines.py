@@ -47,6 +47,15 @@ def narrative(df: DataFrame, turn: str, text: str, least: int = 2) -> DataFrame:
     return counts.join(before, [turn, "token"], "left").where(F.col("n") >= least).select(turn, "token", "n", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("change"))
 
 
+def vanished(df: DataFrame, turn: str, text: str, least: int = 2) -> DataFrame:
+    """(turn, token, n, change): tokens met `least` times in the turn before and not at all in this one, of turns that have tokens."""
+    each = df.select(turn, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("token")).where("token <> ''")
+    counts = each.groupBy(turn, "token").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.where(F.col("n") >= least).select((F.col(turn) + 1).alias(turn), "token", F.col("n").alias("_n"))
+    gone = before.join(counts.select(turn).distinct(), turn, "left_semi").join(counts.select(turn, "token"), [turn, "token"], "left_anti")
+    return gone.select(turn, "token", F.lit(0).cast("bigint").alias("n"), (-F.col("_n")).alias("change"))
+
+
 def shared_lines(df: DataFrame, key: str, text: str, least_length: int = 20) -> DataFrame:
     """Lines that more than one text has: digest, texts, and length. Only digests are shuffled."""
     lines = df.select(key, F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")).where(F.length("line") >= least_length)

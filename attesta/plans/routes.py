@@ -17,6 +17,8 @@ ROUTES = {
     "person": ("ALIAS", "OSINT", "NET", "CYBER"),
     "document and entity": ("DOC", "ALIAS", "OSINT", "NET", "CYBER"),
 }
+#: What a step is limited to in a route.
+LIMITS = {("entity or platform", "CYBER"): "passive", ("incident", "CYBER"): "logs, IOCs", ("incident", "NET"): "IPs", ("person", "CYBER"): "passive", ("document and entity", "CYBER"): "passive"}
 MODES = ("DOC", "OSINT", "NET", "CYBER", "ALIAS", "NARRATIVE", "TIMELINE", "INTEGRADO")
 
 
@@ -33,6 +35,12 @@ def run(df: DataFrame, evidence: str, transformations: Mapping[str, Callable[[Da
     return reduce(lambda d, s: d.transform(transformations[s]), steps(evidence, mode), df)
 
 
+def limits(spark: SparkSession) -> DataFrame:
+    """trigger, pos, step and limit (null: none) of every step of every route."""
+    known = spark.createDataFrame([(t, s, x) for (t, s), x in LIMITS.items()], "trigger string, step string, limit string")
+    return table(spark).select("trigger", "pos", "step").join(F.broadcast(known), ["trigger", "step"], "left")
+
+
 def table(spark: SparkSession) -> DataFrame:
     """trigger, pos (from 0), step and whether another follows."""
     df = spark.createDataFrame([(k, list(v)) for k, v in ROUTES.items()], "trigger string, flow array<string>")

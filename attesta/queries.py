@@ -43,10 +43,13 @@ def part_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only where it is unset (tests) in a temporary folder."""
+    """A reliable checkpoint in spark.checkpoint.dir; where it is unset, in a temporary folder in local mode (tests), else an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attesta-"))
     return df.checkpoint()
 
 
@@ -109,12 +112,9 @@ QUALITY_SQL = "case length(b) % 3 when 0 then 'good' when 1 then 'low' else 'unc
 @query(PAIRS_SQL + f", q as (select a, b, score as base_score, {QUALITY_SQL} as quality from c), r as (select *, round(least(base_score + case quality when 'good' then 10 when 'low' then 5 else 0 end, 100), 2) as score from q) select a, b, base_score, quality, score, case when score >= 95 then 'CONFIRMED' when score >= 80 then 'LIKELY' else 'POTENTIAL' end as class from r where score >= 60")
 def alias_quality_adjust(spark, d):
     n = part_names(spark, d)
-    quality = F.when(F.length("b") % 3 == 0, "good").when(F.length("b") % 3 == 1, "low").otherwise("unclassified")
-    # The bonus lowers the least base score to 50, where letters alone no longer block; names pass in one loose join.
-    pairs = screening.candidates(n.select(F.col("name").alias("a")), n.select(F.col("name").alias("b")), "a", "b", 50.1).where("a < b")
-    out = screening.scored(pairs, "a", "b").withColumnRenamed("score", "base_score").withColumn("quality", quality)
-    out = out.withColumn("score", S.adjusted(F.col("base_score"), F.col("quality"))).where("score >= 60")
-    return out.select("a", "b", "base_score", "quality", "score", S.classified(F.col("score")).alias("class"))
+    quality = F.when(F.length("name") % 3 == 0, "good").when(F.length("name") % 3 == 1, "low").otherwise("unclassified")
+    out = screening.screened(n.select(F.col("name").alias("a")), n.select(F.col("name").alias("b"), quality.alias("quality")), "a", "b", quality="quality")
+    return out.where("a < b").select("a", "b", "base_score", "quality", "score", "class")
 
 
 @query(PAIRS_SQL + "select a, b, score from c where score >= 80")
@@ -152,6 +152,42 @@ def calibration_sweep(spark, d):
     return screening.calibration(rows, "s", "toxic", [60.0, 80.0, 95.0])
 
 
+BRAND_SQL = PAIRS_SQL.split("), p as (")[0] + f"""), k as (select distinct upper(p_brand) as b from part union select distinct upper(name) from n), p as (
+    select a.name as a, k.b, jaro_winkler_similarity(a.name, k.b) as jw, case when {soundex_sql("a.name")} = {soundex_sql("k.b")} then 1.0 else 0.0 end as sdx, 1 - levenshtein(a.name, k.b)::double / greatest(length(a.name), length(k.b), 1) as lev
+    from (select name from n union select upper(name) from n) a, k)"""
+
+
+@query(BRAND_SQL + " select a as subject, b as entry, round((0.5 * jw + 0.2 * sdx + 0.3 * lev) * 100, 2) as score, case when a = b then 'exact' when upper(a) = b then 'transliteration' when sdx = 1 then 'phonetic' else 'fuzzy' end as match_type from p where round((0.5 * jw + 0.2 * sdx + 0.3 * lev) * 100, 2) >= 60")
+def match_types(spark, d):
+    """All four types: names in both cases against names and brands in upper case, which stands in for another alphabet's letters."""
+    n = part_names(spark, d)
+    subjects = n.select(F.col("name").alias("subject")).union(n.select(F.upper("name"))).distinct()
+    entries = read(spark, d, "part").select(F.upper("p_brand").alias("entry")).union(n.select(F.upper("name"))).distinct()
+    pairs = screening.scored(screening.candidates(subjects, entries, "subject", "entry"), "subject", "entry").where("score >= 60")
+    return pairs.select("subject", "entry", "score", S.match_type(F.col("subject"), F.col("entry"), F.col("sdx"), F.upper("subject") == F.col("entry")).alias("match_type"))
+
+
+#: Names and their published Metaphone keys.
+KEYS = {"Thompson": "TMSN", "Church": "XRX", "Knight": "NT", "Wright": "RT", "Which": "WX", "Phone": "FN", "Smith": "SM0", "Smyth": "SM0", "Xavier": "SFR", "Physics": "FSKS", "Science": "SNS", "Bridge": "BRJ", "Lamb": "LM", "Watch": "WX", "Nation": "NXN", "Judge": "JJ", "Thumb": "0M", "Jackson": "JKSN", "Whale": "WL", "Catherine": "K0RN"}
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{k}')" for n, k in KEYS.items()) + ") t(name, key)")
+def metaphone_keys(spark, d):
+    return spark.createDataFrame([(n,) for n in KEYS], "name string").withColumn("key", phonetics.metaphone(F.col("name")))
+
+
+#: Made-up first names, and the number of made-up names, that are screened against each other.
+FIRST = "maria jose juan ana luis carlos pedro laura elena david marta paula jorge diego sofia lucia pablo hugo irene ruben"
+MADE_UP = 3000
+
+
+@query()
+def screening_of_many_names(spark, d):
+    """3,000 made-up names against each other, for the bench: candidates, scores, classes."""
+    made = spark.range(MADE_UP).select(F.concat_ws(" ", F.element_at(F.split(F.lit(FIRST), " "), (F.col("id") % 20 + 1).cast("int")), F.translate(F.substring(F.md5(F.floor(F.col("id") / 20).cast("string")), 1, 8), "0123456789", "lmnrstuvio")).alias("a"))
+    return screening.screened(made, made.select(F.col("a").alias("b")), "a", "b", 80.0).where("a < b").select("a", "b", "score", "class", "match_type")
+
+
 # Names -------------------------------------------------------------------------------------------
 
 
@@ -274,6 +310,12 @@ with i as (select doc_id, kind as ioc_type, unnest(list_distinct(regexp_extract_
 from documents, (values """ + ", ".join(f"('{k}', '{p}')" for k, p in evidence.INDICATORS.items()) + ") t(kind, re))"
 
 
+@query(r"select p_partkey, regexp_replace(p_name || ' (' || upper(p_name) || ') by ' || p_brand, '(?i)\b' || p_name || '\b', '[redacted]', 'g') as text from part")
+def subject_redaction(spark, d):
+    said = F.concat("p_name", F.lit(" ("), F.upper("p_name"), F.lit(") by "), "p_brand")
+    return read(spark, d, "part").select("p_partkey", evidence.redacted(said, F.array("p_name", F.lit(""))).alias("text"))
+
+
 @query(IOC_SQL + " select * from i")
 def ioc_extract(spark, d):
     return evidence.indicators(read(spark, d, "documents"), "doc_id", "text")
@@ -343,7 +385,7 @@ STAKES = [("A", "B", 0.6), ("A", "C", 0.4), ("B", "D", 0.5), ("B", "E", 0.5), ("
 
 @query("with recursive s(entity, owner, share) as (values " + ", ".join(map(str, STAKES)) + "), w as (select entity, owner, share::double as share, 1 as n from s union all select w.entity, s.owner, w.share * s.share, n + 1 from w join s on s.entity = w.owner where n < 8) select entity, owner, round(sum(share), 6) as share from w group by all having round(sum(share), 6) >= 0.25")
 def beneficial_owners(spark, d):
-    return networks.owners(spark.createDataFrame(STAKES, "entity string, owner string, share double"), 0.25)
+    return networks.owners(spark.createDataFrame(STAKES, "entity string, owner string, share double"), 0.25, checkpoint)
 
 
 @query("select s_suppkey, (s_acctbal < 0)::int + (n.n_regionkey = 0)::int + (coalesce(l.lines, 0) < 5)::int as signs, (s_acctbal < 0)::int + (n.n_regionkey = 0)::int + (coalesce(l.lines, 0) < 5)::int >= 2 as suspicious from supplier join nation n on n_nationkey = s_nationkey left join (select l_suppkey, count(*) as lines from lineitem group by 1) l on l_suppkey = s_suppkey")
@@ -468,6 +510,14 @@ def narrative_evolution(spark, d):
     return timelines.narrative(read(spark, d, "conversations"), "turn", "text")
 
 
+@query(r"""
+with t as (select turn, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from conversations), c as (select turn, token, count(*) as n from t where token <> '' group by all)
+select a.turn + 1 as turn, a.token, 0::bigint as n, -a.n as change from c a where a.n >= 2 and a.turn + 1 in (select turn from c) and not exists (select 1 from c b where b.turn = a.turn + 1 and b.token = a.token)
+""")
+def narrative_vanished(spark, d):
+    return timelines.vanished(read(spark, d, "conversations"), "turn", "text")
+
+
 @query(r"with l as (select doc_id, unnest(list_distinct(string_split(text, chr(10)))) as line from documents) select sha256(line) as line_sha256, length(line)::int as length, count(distinct doc_id) as texts from l where length(line) >= 20 group by line having count(distinct doc_id) > 1")
 def shared_narrative(spark, d):
     return timelines.shared_lines(read(spark, d, "documents"), "doc_id", "text")
@@ -517,11 +567,27 @@ def technical_determination(spark, d):
     return reports.determination(checks, "case_id", "standard", "ok")
 
 
+def case_sources(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, source, url and time of consultation of what the findings rest on."""
+    told = findings(spark, d).select("case_id", "source").distinct().join(read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderdate"), "case_id")
+    return told.select("case_id", "source", F.concat(F.lit("https://tables.example/"), "source").alias("url"), F.date_add(F.to_date("o_orderdate"), 1).alias("consulted_at"))
+
+
+@query(FINDINGS_SQL + ", s as (select distinct case_id, source, 'https://tables.example/' || source as url, (o_orderdate::date + 1)::date as consulted_at from f join orders on o_orderkey = case_id) select case_id, source, url, consulted_at, 'A' || row_number() over (partition by case_id order by source, url, consulted_at) as annex from s")
+def source_annex(spark, d):
+    return reports.annex(case_sources(spark, d), "case_id")
+
+
+@query("select o_orderkey, 'SYSTEM_CASO-' || o_orderkey || '_' || strftime(o_orderdate, '%Y-%m-%d') || '.txt' as file from orders")
+def report_files(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", reports.file_name("SYSTEM", F.col("o_orderkey"), F.col("o_orderdate")).alias("file"))
+
+
 @query()
 def case_reports(spark, d):
     numbered = reports.numbered(findings(spark, d), "case_id", "source", "n", "value")
     matches = name_pairs(spark, d).select(F.length("a").cast("bigint").alias("case_id"), F.col("b").alias("alias_detected"), F.lit("parts").alias("list_matched"), "score", "class")
-    return reports.texts(numbered, matches, "case_id")
+    return reports.texts(numbered, matches, "case_id", technical_determination(spark, d), case_sources(spark, d))
 
 
 @query("select o_orderkey, round(date_sub('second', o_orderdate, timestamp '1998-08-02 14:32:07') / 3600.0, 2)::double as age_hours, date_sub('second', o_orderdate, timestamp '1998-08-02 14:32:07') / 3600.0 > 24 as stale from orders")
@@ -530,9 +596,18 @@ def list_staleness(spark, d):
     return reports.stale(o, F.lit("1998-08-02 14:32:07").cast("timestamp_ntz"), F.col("o_orderdate")).select("o_orderkey", "age_hours", "stale")
 
 
-@query("select * from (values ('INTEGRADO', '', 'mode: INTEGRADO' || chr(10) || 'subject: [pendiente]'), ('DOC', 'Ana', 'mode: DOC' || chr(10) || 'subject: Ana')) t(mode, subject, text)")
+INVOCATION_SQL = (
+    "'System ready. v3.1' || chr(10) || chr(10) || 'Mode: [ALIAS]' || chr(10) || 'Evidence: [[pendiente]]' || chr(10) || chr(10) || 'Subjects to compare with restrictive lists:' || chr(10) || '  - Natural person:' || chr(10) || '      Name(s): ' || c_name || chr(10) || '      Known aliases: [pendiente]' || chr(10)"
+    " || '      Date of birth: [pendiente]' || chr(10) || '      Nationality: ' || n_name || chr(10) || '      Documents: [pendiente]' || chr(10) || '  - Legal person:' || chr(10) || '      Company name: [pendiente]' || chr(10) || '      Variants: [pendiente]' || chr(10) || '      Jurisdiction: [pendiente]' || chr(10)"
+    " || '      Tax registration: [pendiente]' || chr(10) || chr(10) || 'Which evidence is analysed?'"
+)
+
+
+@query(f"select c_custkey, {INVOCATION_SQL} as text from customer join nation on c_nationkey = n_nationkey")
 def invocation_text(spark, d):
-    return reports.invocation(spark.createDataFrame([("INTEGRADO", ""), ("DOC", "Ana")], "mode string, subject string"))
+    both = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = both.select("c_custkey", F.lit("ALIAS").alias("mode"), F.col("c_name").alias("subject_name"), F.lit(" ").alias("aliases"), F.col("n_name").alias("nationality"))
+    return reports.invocation(asked).select("c_custkey", "text")
 
 
 @query("with r(trigger, flow) as (values " + ", ".join(f"('{k}', {list(v)})" for k, v in routes.ROUTES.items()) + ") select trigger, pos::int - 1 as pos, flow[pos] as step, pos < len(flow) as more from r, lateral (select unnest(range(1, len(flow) + 1)) as pos)")
@@ -540,6 +615,24 @@ def case_routes(spark, d):
     return routes.table(spark)
 
 
+@query("select t.trigger, step, limit_ as \"limit\" from (values " + ", ".join(f"('{k}', '{x}', " + (f"'{routes.LIMITS[k, x]}'" if (k, x) in routes.LIMITS else "null") + ")" for k, v in routes.ROUTES.items() for x in v) + ") t(trigger, step, limit_)")
+def route_limits(spark, d):
+    return routes.limits(spark).select("trigger", "step", "limit")
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{t}')" for n, t in lists.FURTHER) + ") t(name, type)")
+def further_lists(spark, d):
+    return lists.further(spark)
+
+
+@query("with n as (select p_partkey, p_name, (p_partkey % 8)::int as k from part), l(k, list_name, type) as (values " + ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(lists.FURTHER)) + ") select list_name, type, p_partkey::varchar as entry_id, p_name as primary_name, null::varchar as alias, 'unclassified' as alias_quality from n join l using (k)")
+def further_list_entries(spark, d):
+    """Rows of the further lists and of two that aren't among them, by the entries' common schema."""
+    named = F.coalesce(F.try_element_at(F.array(*(F.lit(n) for n, _ in lists.FURTHER)), (F.col("p_partkey") % 8 + 1).cast("int")), F.lit("other"))
+    entries = read(spark, d, "part").select(named.alias("list_name"), F.col("p_partkey").cast("string").alias("entry_id"), F.col("p_name").alias("primary_name"), F.lit(None).cast("string").alias("alias"), F.lit("unclassified").alias("alias_quality"))
+    return lists.taken(entries, lists.further(spark))
+
+
 @query("select * from (values " + ", ".join(f"('{n}', '{a}', '{x}')" for n, a, f in lists.CATALOGUE for x in f.split(", ")) + ") t(name, authority, format)")
 def list_formats(spark, d):
     return lists.catalogue(spark).select("name", "authority", F.explode("formats").alias("format"))

@@ -13,8 +13,21 @@ CATALOGUE = [
     ("Interpol Red Notices", "Interpol", "HTML"), ("Interpol-UN Special", "Interpol, UN", "HTML"), ("FBI Most Wanted", "FBI", "JSON"), ("Europol Wanted", "Europol", "HTML"),
     ("Blocked Persons", "Mexico", "HTML, PDF"), ("UK Sanctions", "UK Treasury", "CSV, XML"), ("DFAT Consolidated", "Australia", "HTML, CSV"), ("OSFI", "Canada", "CSV, XML"),
 ]
-#: Further lists by type.
-FURTHER = [("SEC Litigation Releases", "regulatory US"), ("CFTC Enforcement Actions", "regulatory US"), ("FCA Warning List", "regulatory UK"), ("CNBV Sanctions", "regulatory MX"), ("UIF Alerts", "intelligence MX")]
+#: Further lists by type. They are commercial or national and have no common format; rows come as ENTRY tables.
+FURTHER = [
+    ("PEPs (Dow Jones, Refinitiv)", "political exposure"), ("SEC Litigation Releases", "regulatory US"), ("CFTC Enforcement Actions", "regulatory US"),
+    ("FCA Warning List", "regulatory UK"), ("CNBV Sanctions", "regulatory MX"), ("UIF Alerts", "financial intelligence MX"),
+]
+
+
+def further(spark: SparkSession) -> DataFrame:
+    """name and type of each further list."""
+    return spark.createDataFrame(FURTHER, "name string, type string")
+
+
+def taken(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """`entries` (of any list, with the columns of ENTRY) with the `type` of the further list they are of; entries of no list in `known` go."""
+    return entries.join(known.select(F.col("name").alias("list_name"), "type"), "list_name").select("list_name", "type", "entry_id", "primary_name", "alias", "alias_quality")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -42,6 +55,19 @@ def read_xml(spark: SparkSession, path: str, name: str, row_tag: str, columns: d
     return _entries(spark.read.format("xml").option("rowTag", row_tag).load(path), name, columns)
 
 
+def read_html(spark: SparkSession, path: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """A list published as an HTML table: the row of header cells names the columns, each further row is an entry; markup in cells is left out."""
+    page = spark.read.text(path, wholetext=True)
+    row = page.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("i", "row"), F.input_file_name().alias("file"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(plain(c), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    cells = row.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), text))
+    head = cells.where("row rlike '(?i)<th'").groupBy("file").agg(F.min_by("cells", "i").alias("head"))
+    body = cells.where("not row rlike '(?i)<th'").join(head, "file")
+    named = body.select(*(F.nullif(F.try_element_at("cells", F.nullif(F.array_position("head", c).cast("int"), F.lit(0))), F.lit("")).alias(c) for c in columns.values()))
+    return _entries(named, name, columns)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, time of change and SHA-256 of evidence files."""
     read = spark.read.format("binaryFile").load(path)

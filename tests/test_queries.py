@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta import queries
-from attesta.operators import documents, networks, reports, timelines
+from attesta.operators import documents, evidence, networks, reports, timelines
 from attesta.plans import routes
 from attesta.sources import lists
 from attesta.streaming import errors
@@ -73,6 +73,32 @@ def test_report_keeps_its_clause(spark):
     assert "CLEAR" in text and "not a determination of absence" in text and "SUSTANCIAL" in text
 
 
+def test_report_sections(spark, tmp_path):
+    found = spark.createDataFrame([(1, "H1", "f", "v", "m", "s", 99.0)], "case_id int, finding string, field string, value string, method string, source string, confidence double")
+    none = spark.createDataFrame([], "case_id int, alias_detected string, list_matched string, score double, class string")
+    checks = spark.createDataFrame([(1, "ISO 9362", 2, False)], "case_id int, standard string, checks int, conforming boolean")
+    sources = spark.createDataFrame([(1, "bic", "https://a.example", "2024-12-14"), (1, "bic", "https://a.example", "2024-12-14")], "case_id int, source string, url string, consulted_at string")
+    text = reports.texts(found, none, "case_id", checks, sources)
+    said = text.first().report
+    assert "ISO 9362: not conforming (2 checks)" in said and said.endswith("6. ANNEXES\n   A1: bic, https://a.example, consulted 2024-12-14")
+    reports.write_texts(text, str(tmp_path / "out"), "SYS", "2024-12-15")
+    folder = tmp_path / "out" / "file=SYS_CASO-1_2024-12-15.txt"
+    assert [p.read_text() for p in folder.glob("part-*")] == [said + "\n"]
+
+
+def test_owners_of_long_chains_and_circles(spark):
+    chain = [(f"e{i}", f"e{i + 1}", 0.99) for i in range(12)] + [("x", "y", 0.5), ("y", "x", 0.5), ("y", "z", 0.5)]
+    got = {(r.entity, r.owner): r.share for r in networks.owners(spark.createDataFrame(chain, "entity string, owner string, share double"), 0.1, queries.checkpoint).collect()}
+    assert got["e0", "e12"] == round(0.99**12, 6) and got["x", "z"] == 0.25 and got["y", "z"] == 0.5
+    whole = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)]
+    assert networks.owners(spark.createDataFrame(whole, "entity string, owner string, share double"), 0.1, queries.checkpoint).count() >= 4
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([("Ann Lee met ann LEE, Annabel and A.B. (x)", ["Ann", "Ann Lee", "A.B.", " ", None]), ("Ann", []), (None, ["Ann"])], "t string, n array<string>")
+    assert [r.x for r in df.select(evidence.redacted(F.col("t"), F.col("n")).alias("x")).collect()] == ["[redacted] met [redacted], Annabel and [redacted] (x)", "Ann", None]
+
+
 def test_routes(spark):
     assert routes.steps("incident") == ("CYBER", "NET", "OSINT", "ALIAS") and routes.steps("incident", "NET") == ("NET",)
     add = {s: (lambda df, s=s: df.withColumn(s, F.lit(1))) for s in routes.MODES}
@@ -85,10 +111,11 @@ def test_list_readers_and_snapshots(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ref,name,aka\n1,Ann,A; An\n2,Bob,\n")
     (tmp_path / "a.json").write_text('{"ref": 1, "name": "Ann", "aka": "A; An"}\n{"ref": 2, "name": "Bob"}\n')
     (tmp_path / "a.xml").write_text("<l><e><ref>1</ref><name>Ann</name><aka>A; An</aka></e><e><ref>2</ref><name>Bob</name></e></l>")
+    (tmp_path / "a.html").write_text("<h1>L</h1><table><tr><th>ref</th><th>name</th><th>aka</th></tr>\n<tr class=x><td>1</td><td><b>Ann</b></td><td>A;\n An</td></tr><tr><td>2</td><td>Bob</td><td></td></tr></table>")
     columns = {"entry_id": "ref", "primary_name": "name", "alias": "aka"}
-    read = [lists.read_csv(spark, str(tmp_path / "a.csv"), "L", columns), lists.read_json(spark, str(tmp_path / "a.json"), "L", columns), lists.read_xml(spark, str(tmp_path / "a.xml"), "L", "e", columns)]
+    read = [lists.read_csv(spark, str(tmp_path / "a.csv"), "L", columns), lists.read_json(spark, str(tmp_path / "a.json"), "L", columns), lists.read_xml(spark, str(tmp_path / "a.xml"), "L", "e", columns), lists.read_html(spark, str(tmp_path / "a.html"), "L", columns)]
     told = [sorted(map(str, df.collect())) for df in read]
-    assert told[0] == told[1] == told[2] and len(told[0]) == 3
+    assert told[0] == told[1] == told[2] == told[3] and len(told[0]) == 3
     path = str(tmp_path / "snap")
     lists.snapshot(read[0], path, "1", "aa", "2024-01-01 00:00:00")
     lists.snapshot(read[0].limit(1), path, "2", "bb", "2024-02-01 00:00:00")
