@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of keys that may be broadcast: some tens of MB.
+TOLD = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables as a DataFrame."""
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,21 +28,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), else an error."""
     sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        told = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="attesta-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="attesta-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(told)
-    return told
+        sc.setCheckpointDir(folder)
+    return folder
 
 
-def checkpointed(df: DataFrame, files: int = 4) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder, in `files` files for each core of the cluster, or fewer."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    return df.coalesce(max(12 * files, files * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder. Adaptive execution sizes its partitions."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -46,7 +51,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attesta-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attesta_path = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes what `written` wrote for `df`. Everything that is read from it must be written by now."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._attesta_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def told(keys: DataFrame, most: int = TOLD) -> DataFrame:
+    """`keys` (a few numbers a row, already written) marked for a broadcast if they are at most `most` rows; beyond, Spark shuffles both sides of the join."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
 
 
 def text_or_empty(name: str = "text") -> Column:
