@@ -20,12 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import deleted, text_or_empty, written
 
 #: Labelled rows in the sample that the lexicon and the model are fitted on (expected number, chosen by a hash of the id).
 SAMPLE = 20_000
-#: Candidates whose counts come to the driver, and terms of the lexicon.
-CANDIDATES, TERMS = 50_000, 2_000
 #: Stems are this long; a term needs so many toxic rows and this log ratio of frequencies.
 STEMS, LEAST_ROWS, LEAST_RATIO = range(4, 9), 5, 3.5
 #: Letters from which a word, and a stem, may be misspelled by one edit. Many ordinary words begin within an edit of a short stem.
@@ -210,23 +208,26 @@ def candidate_terms(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
-def counted(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """(term, n): in how many rows of `text` each candidate term occurs; summed inside tasks first."""
-    told = rows.sparkSession.sparkContext.broadcast(only)
+def counted(rows: DataFrame) -> DataFrame:
+    """(term, a, b): in how many toxic and in how many other rows (text, _toxic) each candidate term occurs; summed inside tasks first."""
 
     def run(batches):
-        seen: Counter[str] = Counter()
+        seen: dict[str, list[int]] = {}
+
+        def table():
+            return pd.DataFrame([(t, *n) for t, n in seen.items()], columns=["term", "a", "b"])
+
         for batch in batches:
-            for text in batch["text"]:
-                terms = candidate_terms(text)
-                seen.update(terms if told.value is None else terms & told.value)
+            for text, toxic in zip(batch["text"], batch["_toxic"], strict=True):
+                for term in candidate_terms(text):
+                    seen.setdefault(term, [0, 0])[0 if toxic else 1] += 1
             if len(seen) > 200_000:
-                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+                yield table()
                 seen.clear()
         if seen:
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            yield table()
 
-    return rows.select("text").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text", "_toxic").mapInPandas(run, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def log_ratio(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
@@ -247,8 +248,7 @@ def chosen_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
         beside = not t.endswith("*") and len(t) >= FUZZY and not any(len(s) > FUZZY_STEM and t.startswith(s[:-1]) for s in out if s.endswith("*"))
         if not before or weight[t] > max(before) + 1 or beside:
             out[t] = weight[t]
-    most = sorted(out, key=lambda t: (-counts[t][0] * out[t], t))[:TERMS]
-    return {t: out[t] for t in most}
+    return out
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -268,21 +268,22 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from about `sample` labelled rows that aren't held out; without toxic or other rows, one that knows nothing.
 
-    Null labels and null ids aren't learned from; of several labels of one id the largest counts.
+    Null labels and null ids aren't learned from; of several labels of one id the largest counts. The sample is written
+    once. What comes to the driver (the lexicon, the misspellings met, a few numbers a row) is bounded by the sample.
     """
     spark = docs.sparkSession
     told = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_toxic"))
     share = min(1.0, sample / max(1, told.count()))
     told = told.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(told), key).select("text", "_toxic")
+    rows = written(docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(told), key).select("text", "_toxic"), "labelled")
     n = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_other:
+        deleted(rows)
         return Model()
-    toxic = counted(rows.where("_toxic = 1")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    a = {r["term"]: r["n"] for r in toxic}
-    b = {r["term"]: r["n"] for r in counted(rows.where("_toxic = 0"), set(a)).collect()}
-    exact = chosen_terms({t: (a[t], b.get(t, 0)) for t in a}, n_toxic, n_other)
+    ratio = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_other + 1))
+    separating = counted(rows).where((F.col("a") >= LEAST_ROWS) & (ratio >= LEAST_RATIO - 1e-9)).collect()
+    exact = chosen_terms({r["term"]: (r["a"], r["b"]) for r in separating}, n_toxic, n_other)
     draft = spark.sparkContext.broadcast({t: (w, 0.0) for t, w in exact.items()})
 
     def misspelled(batches):
@@ -315,6 +316,7 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pd.DataFrame({"x": [list(map(float, reader.features(t))) for t in batch["text"]], "y": batch["_toxic"]})
 
     got = rows.mapInPandas(read, "x array<double>, y int").collect()
+    deleted(rows)
     w = fitted(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
     return Model(terms, ordinary, tuple(map(float, w)))
 
@@ -333,14 +335,17 @@ def scores(text: Column, model: Model, session) -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; repeated rows each get their own result."""
+    """doc_id, held_out, score and predicted of every row.
+
+    Null and empty texts score as a text without hits, repeated rows each get their own result, other columns play no part.
+    """
     model = learned(docs, labels)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scores(text_or_empty(), model, docs.sparkSession).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that score below the threshold, unchanged."""
+    """The rows of `docs` that score below the threshold, unchanged, whatever their columns are named; null and empty texts stay."""
     model = learned(docs, labels, text=text)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), scores(text_or_empty(text), model, docs.sparkSession).alias("score"))
     return held.where(F.col("score") < THRESHOLD).select("row.*")
