@@ -405,61 +405,46 @@ def cross_source_agreement(spark, d):
     return networks.agreement([c, s], ["customer", "supplier"], "nationkey", "v")
 
 
-EDGES_SQL = "select distinct o_custkey as customer, l_suppkey as supplier from orders join lineitem on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' and l_quantity >= 49"
+EDGES_SQL = "select distinct o_custkey as customer, l_suppkey as supplier from orders join lineitem on l_orderkey = o_orderkey"
+#: Labels spread along edges; only a node's least label so far is kept.
+COMPONENTS_SQL = f"""
+with recursive e as ({EDGES_SQL}), u as (select 'c' || customer as a, 's' || supplier as b from e), s as (select a, b from u union select b, a from u),
+c(node, component) using key (node) as (
+    select distinct a as node, a as component from s
+    union (select distinct on (x.node) x.node, y.component from recurring.c x join s on s.a = x.node join c y on y.node = s.b where y.component < x.component order by x.node, y.component)
+) select node, component from c
+"""
+DEGREES_SQL = f"with e as ({EDGES_SQL}), n as (select 'c' || customer as node, 1 as o, 0 as i, 's' || supplier as x from e union all select 's' || supplier, 0, 1, 'c' || customer from e) select node, sum(o)::bigint as n_out, sum(i)::bigint as n_in, count(distinct x) as neighbours from n group by node"
 
 
 def entity_edges(spark: SparkSession, d: str) -> DataFrame:
-    o, i = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), read(spark, d, "lineitem").where("l_quantity >= 49")
+    """All customers with the suppliers of their lines."""
+    o, i = read(spark, d, "orders"), read(spark, d, "lineitem")
     return o.join(i, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
 
 
+def named_edges(e: DataFrame) -> DataFrame:
+    return e.select(F.concat(F.lit("c"), F.col("customer").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("b"))
+
+
 @query(EDGES_SQL)
 def entity_links(spark, d):
     return entity_edges(spark, d)
 
 
-@query(f"""
-with recursive e as ({EDGES_SQL}), u as (select 'c' || customer as a, 's' || supplier as b from e), s as (select a, b from u union all select b, a from u),
-r as (select a as node, a as seen from s union select r.node, s.b from r join s on s.a = r.seen)
-select node, min(seen) as component from r group by node
-""")
+@query(COMPONENTS_SQL)
 def entity_components(spark, d):
-    e = entity_edges(spark, d).select(F.concat(F.lit("c"), F.col("customer").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("b"))
-    return networks.components(e, "a", "b", checkpoint)
+    return networks.components(named_edges(entity_edges(spark, d)), "a", "b", checkpoint)
 
 
-@query(f"with e as ({EDGES_SQL}), n as (select 'c' || customer as node, 1 as o, 0 as i, 's' || supplier as x from e union all select 's' || supplier, 0, 1, 'c' || customer from e) select node, sum(o)::bigint as n_out, sum(i)::bigint as n_in, count(distinct x) as neighbours from n group by node")
+@query(DEGREES_SQL)
 def influence_degrees(spark, d):
-    e = entity_edges(spark, d).select(F.concat(F.lit("c"), F.col("customer").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("b"))
-    return networks.degrees(e, "a", "b")
-
-
-ALL_EDGES_SQL = "select distinct o_custkey as customer, l_suppkey as supplier from orders join lineitem on l_orderkey = o_orderkey"
-
-
-def all_entity_edges(spark: SparkSession, d: str) -> DataFrame:
-    """All edges; `entity_edges` has those of urgent orders with large lines only."""
-    o, i = read(spark, d, "orders"), read(spark, d, "lineitem")
-    return o.join(i, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
-
-
-def named_edges(e: DataFrame) -> DataFrame:
-    return e.select(F.concat(F.lit("c"), F.col("customer").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("b"))
-
-
-@query(ALL_EDGES_SQL)
-def all_entity_links(spark, d):
-    return all_entity_edges(spark, d)
-
-
-@query()  # recursive SQL would list every pair of reachable nodes
-def all_entity_components(spark, d):
-    return networks.components(named_edges(all_entity_edges(spark, d)), "a", "b", checkpoint)
+    return networks.degrees(named_edges(entity_edges(spark, d)), "a", "b")
 
 
-@query(f"with e as ({ALL_EDGES_SQL}), n as (select 'c' || customer as node, 1 as o, 0 as i, 's' || supplier as x from e union all select 's' || supplier, 0, 1, 'c' || customer from e) select node, sum(o)::bigint as n_out, sum(i)::bigint as n_in, count(distinct x) as neighbours from n group by node")
-def all_influence_degrees(spark, d):
-    return networks.degrees(named_edges(all_entity_edges(spark, d)), "a", "b")
+# The same under the names that they had while the three above were an excerpt.
+for _f in (entity_links, entity_components, influence_degrees):
+    QUERIES[f"all_{_f.__name__}"], SQL[f"all_{_f.__name__}"] = _f, SQL[_f.__name__]
 
 
 # Timelines ---------------------------------------------------------------------------------------
