@@ -8,24 +8,25 @@ matrix, and sampled suffix positions are built. All windows are searched backwar
 by ranks in the wavelet matrix; occurrences are located by walking back to a sampled position; and the words
 they cover are merged into spans of each document.
 
-The benchmark's vocabulary and windows are broadcast in blocks of at most WINDOWS windows. The documents pass
-through one map per block and carry the spans found so far, so a large benchmark takes more passes in the same
-stage, not more memory or a shuffle.
+The benchmark's vocabulary and windows are broadcast in blocks of about WINDOWS windows, one after the other. Each
+further block is a pass over the documents of its own, which writes the hits of the texts that have any under the
+text's digest; they are merged by digest. So memory doesn't grow with the benchmark, and no text is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import sha256
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_or_empty
+from .common import deleted, text_or_empty, written
 
 WIDTH = 13
 #: Windows searched in one pass.
@@ -228,7 +229,7 @@ def scan(texts: list[bytes], block: Windows) -> Iterator[tuple[int, list[tuple[i
             yield int(count[i]), [(x - b, y - b, int(first[x]), int(last[y - 1])) for x, y in merged(spans)], items
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, most: int = WINDOWS) -> Iterator[Windows]:
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, most: int = WINDOWS) -> Iterator[Windows]:
     """The benchmark's windows in blocks of about `most`; null texts have none, null ids count as the empty string."""
     kind = "window array<bigint>, items array<string>"
 
@@ -240,86 +241,92 @@ def blocks(spark: SparkSession, benchmark: DataFrame, item: str = "item_id", tex
 
     slim = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), text_or_empty(text).alias("text"))
     each = slim.mapInPandas(run, kind).groupBy("window").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    each = each.withColumn("_hash", F.xxhash64("window"))
+    each = written(each, "windows")
     n = max(1, -(-each.count() // most))
     for b in range(n):
-        rows = each.where(F.pmod("_hash", F.lit(n)) == b).collect()
+        rows = each.where(F.pmod(F.xxhash64("window"), F.lit(n)) == b).collect()  # about `most` rows
         yield Windows.of(sorted((tuple(x % (1 << 64) for x in r["window"]), list(r["items"])) for r in rows))
+    deleted(each)
 
 
-HITS = "array<struct<first:bigint,last:bigint,begin:bigint,end:bigint>>"
-
-
-def hit_columns(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """`key`, n_words, hits (merged spans by words and by bytes) and items (sorted ids) of every row. No shuffle of documents."""
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    columns = ["key", "n_words", "hits", "items"]
-    schema = f"key {kind}, n_words bigint, hits {HITS}, items array<string>"
-    out = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
-    told = [spark.sparkContext.broadcast(b) for b in blocks(spark, benchmark, width=width)]
-    for block in told:
-        kept = columns if block is told[-1] else [*columns, "text"]  # the last pass drops the text
-
-        def run(batches, told=block, kept=kept):
-            for batch in batches:
-                n, hits, items = [], [], []
-                old = zip(batch["hits"], batch["items"], strict=True)
-                for (count, spans, ids), (before, known) in zip(scan([t.encode() for t in batch["text"]], told.value), old, strict=True):
-                    n.append(count)
-                    if len(before):
-                        spans = union(spans, [tuple(x[f] for f in ("first", "last", "begin", "end")) for x in before])
-                    hits.append([dict(zip(("first", "last", "begin", "end"), s, strict=True)) for s in spans])
-                    items.append(sorted({*ids, *known}))
-                yield batch.assign(n_words=n, hits=hits, items=items)[kept]
-
-        out = out.mapInPandas(run, schema + ", text string" * (len(kept) > len(columns)))
-    return out.withColumnRenamed("key", key)
-
-
-def union(a: list[tuple[int, int, int, int]], b: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Hit spans of two passes, merged by words; bytes follow."""
-    out: list[tuple[int, int, int, int]] = []
-    for s in sorted([*a, *b]):
+HIT = "struct<first:bigint,last:bigint,begin:bigint,end:bigint>"
+FOUND = f"struct<n_words:bigint,hits:array<{HIT}>,items:array<string>>"
+
+
+def searched(text: Column, told: Broadcast) -> Column:
+    """Struct of n_words, hits (merged spans by words and by bytes) and items (sorted ids) of each text, for one block of windows."""
+
+    @F.pandas_udf(FOUND)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            got = list(scan([t.encode() for t in texts], told.value))
+            named = [[dict(zip(("first", "last", "begin", "end"), s, strict=True)) for s in spans] for _, spans, _ in got]
+            yield pd.DataFrame({"n_words": [n for n, _, _ in got], "hits": named, "items": [sorted(i) for _, _, i in got]})
+
+    return of(text)
+
+
+def united(hits: Column) -> Column:
+    """Hit spans of several blocks, sorted by their words, those that overlap or adjoin as one."""
+
+    @F.pandas_udf(f"array<{HIT}>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([union([tuple(x[f] for f in ("first", "last", "begin", "end")) for x in spans]) for spans in batch], dtype=object)
+
+    return of(hits)
+
+
+def union(spans: list[tuple[int, int, int, int]]) -> list[dict]:
+    out: list[list[int]] = []
+    for s in sorted(spans):
         if out and s[0] <= out[-1][1]:
-            p = out[-1]
-            out[-1] = (p[0], max(p[1], s[1]), p[2], max(p[3], s[3]))
+            out[-1][1], out[-1][3] = max(out[-1][1], s[1]), max(out[-1][3], s[3])
         else:
-            out.append(s)
+            out.append(list(s))
+    return [dict(zip(("first", "last", "begin", "end"), s, strict=True)) for s in out]
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, found: str = "_found", width: int = WIDTH) -> DataFrame:
+    """`docs` with a struct `found` of n_words, hits and items for its text (null: empty). No shuffle while the benchmark fits one block."""
+    spark, t = docs.sparkSession, text_or_empty(text)
+    digest = F.md5(F.encode(t, "UTF-8"))
+    out, more = docs, []
+    for number, block in enumerate(blocks(benchmark, width=width)):
+        told = spark.sparkContext.broadcast(block)
+        if not number:
+            out = docs.withColumn(found, searched(t, told))
+            continue
+        part = docs.select(digest.alias("_text"), searched(t, told).alias("_part")).where(F.size("_part.hits") > 0).dropDuplicates(["_text"])
+        more.append(written(part, "hits"))
+        told.destroy()
+    if more:
+        total = reduce(DataFrame.unionByName, more).groupBy("_text").agg(F.flatten(F.collect_list("_part.hits")).alias("_hits"), F.flatten(F.collect_list("_part.items")).alias("_items"))
+        none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+        out = out.withColumn("_text", digest).join(total, "_text", "left")
+        hits = united(F.concat(f"{found}.hits", none("_hits", f"array<{HIT}>")))
+        items = F.array_sort(F.array_distinct(F.concat(f"{found}.items", none("_items", "array<string>"))))
+        out = out.withColumn(found, F.struct(F.col(f"{found}.n_words").alias("n_words"), hits.alias("hits"), items.alias("items"))).drop("_text", "_hits", "_items")
     return out
 
 
+def n_hit(found: str) -> Column:
+    """The number of words that are hit."""
+    return F.aggregate(f"{found}.hits", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit spans (bytes) of every row.
 
     A null or empty text has no words and isn't contaminated; repeated rows each get their own result; an empty
     benchmark gives no hits.
     """
-    found = hit_columns(docs.select("doc_id", "text"), benchmark)
-    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
-    found = found.withColumn("n_hit", n_hit)
+    found = with_hits(docs.select("doc_id", "text"), benchmark, "text").drop("text").withColumn("n_hit", n_hit("_found")).select("doc_id", "n_hit", "_found.*")
     spans = F.array_join(F.transform("hits", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), spans.alias("hit_bytes"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't contaminated, unchanged; one map over the rows for each block of windows."""
-    columns = docs.columns
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text).alias("text"))
-    mark = held
-    spark = docs.sparkSession
-    for block in blocks(spark, benchmark):
-        told = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf(f"struct<n_words:bigint,hits:{HITS}>")
-        def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for texts in batches:
-                got = list(scan([t.encode() for t in texts], told.value))
-                yield pd.DataFrame({"n_words": [n for n, _, _ in got], "hits": [[dict(zip(("first", "last", "begin", "end"), s, strict=True)) for s in spans] for _, spans, _ in got]})
-
-        name = f"_{len(mark.columns)}"
-        mark = mark.withColumn(name, found(text_or_empty("text")))
-    passes = [c for c in mark.columns if c.startswith("_")]
-    covered = F.flatten(F.array(*(F.flatten(F.transform(F.col(f"{c}.hits"), lambda s: F.array(F.sequence(s["first"], s["last"] - 1)))) for c in passes)))
-    n_hit = F.size(F.array_distinct(F.flatten(covered)))
-    return mark.where(~((n_hit > 0) & (20 * n_hit >= F.col(f"{passes[0]}.n_words")))).select("row.*")
+    """The rows of `docs` that aren't contaminated, unchanged, whatever their columns are named; null and empty texts stay."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    mark = with_hits(held, benchmark, "text")
+    return mark.where(~((n_hit("_found") > 0) & (20 * n_hit("_found") >= F.col("_found.n_words")))).select("row.*")
