@@ -61,6 +61,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = """
+with t as (select list_transform(range(256), lambda n: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as tab),
+d as (
+    select doc_id, strlen(coalesce(text, '')) + 1 as size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::bigint), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295) as text_crc32,
+        list_transform(range(9), lambda i: ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || i), 1, 13))::bigint) as h
+    from documents, t
+), s as (select *, list_position(h[1:8], list_max(h[1:8])) - 1 as shard, list_position(h, list_max(h)) - 1 as grown_shard, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || text_crc32 || ':' || size), 1, 8))::bigint % 4096 as bin from d)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by bin, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard::int as grown_shard from s
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,9 +80,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Words with the other signs in front of them; whole windows are compared as text.
+OP10_SQL = r"""
+with low as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+cut as (select r, unnest(regexp_extract_all(t, '([\x00-\x2F\x3A-\x60\x7B-\x7F]*)([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)', 1)) as gap, unnest(regexp_extract_all(t, '([\x00-\x2F\x3A-\x60\x7B-\x7F]*)([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)', 2)) as word, generate_subscripts(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1) as p from low),
+w as (select r, p, word, sum(strlen(gap) + strlen(word)) over (partition by r order by p) as stop from cut),
+item as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+win as (select distinct item, least(len(words), 13) as n, list_aggregate(words[i:i + 12], 'string_agg', ' ') as said from (select item, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) as i from item where len(words) > 0)),
+text as (select r, list(word order by p) as words from w group by r),
+place as (select r, p, n, list_aggregate(words[p:p + n - 1], 'string_agg', ' ') as said from (select r, words, n, unnest(range(1, len(words) - n + 2)) as p from text, (select distinct n from win) where len(words) >= n)),
+occ as (select distinct r, p, n, item from place join win using (n, said)),
+hit as (select distinct r, unnest(range(p, p + n)) as p from occ),
+island as (select r, min(p) as a, max(p) as b from (select r, p, p - row_number() over (partition by r order by p) as g from hit) group by r, g),
+span as (select island.r, x.stop - strlen(x.word) as begin_, y.stop as end_, b - a + 1 as n from island join w x on x.r = island.r and x.p = a join w y on y.r = island.r and y.p = b),
+s as (select r, sum(n) as n_hit, string_agg(begin_::bigint || ':' || end_::bigint, ',' order by begin_) as hit_bytes from span group by r),
+i as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from occ) group by r),
+c as (select r, count(*) as n_words from w group by r)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) as contaminated, coalesce(hit_bytes, '') as hit_bytes
+from low left join c using (r) left join s using (r) left join i using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op7_kneser_ney, op8_sharding, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op6_topk": OP6_SQL, "op8_sharding": OP8_SQL, "op10_decontamination": OP10_SQL}

@@ -53,7 +53,8 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slo
     One shuffle of the rows by (shard, bin); the bin counts reuse it and are at most `bins` rows a shard.
     """
     cols = [F.col(c) for c in order]
-    dealt = df.withColumn("_bin", F.pmod(F.xxhash64(*cols), F.lit(bins)).cast("int"))
+    told = F.md5(F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols)))
+    dealt = df.withColumn("_bin", (F.conv(F.substring(told, 1, 8), 16, 10).cast("bigint") % bins).cast("int"))
     numbered = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(shard, "_bin").orderBy(*cols)))
     counts = dealt.groupBy(F.col(shard).alias("_shard"), F.col("_bin").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_shard").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
