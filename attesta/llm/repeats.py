@@ -6,12 +6,13 @@ together, each window of LENGTH bytes is named after its anchor, the least hash
 a segment; a class is all segments with one anchor hash.
 
 1. Tasks emit segments (anchor, digest, text, place), equal ones of a batch once with their number.
-2. Equal segments are summed. A segment that occurs twice repeats as a whole, and a class of one segment that
-   occurs once doesn't; neither is looked at further, so copies cost no more than counting.
+2. Segments whose anchor occurs once can't repeat and go. Of the others equal ones are summed. A segment that occurs
+   twice repeats as a whole, so copies cost no more than counting; a class in which all do needs nothing further.
 3. The other classes are dealt into shards by anchor. Over a shard's segments a suffix array is built by induced
-   sorting, and permuted common prefixes tell which windows repeat.
-4. A class of more than CLASS different segments (a passage in very many contexts) would be one large group. Its
-   windows are counted one by one by digest, which any number of tasks share.
+   sorting, and permuted common prefixes tell which windows are equal.
+4. A class of more than SHARD bytes (a passage in very many contexts) is dealt into several shards. Each one's suffix
+   array sums its equal windows; what is left is one row for each different window, and these rows are summed over
+   the class's shards by the window's digest.
 5. Repeated windows go back to all places of their segment, are merged per text, and are cut out of the text.
 
 Texts are known by a digest, so equal texts are one everywhere and row ids don't matter.
@@ -28,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_or_empty, written
-from .suffixes import repeated
+from .common import deleted, text_or_empty, told, written
+from .suffixes import runs
 
 LENGTH, ANCHOR = 400, 128
-#: Bytes of text looked at together (positions fit 24 bits), bytes of a shard's suffix array, and segments of a class.
-SLAB, SHARD, CLASS = 1 << 20, 1 << 20, 64
+#: Bytes of text looked at together (positions fit 24 bits), and about the bytes of a shard's suffix array.
+SLAB, SHARD = 1 << 20, 1 << 20
 SPANS = "array<struct<start:int,end:int>>"
+#: The digest of a text, in two parts.
+KEY = ("key", "key2")
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,108 +103,128 @@ def as_rows(spans) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def key(text: Column) -> Column:
-    return F.unhex(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 24))
+def keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
+def digest(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def emitted(docs: DataFrame, length: int) -> DataFrame:
-    """Rows of `docs` (key, text) as segments (anchor, seg, start, size, n) and, with anchor null, spans that repeat inside a batch."""
+    """Rows of `docs` (key, key2, text) as segments (anchor, seg, key, key2, start, size in bytes, n) and, with anchor null, spans that repeat inside a batch."""
 
     def run(batches):
         for batch in batches:
-            keys, number = list(batch["key"]), {}
-            for k, t in zip(keys, batch["text"], strict=True):
-                number.setdefault(k, [t.encode(), 0])[1] += 1
+            number: dict[tuple[int, int], list] = {}
+            for k, l, t in zip(batch["key"].tolist(), batch["key2"].tolist(), batch["text"], strict=True):
+                number.setdefault((k, l), [t.encode(), 0])[1] += 1
             own, texts, times = list(number), [t for t, _ in number.values()], [c for _, c in number.values()]
-            seen: dict[tuple[int, bytes], list] = {}
+            seen: dict[tuple[int, int], list] = {}
             known: dict[int, list] = {}
             for t, start, size, anchor, data in segments(texts, length):
                 here = (t, start, size + length - 1)
-                held = seen.get(name := (anchor, blake2b(data, digest_size=12).digest()))
+                held = seen.get(name := (anchor, digest(data)))
                 if held is None:
                     seen[name] = [here, times[t]]
                 else:
                     held[1] += times[t]
                     known.setdefault(t, []).append((start, start + here[2]))
                     known.setdefault(held[0][0], []).append((held[0][1], held[0][1] + held[0][2]))
-            rows = [(a, d, own[t], start, size, n, None) for (a, d), ((t, start, size), n) in seen.items()]
-            rows += [(None, None, own[t], None, None, None, as_rows(merged(spans))) for t, spans in known.items()]
+            rows = [(a, d, *own[t], start, size, n, None) for (a, d), ((t, start, size), n) in seen.items()]
+            rows += [(None, None, *own[t], None, None, None, as_rows(merged(spans))) for t, spans in known.items()]
             if rows:
-                frame = pd.DataFrame(rows, columns=["anchor", "seg", "key", "start", "size", "n", "spans"])
-                yield frame.astype({"anchor": "Int64", "start": "Int32", "size": "Int32", "n": "Int64"})
+                frame = pd.DataFrame(rows, columns=["anchor", "seg", "key", "key2", "start", "size", "n", "spans"])
+                yield frame.astype({"anchor": "Int64", "seg": "Int64", "start": "Int32", "size": "Int32", "n": "Int64"})
 
-    return docs.mapInPandas(run, f"anchor bigint, seg binary, key binary, start int, size int, n bigint, spans {SPANS}")
+    return docs.mapInPandas(run, f"anchor bigint, seg bigint, key bigint, key2 bigint, start int, size int, n bigint, spans {SPANS}")
 
 
 def sharded(rows: DataFrame, length: int) -> DataFrame:
-    """(seg, spans): the repeated windows of segments (anchor, seg, n, data) that occur once, by suffix arrays over whole classes."""
+    """The equal windows of segments (anchor, shards, seg, n, data), by suffix arrays.
 
-    def solve(held: list[tuple[bytes, int, bytes]]):
-        data = b"".join(d for _, _, d in held)
-        size = np.array([len(d) for _, _, d in held])
+    Rows (anchor, seg, spans) are the repeated windows of segments that occur once, where a class is one shard.
+    Rows (anchor, window, n, places) are one for each different window of a shard, where a class is several.
+    """
+
+    def solve(held: list[tuple[int, int, int, int, bytes]]):
+        data = b"".join(h[4] for h in held)
+        size = np.array([len(h[4]) for h in held])
         begin = np.cumsum(size) - size
-        place = np.arange(len(data)) - np.repeat(begin, size)
-        valid = place + length <= np.repeat(size, size)
-        found = repeated(data, valid, np.repeat(np.array([n for _, n, _ in held]), size), length)
+        of = np.repeat(np.arange(len(held)), size)
+        place = np.arange(len(data)) - begin[of]
+        valid = place + length <= size[of]
+        times = np.array([h[3] for h in held])
+        run, total = runs(data, valid, times[of], length)
+        again = valid & (total[run] >= 2)
         out = []
-        for (seg, n, _), b, k in zip(held, begin.tolist(), size.tolist(), strict=True):
-            if n == 1 and len(at := np.flatnonzero(found[b : b + k])):
-                out.append((seg, as_rows(merged((int(x), int(x) + length) for x in at))))
-        return pd.DataFrame(out, columns=["seg", "spans"])
-
-    def run(batches):
+        for (anchor, shards, seg, n, _), b, k in zip(held, begin.tolist(), size.tolist(), strict=True):
+            if shards == 1 and n == 1 and len(at := np.flatnonzero(again[b : b + k])):
+                out.append((anchor, seg, as_rows(merged((int(x), int(x) + length) for x in at)), None, None, None))
+        split = np.flatnonzero(valid & np.array([h[1] > 1 for h in held])[of])
+        split = split[np.argsort(run[split], kind="stable")]
+        for group in np.split(split, np.flatnonzero(np.diff(run[split])) + 1) if len(split) else ():
+            some = [(held[of[p]][2], int(place[p])) for p in group.tolist() if times[of[p]] == 1]
+            window = blake2b(data[group[0] : group[0] + length], digest_size=12).digest()
+            out.append((held[of[group[0]]][0], None, None, window, int(total[run[group[0]]]), [{"seg": s, "start": a} for s, a in some]))
+        return pd.DataFrame(out, columns=["anchor", "seg", "spans", "window", "n", "places"]).astype({"seg": "Int64", "n": "Int64"})
+
+    def solved(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for anchor, seg, n, data in zip(batch["anchor"], batch["seg"], batch["n"], batch["data"], strict=True):
-                if size >= SHARD and anchor != last:
+            for anchor, salt, shards, seg, n, data in zip(*(batch[c] for c in ("anchor", "salt", "shards", "seg", "n", "data")), strict=True):
+                if size >= SHARD and (anchor, salt) != last:
                     if len(found := solve(held)):
                         yield found
                     held, size = [], 0
-                held.append((seg, int(n), data))
-                size, last = size + len(data), anchor
+                held.append((anchor, shards, seg, int(n), data))
+                size, last = size + len(data), (anchor, salt)
         if held and len(found := solve(held)):
             yield found
 
-    dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return dealt.select("anchor", "seg", "n", "data").mapInPandas(run, f"seg binary, spans {SPANS}")
-
-
-def counted(rows: DataFrame, length: int) -> DataFrame:
-    """(seg, spans): the same for segments of large classes, window by window; n above 1 only counts for others."""
+    salted = rows.select("anchor", F.pmod("seg", "shards").alias("salt"), "shards", "seg", "n", "data")
+    dealt = salted.repartition(F.col("anchor"), F.col("salt")).sortWithinPartitions("anchor", "salt")
+    return dealt.mapInPandas(solved, f"anchor bigint, seg bigint, spans {SPANS}, window binary, n bigint, places array<struct<seg:bigint,start:int>>")
 
-    def run(batches):
-        for batch in batches:
-            out = [(blake2b(d[i : i + length], digest_size=12).digest(), seg, i, n) for seg, n, d in zip(batch["seg"], batch["n"], batch["data"], strict=True) for i in range(len(d) - length + 1)]
-            if out:
-                yield pd.DataFrame(out, columns=["window", "seg", "at", "n"])
 
-    windows = rows.select("seg", "n", "data").mapInPandas(run, "window binary, seg binary, at int, n bigint")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1")
-    met = windows.where("n = 1").join(twice, "window", "left_semi")
-    return met.groupBy("seg").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + length).alias("end"))).alias("spans"))
+def summed(windows: DataFrame, length: int) -> DataFrame:
+    """(anchor, seg, spans): the windows of `sharded` that repeat over the shards of their class."""
+    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "window")
+    met = windows.join(twice, ["anchor", "window"]).select("anchor", F.explode("places").alias("p"))
+    return met.groupBy("anchor", F.col("p.seg").alias("seg")).agg(F.collect_list(F.struct(F.col("p.start").alias("start"), (F.col("p.start") + length).alias("end"))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, spans): for each text that has any, by the digest of the text, spans of bytes (not merged) that repeat."""
+    """(key, key2, spans): for each text that has any, by the digest of the text, spans of bytes (not merged) that repeat."""
     t = text_or_empty(text)
-    slim = docs.select(key(t).alias("key"), t.alias("text")).where(F.octet_length("text") >= length)
+    slim = docs.select(*keys(t), t.alias("text")).where(F.octet_length("text") >= length)
     raw = written(emitted(slim, length), "segments")
     places = raw.where("anchor is not null").drop("spans")
-    known = raw.where("anchor is null").select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.end")
-    each = places.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
-    each = written(each, "distinct")
-    classes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum("n").alias("total")).where("total > 1")
-    whole = each.where("n > 1").select("seg", F.array(F.struct(F.lit(0).alias("start"), F.col("at.size").alias("end"))).alias("spans"))
-    open_ = each.join(classes.where("m > 1 and least = 1").select("anchor", "m"), "anchor")
-    wanted = open_.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "seg", "n", "m", "at.start", "at.size")).alias("wanted"))
-    texts = slim.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-
-    cut = F.transform("wanted", lambda w: F.struct(w["anchor"].alias("anchor"), w["seg"].alias("seg"), w["n"].alias("n"), w["m"].alias("m"), F.substring(F.encode("text", "UTF-8"), w["start"] + 1, w["size"]).alias("data")))
-    data = written(texts.join(wanted, "key").select(F.explode(cut).alias("w")).select("w.*"), "open")
-    some = sharded(data.where(F.col("m") <= CLASS), length).unionByName(counted(data.where(F.col("m") > CLASS), length)).unionByName(whole)
-    placed = places.join(some, "seg").select("key", "start", F.explode("spans").alias("s"))
-    placed = placed.select("key", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
-    return placed.unionByName(known).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    shared = places.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    live = written(places.join(shared, "anchor", "left_semi"), "live")
+    known = written(raw.where("anchor is null").select(*KEY, "spans"), "known")
+    deleted(raw)
+
+    one = [F.first(c).alias(c) for c in (*KEY, "start", "size")]  # of any one place: equal segments have equal bytes
+    each = written(live.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), *one), "distinct")
+    classes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum("size").alias("bytes"))
+    classes = classes.where("m > 1 and least = 1").select("anchor", F.ceil(F.col("bytes") / SHARD).alias("shards"))
+    part = F.struct("anchor", "shards", "seg", "n", "start", F.col("size").alias("bytes"))
+    wanted = written(each.join(classes, "anchor").groupBy(*KEY).agg(F.collect_list(part).alias("wanted")), "wanted")
+    firsts = slim.join(told(wanted.select(*KEY)), [*KEY], "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+    cut = F.transform("wanted", lambda w: F.struct(w["anchor"].alias("anchor"), w["shards"].alias("shards"), w["seg"].alias("seg"), w["n"].alias("n"), F.substring(F.encode("text", "UTF-8"), w["start"] + 1, w["bytes"]).alias("data")))
+    solved = written(sharded(firsts.join(wanted, [*KEY]).select(F.explode(cut).alias("w")).select("w.*"), length), "solved")
+    deleted(wanted)
+
+    whole = each.where("n > 1").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("spans"))
+    some = solved.where("window is null").select("anchor", "seg", "spans").unionByName(summed(solved.where("window is not null").select("anchor", "window", "n", "places"), length)).unionByName(whole)
+    placed = live.join(some, ["anchor", "seg"]).select(*KEY, "start", F.explode("spans").alias("s"))
+    placed = placed.select(*KEY, (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
+    every = placed.unionByName(known.select(*KEY, F.explode("spans").alias("s")).select(*KEY, "s.start", "s.end"))
+    spans = written(every.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    for done in (live, known, each, solved):
+        deleted(done)
+    return spans
 
 
 RESULT = "kept binary, n_removed bigint, n_spans bigint"
@@ -231,10 +254,15 @@ def cut_out(text: Column, spans: Column) -> Column:
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    Null and empty texts and texts shorter than `length` bytes lose nothing. Repeated rows repeat each other.
+    Null and empty texts and texts shorter than `length` bytes lose nothing, and aren't shuffled. Repeated rows repeat
+    each other. Other columns of `docs` play no part.
     """
     spans = repeated_spans(docs.select("text"), "text", length)
     t = text_or_empty()
-    met = docs.select("doc_id", t.alias("text"), key(t).alias("key")).join(spans, "key", "left")
-    cut = met.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("spans")).alias("c"))
-    return cut.select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
+    slim = docs.select("doc_id", t.alias("text"))
+    long = slim.where(F.octet_length("text") >= length).select("doc_id", "text", *keys(F.col("text")))
+    cut = long.join(spans, [*KEY], "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("spans")).alias("c"))
+    cut = cut.select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
+    none = F.lit(0).cast("bigint")
+    short = slim.where(F.octet_length("text") < length)
+    return cut.unionByName(short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")))

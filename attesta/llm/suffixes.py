@@ -2,8 +2,9 @@
 
 Suffixes are classed as smaller or larger than their successor. The leftmost-smaller ones are sorted by their
 substrings, recursively over the substrings' names while names repeat. From them all larger suffixes are induced
-bucket by bucket in ascending order, and from those all smaller ones in descending order. A bucket's entries are
-taken as one array; only a run of one byte takes a round for each of its bytes.
+bucket by bucket in ascending order, and from those all smaller ones in descending order. Over bytes a bucket's
+entries are taken as one array, and only a run of one byte takes a round for each of its bytes. Over the names of a
+recursion, whose buckets hold an entry or two, the entries are taken one by one. Both are linear.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import numpy as np
 
 from . import words
 
+#: Symbols up to which a bucket's entries are taken as one array.
+BUCKETS = 257
+
 
 def classes(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last, a least symbol of its own, is. The next change decides for equal neighbours."""
@@ -63,31 +67,42 @@ def induced(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, symbols: i
     return sa
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """The order of suffixes over an alphabet nearly as large as the string: by doubling the compared length."""
-    rank, k, n = s.astype(np.int64), 1, len(s)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (int(after.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        k *= 2
-        if k >= n or rank[order[-1]] == n - 1:
-            return order
+def induced_singly(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, symbols: int) -> np.ndarray:
+    """The same as `induced`, entry by entry."""
+    count = np.bincount(s, minlength=symbols)
+    end = np.cumsum(count)
+    first = s[leftmost]
+    placed = np.zeros(len(s), np.int64)
+    placed[end[first] - np.searchsorted(first, first, side="right") + np.arange(len(first))] = leftmost
+    symbol, small, sa = s.tolist(), smaller.tolist(), placed.tolist()
+    head = (end - count).tolist()
+    for j in sa:  # grows ahead of the loop
+        if j:
+            j -= 1
+            if not small[j]:
+                c = symbol[j]
+                sa[head[c]] = j
+                head[c] += 1
+    tail = end.tolist()
+    for j in reversed(sa):
+        if j:
+            j -= 1
+            if small[j]:
+                c = symbol[j]
+                tail[c] -= 1
+                sa[tail[c]] = j
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """The order of all suffixes of a string whose last symbol is 0 and occurs nowhere else."""
-    if symbols > max(512, len(s) // 512):  # buckets too small to be worth an array each
-        return doubled(s)
+    induce = induced if symbols <= BUCKETS else induced_singly
     s = s.astype(np.uint16 if symbols <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
     smaller = classes(s)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if not len(leftmost):
         return np.arange(len(s))[::-1].copy() if len(s) else np.zeros(0, np.int64)
-    rough = induced(s, smaller, leftmost[np.argsort(s[leftmost], kind="stable")], symbols)
+    rough = induce(s, smaller, leftmost[np.argsort(s[leftmost], kind="stable")], symbols)
     is_leftmost = np.zeros(len(s), bool)
     is_leftmost[leftmost] = True
     order = rough[is_leftmost[rough]]
@@ -100,11 +115,11 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         reduced = np.empty(len(order), np.int64)
         reduced[place] = name
         order = leftmost[suffix_array(reduced, int(name[-1]) + 1)]
-    return induced(s, smaller, order, symbols)
+    return induce(s, smaller, order, symbols)
 
 
-def repeated(data: bytes, valid: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
-    """Which valid starts begin a string of `length` bytes that valid starts of total weight 2 or more begin.
+def runs(data: bytes, valid: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start the number of its string of `length` bytes, and for each number the valid starts' total weight.
 
     The permuted common prefix of each suffix with its predecessor in the order is compared eight bytes at a time,
     up to `length`; runs of the order with common prefixes that long are one string.
@@ -123,8 +138,6 @@ def repeated(data: bytes, valid: np.ndarray, weight: np.ndarray, length: int) ->
     for at in [*range(0, length - 7, 8), length - 8]:
         here = here[word[here + at] == word[before[here] + at]]
     common[here] = True
-    run = np.cumsum(~common[order])
-    total = np.bincount(run, weights=np.where(valid[order], weight[order], 0))
-    out = np.zeros(n, bool)
-    out[order] = total[run] >= 2
-    return out & valid
+    run = np.empty(n, np.int64)
+    run[order] = np.cumsum(~common[order]) - 1
+    return run, np.bincount(run[valid], weights=weight[valid], minlength=n)
