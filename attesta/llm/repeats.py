@@ -11,8 +11,8 @@ a segment; a class is all segments with one anchor hash.
 3. The other classes are dealt into shards by anchor. Over a shard's segments a suffix array is built by induced
    sorting, and permuted common prefixes tell which windows are equal.
 4. A class of more than SHARD bytes (a passage in very many contexts) is dealt into several shards. Each one's suffix
-   array sums its equal windows; what is left is one row for each different window, and these rows are summed over
-   the class's shards by the window's digest.
+   array finds what repeats inside it and sums its equal windows; the digests of the different windows are packed into
+   as many buckets as the class has shards, and each bucket finds what repeats over the shards.
 5. Repeated windows go back to all places of their segment, are merged per text, and are cut out of the text.
 
 Texts are known by a digest, so equal texts are one everywhere and row ids don't matter.
@@ -36,6 +36,8 @@ LENGTH, ANCHOR = 400, 128
 #: Bytes of text looked at together (positions fit 24 bits), and about the bytes of a shard's suffix array.
 SLAB, SHARD = 1 << 20, 1 << 20
 SPANS = "array<struct<start:int,end:int>>"
+#: A window of a class that is several shards: its digest, 1 or 2 (more than once), and a place.
+WINDOW = np.dtype([("digest", "<u8", 2), ("seg", "<i8"), ("start", "<i4"), ("n", "<i4")])
 #: The digest of a text, in two parts.
 KEY = ("key", "key2")
 
@@ -141,10 +143,11 @@ def emitted(docs: DataFrame, length: int) -> DataFrame:
 
 
 def sharded(rows: DataFrame, length: int) -> DataFrame:
-    """The equal windows of segments (anchor, shards, seg, n, data), by suffix arrays.
+    """The repeated windows of segments (anchor, shards, seg, n, data) that occur once, by suffix arrays.
 
-    Rows (anchor, seg, spans) are the repeated windows of segments that occur once, where a class is one shard.
-    Rows (anchor, window, n, places) are one for each different window of a shard, where a class is several.
+    Rows (anchor, seg, spans) are those that repeat inside a shard. Where a class is several shards, rows (anchor,
+    bucket, windows) hold what the others have to know: of each different window its digest, how often it occurs (2:
+    more than once), and, if it occurs once here, its place. They are packed by the digest's bucket.
     """
 
     def solve(held: list[tuple[int, int, int, int, bytes]]):
@@ -158,16 +161,23 @@ def sharded(rows: DataFrame, length: int) -> DataFrame:
         run, total = runs(data, valid, times[of], length)
         again = valid & (total[run] >= 2)
         out = []
-        for (anchor, shards, seg, n, _), b, k in zip(held, begin.tolist(), size.tolist(), strict=True):
-            if shards == 1 and n == 1 and len(at := np.flatnonzero(again[b : b + k])):
-                out.append((anchor, seg, as_rows(merged((int(x), int(x) + length) for x in at)), None, None, None))
+        for (anchor, _, seg, n, _), b, k in zip(held, begin.tolist(), size.tolist(), strict=True):
+            if n == 1 and len(at := np.flatnonzero(again[b : b + k])):
+                out.append((anchor, None, seg, as_rows(merged((int(x), int(x) + length) for x in at)), None))
         split = np.flatnonzero(valid & np.array([h[1] > 1 for h in held])[of])
-        split = split[np.argsort(run[split], kind="stable")]
-        for group in np.split(split, np.flatnonzero(np.diff(run[split])) + 1) if len(split) else ():
-            some = [(held[of[p]][2], int(place[p])) for p in group.tolist() if times[of[p]] == 1]
-            window = blake2b(data[group[0] : group[0] + length], digest_size=12).digest()
-            out.append((held[of[group[0]]][0], None, None, window, int(total[run[group[0]]]), [{"seg": s, "start": a} for s, a in some]))
-        return pd.DataFrame(out, columns=["anchor", "seg", "spans", "window", "n", "places"]).astype({"seg": "Int64", "n": "Int64"})
+        split = split[np.unique(run[split], return_index=True)[1]]  # one place of each different window
+        told = np.zeros(len(split), WINDOW)
+        for i, p in enumerate(split.tolist()):
+            told["digest"][i] = np.frombuffer(blake2b(data[p : p + length], digest_size=16).digest(), "<u8")
+        told["n"], told["start"] = np.minimum(total[run[split]], 2), place[split]
+        told["seg"] = np.array([h[2] for h in held])[of[split]]
+        shards = np.array([h[1] for h in held])[of[split]]
+        anchor = np.array([h[0] for h in held])[of[split]]
+        bucket = (told["digest"][:, 0] % shards.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((bucket, anchor))
+        for group in np.split(order, np.flatnonzero(np.diff(anchor[order]) | np.diff(bucket[order])) + 1) if len(order) else ():
+            out.append((int(anchor[group[0]]), int(bucket[group[0]]), None, None, told[group].tobytes()))
+        return pd.DataFrame(out, columns=["anchor", "bucket", "seg", "spans", "windows"]).astype({"seg": "Int64", "bucket": "Int64"})
 
     def solved(batches):
         held, size, last = [], 0, None
@@ -184,14 +194,37 @@ def sharded(rows: DataFrame, length: int) -> DataFrame:
 
     salted = rows.select("anchor", F.pmod("seg", "shards").alias("salt"), "shards", "seg", "n", "data")
     dealt = salted.repartition(F.col("anchor"), F.col("salt")).sortWithinPartitions("anchor", "salt")
-    return dealt.mapInPandas(solved, f"anchor bigint, seg bigint, spans {SPANS}, window binary, n bigint, places array<struct<seg:bigint,start:int>>")
+    return dealt.mapInPandas(solved, f"anchor bigint, bucket bigint, seg bigint, spans {SPANS}, windows binary")
 
 
-def summed(windows: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, spans): the windows of `sharded` that repeat over the shards of their class."""
-    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "window")
-    met = windows.join(twice, ["anchor", "window"]).select("anchor", F.explode("places").alias("p"))
-    return met.groupBy("anchor", F.col("p.seg").alias("seg")).agg(F.collect_list(F.struct(F.col("p.start").alias("start"), (F.col("p.start") + length).alias("end"))).alias("spans"))
+def across(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor, seg, spans): of rows (anchor, bucket, windows) the places of windows that repeat over the shards of their class."""
+
+    def run(batches):
+        held, last = [], None
+
+        def solve():
+            told = np.frombuffer(b"".join(held), WINDOW)
+            order = np.lexsort((told["digest"][:, 1], told["digest"][:, 0]))
+            told = told[order]
+            number = np.cumsum(np.concatenate(([0], (np.diff(told["digest"], axis=0) != 0).any(axis=1)))) if len(told) else np.zeros(0, int)
+            found = told[(np.bincount(number, told["n"])[number] >= 2) & (told["n"] == 1)]
+            found = found[np.lexsort((found["start"], found["seg"]))]
+            groups = np.split(found, np.flatnonzero(np.diff(found["seg"])) + 1) if len(found) else ()
+            return pd.DataFrame([(last[0], int(g["seg"][0]), as_rows(merged((x, x + length) for x in g["start"].tolist()))) for g in groups], columns=["anchor", "seg", "spans"])
+
+        for batch in batches:
+            for anchor, bucket, windows in zip(batch["anchor"], batch["bucket"], batch["windows"], strict=True):
+                if held and (anchor, bucket) != last:
+                    yield solve()
+                    held = []
+                held.append(windows)
+                last = anchor, bucket
+        if held:
+            yield solve()
+
+    dealt = rows.repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
+    return dealt.mapInPandas(run, f"anchor bigint, seg bigint, spans {SPANS}")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -217,7 +250,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     deleted(wanted)
 
     whole = each.where("n > 1").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("spans"))
-    some = solved.where("window is null").select("anchor", "seg", "spans").unionByName(summed(solved.where("window is not null").select("anchor", "window", "n", "places"), length)).unionByName(whole)
+    some = solved.where("windows is null").select("anchor", "seg", "spans").unionByName(across(solved.where("windows is not null").select("anchor", "bucket", "windows"), length)).unionByName(whole)
     placed = live.join(some, ["anchor", "seg"]).select(*KEY, "start", F.explode("spans").alias("s"))
     placed = placed.select(*KEY, (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
     every = placed.unionByName(known.select(*KEY, F.explode("spans").alias("s")).select(*KEY, "s.start", "s.end"))
