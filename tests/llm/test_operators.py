@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, components, decontamination, html, quality, repeats, secrets, sharding, simhash, similar, suffixes, topk, toxicity
+from attesta.llm import bpe, common, components, decontamination, quality, repeats, secrets, sharding, simhash, similar, suffixes, topk, toxicity
 from attesta.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -49,12 +49,19 @@ def test_bpe_streams_like_the_library(tokenizer, monkeypatch, chunk, open_):
     for _ in range(400):
         some = r.sample(parts, r.randint(1, 6))
         text = "".join(r.choice(some) for _ in range(r.randint(0, 300)))
-        got, decoder = [i for ids in encoder.encode(text) for i in ids], bpe.Decoder(v)
+        got, decoder = [i for pieces in encoder.encode(text) for ids, _, _ in pieces for i in ids], bpe.Decoder(v)
         assert got == tokenizer.encode(text, add_special_tokens=False).ids
         back = "".join(decoder.feed([i]) for i in got) + decoder.feed((), True)
         assert back == text
 
 
+def test_bpe_merges_together_as_alone():
+    r, v = random.Random(3), bpe.Vocabulary(tokenizer_path())
+    pieces = [b"".join(r.choice([b"a", b"aa", b" the", b"tion", b"\xc3", "é中".encode(), b"!", b"ing"]) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [b"a" * n for n in range(30)]
+    assert v.merged_together(pieces) == [v.merged(p) for p in pieces]
+    assert v.merged_together([]) == []
+
+
 def test_bpe_lookahead_is_sufficient():
     r, v = random.Random(2), bpe.Vocabulary(tokenizer_path())
     for _ in range(60):
@@ -88,6 +95,37 @@ def base_spans(t):
     return sorted(out)
 
 
+def cut_spans(t, spans):
+    out, at = [], 0
+    for a, b in repeats.merged([(a, b - 1) for a, b in spans]):  # adjoining spans stay apart
+        out += [t[at:a], secrets.MASK]
+        at = b + 1
+    return "".join([*out, t[at:]])
+
+
+def brute_links(t):
+    """By hand: all weak spans with a complementary part within reach, and the parts."""
+    every = [(s, n, e) for n, k in enumerate(secrets.KINDS) for m in re.finditer(k.pattern.replace("(?i:password", "(?ai:password"), t) for s, e in [m.span()] if len(m[k.group]) >= k.least]
+    out = []
+    for w in sorted(x for x in every if not secrets.KINDS[x[1]].strong):
+        mine = secrets.KINDS[w[1]].role
+        to = [p for p in sorted(every) if p != w and p[0] < w[2] + 200 and p[2] > w[0] - 200 and secrets.COMPLEMENT[mine] == secrets.KINDS[p[1]].role and (mine != "endpoint" or secrets.KINDS[p[1]].strong)]
+        if to:
+            one = lambda x: f"{secrets.KINDS[x[1]].name}:{x[0]}:{x[2]}"
+            out.append(f"{one(w)}>{'|'.join(map(one, to))}")
+    return ",".join(out)
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    rows = [(1, "token=abcdefgh é " * 64_000), (2, "login=bobby99 token=abcdefgh12 " * 3000)]
+    began = time.time()
+    got = {x.doc_id: x.text for x in secrets.masked(spark.createDataFrame(rows, DOCS)).collect()}
+    assert time.time() - began < 40
+    assert got == {1: "[SECRET] é " * 64_000, 2: "[SECRET] [SECRET] " * 3000}
+
+
 def test_secrets(spark):
     r = random.Random(3)
     parts = ["token", "PASSWD", "Api_Key", "=", ":", '"', " ", "AKIA", "ABCDEFGH1234", "abcdef0123456789abcdef", "deadbeefdeadbeef", "é😀", "\n", "x", "http://h.com/a", "10.1.2.3", "login=bobby99", "token=token:abcdefgh"]
@@ -100,7 +138,9 @@ def test_secrets(spark):
         assert got[i].base_sha256 == sha(",".join(f"{n}:{s}:{e}" for s, _, e, n in spans))
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
         assert {f"{n}:{s}:{e}" for s, _, e, n in spans} <= set(got[i].spans.split(",")) or not spans
-        assert not base_spans(masked[i] or "") or "[SECRET]" in masked[i]
+        assert got[i].links == brute_links(t or "")
+        told = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x]
+        assert masked[i] == (cut_spans(t, told) if t else t)
     assert secrets.masked(df).columns == df.columns and masked[900] is None
     assert secrets.report(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -112,38 +152,25 @@ def test_weak_parts_need_a_partner(spark):
     assert "endpoint" not in got[1] and "endpoint" in got[2] and "endpoint" not in got[3] and "account" in got[4]
 
 
-# 3 -----------------------------------------------------------------------------------------------
-
-PAGES = [
-    ("<html><body><header>Site</header><div id=nav>a b</div><div class='post-body'><h2>Title</h2><p>Long text, with words, and so on. More text here; yes.<p>Short.<ul><li>one<li>two</ul></div><div class=comments><p>I like it, very much, so good. Yes indeed this is long!</p></div><footer>c</footer>", "Title Long text, with words, and so on. More text here; yes. Short. one two"),
-    ("<article><p>a <b>bo</b>ld &lt;x&gt;\n t<br>z</p><aside>no</aside><form>f</form></article>", "a bold <x> t z"),
-    ("<script>never closed <p>zz</p>", ""), ("a < b and c &gt; d", "a < b and c > d"), ("", ""), (None, ""), ("<div>", ""), ('<p "broken', ""),
-    ("<nav><a href=x>Menu</a></nav><main><h1>T</h1><p>x</p></main><div class=ad>Buy, now. Really, this is a long advert, isn't it?</div>", "T x"),
-]
-
-
-def test_pages(spark):
-    rows = [(i, "u", p) for i, (p, _) in enumerate(PAGES)]
-    got = {r.page_id: (r.text, r.n_chars) for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i, (p, text) in enumerate(PAGES):
-        if i != 7:
-            assert got[i] == (text, len(text)), p
-
-
 # 4 -----------------------------------------------------------------------------------------------
 
 
-def test_suffix_arrays():
-    r = random.Random(1)
+@pytest.mark.parametrize("buckets", [suffixes.BUCKETS, 0, 10**6])
+def test_suffix_arrays(monkeypatch, buckets):
+    monkeypatch.setattr(suffixes, "BUCKETS", buckets)
+    r, deep, real = random.Random(1), [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s, symbols: deep.append(len(s)) or real(s, symbols))
     for _ in range(250):
         b = "".join(r.choice(r.choice(["ab", "abc", "a"])) for _ in range(r.randint(0, 90))).encode()
         s = np.concatenate((np.frombuffer(b, np.uint8).astype(np.int64) + 1, [0]))
         assert suffixes.suffix_array(s, 257).tolist() == sorted(range(len(b) + 1), key=lambda i: b[i:])
+    assert len(deep) > 400  # names repeat, so the names are sorted by induction too
 
 
-@pytest.mark.parametrize("large", [512, 2])
-def test_repeats(spark, monkeypatch, large):
-    monkeypatch.setattr(repeats, "CLASS", large)
+@pytest.mark.parametrize("shard, told", [(1 << 20, 10**6), (1500, 0)])
+def test_repeats(spark, monkeypatch, shard, told):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(common.told, "__defaults__", (told,))
     r, size = random.Random(5), 400
     source = ["".join(r.choice("abcdé ") for _ in range(3000)) for _ in range(3)]
     rows = []
@@ -163,6 +190,16 @@ def test_repeats(spark, monkeypatch, large):
         exp.append((i, len(b), len(gone), sum(q - 1 not in gone for q in gone), sha(bytes(c for q, c in enumerate(b) if q not in gone))))
     got = [tuple(x) for x in repeats.report(clashing(spark.createDataFrame(rows, DOCS))).collect()]
     assert sorted(got) == sorted(exp)
+    assert repeats.report(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_repeats_of_texts_above_a_slab(spark):
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    own = ["".join(r.choice("ijklmnop ") for _ in range(1_000_000)) for _ in range(2)]
+    rows = [(1, own[0] + shared + own[0][:500]), (2, shared[:200_000] + own[1])]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in repeats.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (201_000, 3), 2: (200_000, 1)}
 
 
 # 5 -----------------------------------------------------------------------------------------------
@@ -179,6 +216,14 @@ def test_fingerprints():
         assert simhash.fingerprint(t, 3) % (1 << 64) == slow_fingerprint(t, 3)
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    r = random.Random(3)
+    text = " ".join(r.choice("abcdefgh") for _ in range(400))
+    whole = simhash.fingerprint(text, 3)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.fingerprint(text, 3) == whole and whole % (1 << 64) == slow_fingerprint(text, 3)
+
+
 @pytest.mark.parametrize("bits", [2, 3, 5])
 def test_anchors_find_every_link(spark, bits):
     r = random.Random(1)
@@ -273,26 +318,54 @@ def test_close_fingerprints_are_not_enough(spark):
 # 6 -----------------------------------------------------------------------------------------------
 
 
-def test_topk(spark, monkeypatch):
+@pytest.mark.parametrize("shard, block", [(4096, 1024), (40, 3)])
+def test_topk(spark, monkeypatch, shard, block):
     monkeypatch.setattr(topk, "LEAF", 8)
-    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "BLOCK", block)
     r = random.Random(6)
-    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(150)] + [(200, [0.5] * 8), (201, [0.5] * 8), (202, None), (203, [1.0, None] * 4), (204, [math.nan] * 8), (205, [math.inf] * 8), (206, []), (None, [1.0] * 8)]
-    good = {i: [math.floor(64 * x) for x in np.array(v, np.float32).astype(float)] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(150)] + [(200, [0.5] * 8), (201, [0.5] * 8), (202, None), (203, [1.0, None] * 4), (204, [math.nan] * 8), (205, [math.inf] * 8), (None, [1.0] * 8)]
+    rows += [(206, []), (220, []), (207, [0.0] * 8), (240, [0.0] * 8), (300, [2e6, 1.0]), (301, [3.0, 2e6]), (320, [2.0**30, -3.0]), (302, [2.0**30 + 64, 5.0]), (303, [1e38, 1.0])]
+    rows += [(i, [r.gauss(0, 1) * 10 for _ in range(3)]) for i in range(340, 346)]
+    good = {i: [math.floor(64 * x) for x in np.array(v, np.float32).astype(float)] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
     exp = []
     for q in (i for i in good if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:20]
+        best = sorted((-clip(sum(a * b for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:20]
         exp += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).repartition(3)
     assert sorted(map(tuple, topk.report(df).collect())) == sorted(exp)
     assert topk.report(df.limit(0)).count() == 0
+    twice = topk.report(df.unionByName(df.where("vec_id in (1, 20)"))).where("query_id = 20").count()
+    assert twice == 20
+
+
+def test_topk_skips_shards(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 16)
+    r = np.random.default_rng(1)
+    centers = r.normal(size=(20, 16)) * 300
+    vectors = np.floor(np.concatenate([c + r.normal(size=(200, 16)) * 10 for c in centers]))
+    ways = topk.directions(vectors, 20)
+    assert len(ways) > 10
+    cell = (vectors @ ways.T).argmax(axis=1)
+    ids, queries = np.arange(0, 4000, 40), vectors[::40]
+    best, scored = topk.Best(len(ids), 20), 0
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        scored += topk.search(ids, queries, topk.Shard.of(at, vectors[at]), best)
+    assert scored < 0.5 * len(ids) * len(vectors)
+    for q, i in enumerate(ids.tolist()):
+        s = (vectors @ vectors[i]).astype(int)
+        assert best.id[q].tolist() == sorted((x for x in range(4000) if x != i), key=lambda x: (-s[x], x))[:20]
 
 
 # 7 -----------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney(spark):
-    train, test = ["hello world hello", "the world is", "hello there the end", "aaaa bbb"], ["hello the", "zzz", "", "wor ld é", None]
+@pytest.mark.parametrize("entries", [10**6, 9])
+def test_kneser_ney(spark, monkeypatch, entries):
+    monkeypatch.setattr(quality, "ENTRIES", entries)
+    train, test = ["hello world hello", "the world is", "hello there the end", "aaaa bbb"], ["hello the", "zzz", "", "wor ld é", None, "hello the"]
     c = {4: Counter(b[i : i + 4] for t in train for b in [quality.START + quality.normal(t)] for i in range(len(b) - 3))}
     for k in (3, 2, 1):
         c[k] = Counter(g[1:] for g in c[k + 1])
@@ -321,12 +394,17 @@ def test_kneser_ney(spark):
 
 
 def test_quality_rows(spark):
-    docs = [(i, "some plain words in a row " * 3, "en" if i % 2 else None) for i in range(12)] + [(50, None, "en"), (51, "#$%^ @!~ ^^&" * 9, "xx")]
+    docs = [(i, "some plain words in a row " * 3, "en" if i % 2 else None) for i in range(12)] + [(50, None, "en"), (51, "#$%^ @!~ ^^&" * 9, "xx"), (51, "#$%^ @!~ ^^&" * 9, "xx")]
     labels = [(i, 1) for i in range(12)] + [(51, 0), (None, 1), (3, None)]
-    d, n = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r.doc_id: r.keep for r in quality.report(d, n).collect()}
+    d, n = clashing(spark.createDataFrame(docs, "doc_id long, text string, lang string")), spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = quality.report(d, n).collect()
+    got = {r.doc_id: r.keep for r in rows}
+    assert len(rows) == len(docs)
     assert all(got[i] for i in range(12)) and not got[50] and not got[51]
-    assert quality.report(d, n.limit(0)).where("keep").count() == 13
+    assert quality.report(d, n.limit(0)).where("keep").count() == 14
+    assert quality.report(d.limit(0), n).count() == 0
+    long = spark.createDataFrame([(99, "some plain words in a row " * 100_000, "en")], "doc_id long, text string, lang string")
+    assert quality.report(d.select("doc_id", "text", "lang").unionByName(long), n).where("doc_id = 99 and n_bytes = 2600000").count() == 1
 
 
 # 8 -----------------------------------------------------------------------------------------------
@@ -384,6 +462,10 @@ def test_toxicity_rows(spark):
     got = {x.doc_id: x for x in toxicity.report(d, n).collect()}
     assert all(got[i].predicted == (i % 4 == 0) for i in range(400)) and 0 <= got[900].score < 0.3 and got[901].score > got[900].score
     assert toxicity.accepted(d, n).columns == d.columns
+    assert toxicity.report(d.limit(0), n).count() == 0 and toxicity.accepted(d.limit(0), n).count() == 0
+    more = clashing(spark.createDataFrame([(901, "zuggIex ".lower() * 3), (950, ("plain words " * 200_000) + "zugglex"), (951, "")], DOCS))
+    again = [(x.doc_id, x.score) for x in toxicity.report(d.unionByName(more), n).collect()]
+    assert len(again) == 406 and len({s for i, s in again if i == 901}) == 1 and dict(again)[951] == got[900].score
     assert toxicity.report(d, n.limit(0)).where("predicted = 1").count() == 0
 
 
@@ -431,3 +513,12 @@ def test_decontamination(spark, monkeypatch, most):
     kept = decontamination.decontaminated(d, b)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, t in docs if not brute(t)[4]}
     assert not decontamination.report(d, b.limit(0)).where("contaminated").count()
+    assert decontamination.report(d.limit(0), b).count() == 0 and decontamination.decontaminated(d.limit(0), b).count() == 0
+
+
+def test_decontamination_of_long_texts():
+    block = decontamination.Windows.of(decontamination.windows([("7", " ".join(f"w{i}" for i in range(20)))]))
+    text = "filler words " * 120_000 + " ".join(f"W{i}" for i in range(20)) + " tail" * 1000
+    assert len(text) > decontamination.SHARD
+    (n, spans, items), (m, none, _) = decontamination.scan([text.encode(), b""], block)
+    assert (n, m, items, none) == (241_020, 0, {"7"}, []) and [s[:2] for s in spans] == [(240_000, 240_020)]
