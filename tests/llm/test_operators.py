@@ -122,7 +122,7 @@ def test_many_secrets_in_one_text(spark):
     rows = [(1, "token=abcdefgh é " * 64_000), (2, "login=bobby99 token=abcdefgh12 " * 3000)]
     began = time.time()
     got = {x.doc_id: x.text for x in secrets.masked(spark.createDataFrame(rows, DOCS)).collect()}
-    assert time.time() - began < 40
+    assert time.time() - began < 90  # a quadratic way takes several minutes
     assert got == {1: "[SECRET] é " * 64_000, 2: "[SECRET] [SECRET] " * 3000}
 
 
