@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import checkpointed, text_or_empty, written
+from .common import checkpointed, text_or_empty, told, written
 from .components import components
 
 SEED = 42
@@ -195,7 +195,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     are one component. Rows with a null key can't be named and all stay. Only keys are joined to the rows; texts are
     shuffled only for keys that are repeated.
     """
-    best = similar.representatives(docs, key, text, words).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    once = docs.join(best.where("_rows = 1").select(key), key, "left_semi")
-    repeated = docs.join(best.where("_rows > 1").select(key), key, "left_semi").dropDuplicates([key])
+    best = written(similar.representatives(docs, key, text, words).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "best")
+    once = docs.join(told(best.where("_rows = 1").select(key)), key, "left_semi")
+    repeated = docs.join(told(best.where("_rows > 1").select(key)), key, "left_semi").dropDuplicates([key])
     return once.unionByName(repeated).unionByName(docs.where(F.col(key).isNull()))
