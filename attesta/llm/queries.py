@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html, quality, repeats, secrets, sharding, simhash, topk, toxicity
+from . import bpe, chat, collocations, decontamination, html, quality, repeats, secrets, sharding, simhash, topk, toxicity, whitening
 from .common import table
 
 
@@ -101,9 +101,47 @@ from low left join c using (r) left join s using (r) left join i using (r)
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with low as (select coalesce(lang, 'und') as lang, row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+piece as (select lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from low),
+total as (select lang, sum(len(w))::bigint as n from piece group by lang),
+f as (
+    select lang, w[i:i + k - 1] as phrase, k, count(*) as a from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from piece, range(1, 5) ks(k) where len(w) >= k) group by all having count(*) >= 30
+), cut as (
+    select c.lang, c.phrase, c.a, x.a as l, y.a as r, i as k, 2000000::hugeint * c.a // (x.a + y.a) as score
+    from (select *, unnest(range(1, k)) as i from f where k >= 2) c join f x on x.lang = c.lang and x.phrase = c.phrase[1:c.i] join f y on y.lang = c.lang and y.phrase = c.phrase[c.i + 1:]
+), best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, phrase[i:i + s - 1] as phrase, max(a) as over_ from (select *, unnest(range(1, k - s + 2)) as i from f, (values (2), (3)) sizes(s) where k > s) group by all),
+kept as (select b.*, list_aggregate(b.phrase, 'string_agg', ' ') as said from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where i.over_ is null or 100::hugeint * i.over_ < 80::hugeint * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, said) as rank from kept)
+select lang, rank, said as phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"), tokenizer_path())
+
+
+OP12_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, i, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) t(i, r)),
+e as (select *, length('<turn>' || replace(regexp_replace(replace(role, '\', '\\'), '<(/?turn>|\|)', '<\\\1', 'g'), chr(10), '\n') || chr(10) || regexp_replace(replace(text, '\', '\\'), '<(/?turn>|\|)', '<\\\1', 'g') || '</turn>' || chr(10)) as size from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op7_kneser_ney, op8_sharding, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_html, op4_suffixes, op5_simhash, op6_topk, op7_kneser_ney, op8_sharding, op9_toxicity, op10_decontamination, op11_collocations, op12_chat, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL, "op8_sharding": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_topk": OP6_SQL, "op8_sharding": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL, "op12_chat": OP12_SQL}
