@@ -52,7 +52,7 @@ def mined(rows, least, top, most=4, covered=80):
 def texts(n, seed):
     r = random.Random(seed)
     words = ["a", "b", "A", "c\0", "\0", "é", "d\x01", "d", "the", "of", "the", "of", "the", "x y", "K"]
-    return [(r.choice(["en", "de", None]), None if r.random() < 0.05 else "".join(r.choice(words) + r.choice([" ", "\t", "  ", ". ", "\n", "\r", " ", " "]) for _ in range(r.randint(0, 60)))) for _ in range(n)]
+    return [(r.choice(["en", "de", None, "\\b\0"]), None if r.random() < 0.05 else "".join(r.choice(words) + r.choice([" ", "\t", "  ", ". ", "\n", "\r", " ", " "]) for _ in range(r.randint(0, 60)))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("rows_at_once, bytes_at_once", [(50, 300), (200_000, 24 << 20)])
@@ -93,7 +93,7 @@ def test_stack_of_open_prefixes():
         want.update({(g, "\0".join(w[: k + 1])): i + 1 for k in range(len(w))})
     for step in (1, 3, 1000):
         stack, got = collocations.Stack(4, 1), Counter()
-        parts = [pa.table({"grp": [g for g, _ in rows[i : i + step]], "suffix": [s for _, s in rows[i : i + step]], "n": list(range(i + 1, min(i + step, len(rows)) + 1)), "parts": [1] * len(rows[i : i + step])}) for i in range(0, len(rows), step)]
+        parts = [pa.table({"key": [f"{g}\0{s}" for g, s in rows[i : i + step]], "n": list(range(i + 1, min(i + step, len(rows)) + 1)), "parts": [1] * len(rows[i : i + step])}) for i in range(0, len(rows), step)]
         for t in [*(stack.feed(p) for p in parts), stack.finish()]:
             for x in t.to_pylist():
                 assert (x["grp"], x["phrase"]) not in got
