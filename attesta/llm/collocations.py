@@ -31,7 +31,7 @@ from .words import hashes
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t\x00", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n \t")
 GAP = "\0"
 #: Bytes of text that are counted together before anything leaves a task, rows that the stack takes at once, rows of a batch on the way out.
-TOGETHER, ROWS, OUT = 12 << 20, 100_000, 20_000
+TOGETHER, ROWS, OUT = 6 << 20, 50_000, 4_000
 
 
 @dataclass
@@ -125,6 +125,7 @@ class Words:
 
 def _told(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(OUT)
+    pa.default_memory_pool().release_unused()
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
