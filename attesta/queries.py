@@ -8,14 +8,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identifiers, names, phonetics
 from .functions import similarity as S
-from .operators import documents, evidence, networks, reports, screening, timelines
+from .operators import documents, evidence, influence, mentions, narratives, networks, prefixes, reports, screening, timelines
 from .plans import routes
-from .sources import lists
+from .sources import custody, lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,9 +442,61 @@ def influence_degrees(spark, d):
     return networks.degrees(named_edges(entity_edges(spark, d)), "a", "b")
 
 
-# The same under the names that they had while the three above were an excerpt.
-for _f in (entity_links, entity_components, influence_degrees):
-    QUERIES[f"all_{_f.__name__}"], SQL[f"all_{_f.__name__}"] = _f, SQL[_f.__name__]
+#: Whom a supplier depends on: the three that most often share its orders, ties to the lesser key. Half of it is theirs, by those counts; the rest stays outside.
+STAKES_SQL = """
+o as (select distinct l_orderkey as k, l_suppkey as s from lineitem), m as (select a.s as entity, b.s as owner, count(*) as n from o a join o b on b.k = a.k and b.s <> a.s group by all),
+stake as (select entity, owner, 0.5 * n / sum(n) over (partition by entity) as share from (select * from m qualify row_number() over (partition by entity order by n desc, owner) <= 3))
+"""
+
+
+@query(f"""with recursive {STAKES_SQL}, w(entity, owner, share, k) as (
+    select entity, owner, share, 1 from stake where entity in (select s_suppkey from supplier where s_acctbal < 0)
+    union all select w.entity, t.owner, sum(w.share * t.share), k + 1 from w join stake t on t.entity = w.owner where k < 45 group by w.entity, t.owner, k
+) select entity, owner, round(sum(share), 4) as share from w group by all having round(sum(share), 4) >= 0.01""")
+def integrated_owners(spark, d):
+    """Who stands behind the suppliers in debt, through all chains and circles of stakes."""
+    o = read(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("entity")).distinct()
+    met = o.join(o.withColumnRenamed("entity", "owner"), "l_orderkey").where("entity <> owner").groupBy("entity", "owner").agg(F.count(F.lit(1)).alias("n"))
+    three = met.withColumn("i", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "owner"))).where("i <= 3")
+    stakes = three.withColumn("share", 0.5 * F.col("n") / F.sum("n").over(Window.partitionBy("entity")))
+    subjects = read(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("entity"))
+    return influence.integrated(stakes, subjects, 1e-10, checkpoint=checkpoint).select("entity", "owner", F.round("share", 4).alias("share")).where("share >= 0.01")
+
+
+@query("""
+with recursive l as (select 'c' || o_custkey as src, 's' || l_suppkey as dst, count(*) as w from orders join lineitem on l_orderkey = o_orderkey group by all),
+node as (select node, not bool_or(o) as dangling from (select src as node, true as o from l union all select dst, false from l) group by node), size as (select count(*) as n from node),
+e as (select src, dst, w / sum(w) over (partition by src) as part from l union all select node, node, 0 from node),
+r(node, rank, k) as (
+    select node, 1.0::double / n, 0 from node, size
+    union all select e.dst, (0.15 + 0.85 * any_value(loose)) / any_value(n) + 0.85 * sum(x.rank * e.part), k + 1
+    from (select r.node, rank, k, n, sum(case when dangling then rank else 0 end) over () as loose from r join node using (node), size) x join e on e.src = x.node where k < 30 group by e.dst, k
+) select node, round(rank, 9) as rank from r where k = 30
+""")
+def influence_ranks(spark, d):
+    """PageRank of customers and suppliers, an edge from each customer to each supplier by their lines; suppliers have no way on."""
+    o, i = read(spark, d, "orders"), read(spark, d, "lineitem")
+    lines = o.join(i, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w"))
+    e = lines.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), "w")
+    return influence.pagerank(e, "a", "b", "w", rounds=30, checkpoint=checkpoint).select("node", F.round("rank", 9).alias("rank"))
+
+
+#: Made from the keys of customers and of events, as the tables have no networks: prefixes of 8 to 24 bits, and addresses.
+PREFIX_SQL = "((c_custkey * 7919) % 223 + 1) || '.' || ((c_custkey * 31) % 256) || '.' || (c_nationkey * 10) || '.0/' || (8 + c_custkey % 17)"
+ADDRESS_SQL = "((user_id * 31 + event_id * 17) % 223 + 1) || '.' || ((event_id * 11) % 256) || '.' || (user_id % 256) || '.' || ((event_id * 7) % 256)"
+
+
+@query(IOC_SQL + f""", p as (select {PREFIX_SQL} as prefix, c_custkey, 8 + c_custkey % 17 as bits from customer), n as (select *, {_number("split_part(prefix, '/', 1)")} as net from p),
+a as (select 'event' as kind, event_id as id, {ADDRESS_SQL} as ip from events union all select 'document', doc_id, value from i where ioc_type = 'ip'),
+k as (select distinct ip, {_number('ip')} as x from a where list_max(list_transform(string_split(ip, '.'), lambda y: y::int)) <= 255),
+h as (select ip, bits, prefix, c_custkey from k join n on x - x % (1::bigint << (32 - bits)) = net - net % (1::bigint << (32 - bits)) qualify row_number() over (partition by ip order by bits desc, prefix, c_custkey) = 1)
+select kind, id, ip, bits::int as bits, prefix, c_custkey from a left join h using (ip)
+""")
+def narrowest_prefixes(spark, d):
+    e, c = read(spark, d, "events"), read(spark, d, "customer")
+    ips = e.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.expr(ADDRESS_SQL).alias("ip"))
+    found = evidence.indicators(read(spark, d, "documents"), "doc_id", "text", ("ip",)).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("value").alias("ip"))
+    return prefixes.narrowest(ips.unionByName(found), "ip", c.select(F.expr(PREFIX_SQL).alias("prefix"), "c_custkey"), "prefix").select("kind", "id", "ip", "bits", "prefix", "c_custkey")
 
 
 # Timelines ---------------------------------------------------------------------------------------
@@ -514,6 +566,109 @@ def discourse_correlation(spark, d):
     return timelines.correlated(both, "lang", "n_chars", "quality")
 
 
+NEAR_SQL = r"""
+with recursive t as (select conv_id || ':' || turn as key, text from conversations union all select 'document:' || doc_id, text from documents),
+w as (select key, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from t),
+g as (select key, list_distinct(case when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')] else list_transform(range(1, len(w) - 1), lambda i: list_aggregate(w[i:i + 2], 'string_agg', ' ')) end) as g from w where len(w) > 0),
+z as (select key, len(g) as n, hash(unnest(g)) as h from g),
+x as (select a.key as a, b.key as b, count(*) as n, any_value(a.n) as na, any_value(b.n) as nb from z a join z b on a.h = b.h and a.key < b.key and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by a.key, b.key),
+e as (select a, b from x where n >= 0.7 * (na + nb - n)), s as (select a, b from e union all select b, a from e),
+c(node, cluster) using key (node) as (
+    select distinct a as node, a as cluster from s
+    union (select distinct on (x.node) x.node, y.cluster from recurring.c x join s on s.a = x.node join c y on y.node = s.b where y.cluster < x.cluster order by x.node, y.cluster)
+) select node as key, cluster, count(*) over (partition by cluster) as members from c
+"""
+
+
+@query(NEAR_SQL)
+def near_narratives(spark, d):
+    """Turns and documents that are told again in nearly the same words, Jaccard similarity of three-word shingles of 0.7 and more."""
+    turns = read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    told = turns.union(read(spark, d, "documents").select(F.concat(F.lit("document:"), "doc_id"), "text"))
+    return narratives.clusters(told, "key", "text", 0.7, 3, checkpoint)
+
+
+#: Periods in seconds, from half an hour to a week.
+PERIODS = [1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800, 302400, 604800]
+
+
+@query("""
+with a as (select user_id, p, (epoch_us(ts) % (p * 1000000::bigint)) / (p * 1000000.0::double) * 2 * 3.141592653589793 as x from events, (select unnest(""" + str(PERIODS) + """) as p)),
+b as (select user_id, p, count(*) as n, round((pow(sum(cos(x)), 2) + pow(sum(sin(x)), 2)) / count(*), 9) as z from a group by all), c as (select * from b qualify row_number() over (partition by user_id order by z desc, p) = 1)
+select user_id, p::int as period_seconds, n, round(z, 6) as power, round(least(exp(sqrt(1 + 4 * n + 4 * (n * n - n * z)) - (1 + 2 * n)), 1), 6) as p_value from c
+""")
+def strongest_periods(spark, d):
+    return timelines.rayleigh(read(spark, d, "events"), "user_id", "ts", PERIODS)
+
+
+# Lists -------------------------------------------------------------------------------------------
+
+#: The names to look for: part names, and the first two and four words of the benchmark's items, which documents may hold.
+LISTED_SQL = r"""select distinct p_name as name from part union select regexp_extract(text, '^\S+ \S+') from benchmark union select regexp_extract(text, '^\S+ \S+ \S+ \S+') from benchmark"""
+
+
+@query(rf"""
+with n as (select distinct lower(trim(name)) as name from ({LISTED_SQL}) where trim(name) <> ''),
+t as (select 'document' as kind, doc_id as id, lower(text) as t from documents union all select 'page', page_id, lower(html) from pages),
+m as (select kind, id, t, name from t join n on contains(t, name)), p as (select kind, id, t, name, unnest(list_filter(range(1, length(t) - length(name) + 2), lambda i: substr(t, i, length(name)) = name)) as start from m)
+select kind, id, name, start::int as start from p
+where not (regexp_matches(substr(t, start - 1, case when start > 1 then 1 else 0 end), '[\p{{L}}\p{{N}}]') and regexp_matches(name, '^[\p{{L}}\p{{N}}]')) and not (regexp_matches(substr(t, start + length(name), 1), '[\p{{L}}\p{{N}}]') and regexp_matches(name, '[\p{{L}}\p{{N}}]$'))
+""")
+def listed_mentions(spark, d):
+    """Where documents and pages name what is listed, as whole words."""
+    first = lambda n: F.regexp_extract("text", r"^\S+" + r" \S+" * n, 0)
+    b = read(spark, d, "benchmark")
+    names = read(spark, d, "part").select(F.col("p_name").alias("name")).union(b.select(first(1))).union(b.select(first(3)))
+    texts = read(spark, d, "documents").select(F.struct(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).alias("key"), "text")
+    texts = texts.union(read(spark, d, "pages").select(F.struct(F.lit("page").alias("kind"), F.col("page_id").alias("id")), "html"))
+    keyed = texts.select(F.concat_ws(":", "key.kind", "key.id").alias("key"), "text")
+    out = mentions.mentions(keyed, "key", "text", names, "name")
+    return out.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("id"), "name", "start")
+
+
+@query("select p_partkey, p_name as name, p_brand as alias from part")
+def stated_aliases(spark, d):
+    said = F.concat(F.lit('the goods "'), "p_name", F.lit('", also known as '), "p_brand", F.lit(", are here"))
+    return mentions.stated_aliases(read(spark, d, "part").select("p_partkey", said.alias("text")), "p_partkey", "text")
+
+
+#: A list that grows by the day: parts that have been shipped, with the last sign of their returns.
+SHIPPED = ("1995-01-20", "1995-01-30")
+_shipped = lambda day: f"select p_partkey as entry_id, p_name as primary_name, max(l_returnflag) as alias_quality from part join lineitem on l_partkey = p_partkey where l_shipdate < timestamp '{day}' group by all"
+
+
+def shipped(spark: SparkSession, d: str, day: str) -> DataFrame:
+    """The list as it stood before a day."""
+    lines = read(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_returnflag").alias("alias_quality"))
+    return lines.join(read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("primary_name"), "alias_quality")
+
+
+@query(f"with a as ({_shipped(SHIPPED[0])}), b as ({_shipped(SHIPPED[1])}) select entry_id, case when a.entry_id is null then 'added' when b.entry_id is null then 'removed' else 'changed' end as change from a full join b using (entry_id) where (a.primary_name, a.alias_quality) is distinct from (b.primary_name, b.alias_quality)")
+def list_changes(spark, d):
+    return lists.changes(shipped(spark, d, SHIPPED[0]), shipped(spark, d, SHIPPED[1]), ["entry_id"])
+
+
+@query(PAIRS_SQL + f", b as ({_shipped(SHIPPED[1])}), m as (select a, b, score from c where score >= 80 union all select b, a, score from c where score >= 80 union all select name, name, 100 from n) select entry_id, m.a as subject, score::double as score, alias_quality from b join m on m.b = primary_name")
+def list_rescreening(spark, d):
+    """Matches of all part names with the list of the later day, from those of the earlier day and what changed between."""
+    subjects = part_names(spark, d).select(F.col("name").alias("subject"))
+
+    def screen(entries: DataFrame) -> DataFrame:
+        names_ = entries.select(F.col("primary_name").alias("entry")).distinct()
+        pairs = screening.scored(screening.candidates(subjects, names_, "subject", "entry", 80.0), "subject", "entry").where("score >= 80").select("subject", "entry", "score")
+        return entries.join(pairs, F.col("primary_name") == F.col("entry")).select("entry_id", "subject", "score", "alias_quality")
+
+    old, new = shipped(spark, d, SHIPPED[0]), shipped(spark, d, SHIPPED[1])
+    return lists.rescreened(screen(old), lists.changes(old, new, ["entry_id"]), "entry_id", screen, new)
+
+
+@query()
+def dataset_custody(spark, d):
+    """The Merkle root of each given table's files."""
+    tables = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+    return custody.datasets(spark, {t: f"{d}/{t}.parquet" for t in tables})
+
+
 # Reports -----------------------------------------------------------------------------------------
 
 

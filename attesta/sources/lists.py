@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +88,27 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     every = spark.read.parquet(path)
     newest = every.groupBy("list_name").agg(F.max_by("source_version", F.struct("consulted_at", "source_version")).alias("source_version"))
     return every.join(newest, ["list_name", "source_version"], "left_semi")
+
+
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key, change): entries of two snapshots that are `added`, `removed` or `changed`, by a digest of each key's rows; only digests are shuffled.
+
+    Rows of one key are compared as a bag: order makes no difference, repeats and nulls do. Both have the same columns; a key may hold nulls.
+    """
+    rest = sorted(set(new.columns) - set(key))
+    row = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    side = lambda df, name: df.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias(name))
+    a, b = side(old, "_old").alias("a"), side(new, "_new").alias("b")
+    met = a.join(b, reduce(lambda x, y: x & y, (F.equal_null(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in key)), "full")
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
+    return met.where("not _old <=> _new").select(*(F.when(F.col("_new").isNull(), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in key), kind.alias("change"))
+
+
+def rescreened(before: DataFrame, changed: DataFrame, key: str, screen: Callable[[DataFrame], DataFrame], new: DataFrame) -> DataFrame:
+    """Matches against a new snapshot, from those against the one before: entries that went or changed lose theirs, those that came or changed are screened, the rest isn't touched.
+
+    `screen` gives matches with the column `key` for entries of that key; `changed` is what `changes` gives.
+    """
+    kept = before.join(changed.select(key), key, "left_anti")
+    fresh = new.join(changed.where("change <> 'removed'").select(key), key, "left_semi")
+    return kept.unionByName(screen(fresh).select(*before.columns))
