@@ -85,3 +85,55 @@ def rayleigh(df: DataFrame, who: str, ts: str, periods: list[int]) -> DataFrame:
     z = F.col("best.power")
     chance = F.exp(F.sqrt(1 + 4 * n + 4 * (n * n - n * z)) - (1 + 2 * n))
     return each.withColumn("best", best).select(who, (-F.col("best.less")).cast("int").alias("period_seconds"), "n", F.round(z, 6).alias("power"), F.round(F.least(chance, F.lit(1.0)), 6).alias("p_value"))
+
+
+def bursts(df: DataFrame, turn: str, text: str, least: int = 10, factor: float = 2.0, price: float = 1.0) -> DataFrame:
+    """(token, first_turn, last_turn, n): stretches of turns in which a token, met `least` times or more, is told far more often than elsewhere.
+
+    Kleinberg's automaton of two states: a token comes at its overall rate, or at `factor` times that. Going up costs
+    `price` times the logarithm of the number of turns, going down nothing; the cheapest sequence of states (Viterbi,
+    ties to the lower state or to staying) is found by a fold over each token's turns. There are as many as the longest
+    text has turns; one array of their totals goes to every token. Rows without a turn are left out.
+    """
+    each = df.where(F.col(turn).isNotNull()).select(F.col(turn).alias("turn"), F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("token")).where("token <> ''")
+    counts = each.groupBy("token", "turn").agg(F.count(F.lit(1)).alias("r"))
+    totals = counts.groupBy("turn").agg(F.sum("r").alias("d")).agg(F.array_sort(F.collect_list(F.struct("turn", "d"))).alias("turns"), F.sum("d").alias("all"))
+    tokens = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("turn", "r"))).alias("by"), F.sum("r").alias("sum")).where(F.col("sum") >= least)
+    both = tokens.join(F.broadcast(totals)).withColumn("p0", F.col("sum") / F.col("all")).withColumns({"p1": F.least(F.col("p0") * factor, F.lit(0.9999)), "up": price * F.log(F.size("turns").cast("double"))})
+    r = lambda x: F.coalesce(F.try_element_at("by", x["turn"]), F.lit(0).cast("bigint"))
+    cost = lambda x, p: -(r(x) * F.log(F.col(p)) + (x["d"] - r(x)) * F.log(1 - F.col(p)))
+    start = F.struct(F.lit(0.0).alias("c0"), F.lit(1e300).alias("c1"), F.lit("").alias("s0"), F.lit("").alias("s1"))
+
+    def step(a: Column, x: Column) -> Column:
+        low = F.when(a["c0"] <= a["c1"], a["s0"]).otherwise(a["s1"])
+        high = F.when(a["c1"] <= a["c0"] + F.col("up"), a["s1"]).otherwise(a["s0"])
+        return F.struct((F.least(a["c0"], a["c1"]) + cost(x, "p0")).alias("c0"), (F.least(a["c0"] + F.col("up"), a["c1"]) + cost(x, "p1")).alias("c1"), F.concat(low, F.lit("0")).alias("s0"), F.concat(high, F.lit("1")).alias("s1"))
+
+    path = F.aggregate("turns", start, step, lambda a: F.when(a["c0"] <= a["c1"], a["s0"]).otherwise(a["s1"]))
+    states = both.select("token", "by", "turns", path.alias("path"))
+    at = states.select("token", F.posexplode("turns").alias("k", "x"), "path", "by").where(F.expr("substring(path, k + 1, 1) = '1'"))
+    run = F.col("k") - F.row_number().over(Window.partitionBy("token").orderBy("k"))
+    return at.withColumn("_run", run).groupBy("token", "_run").agg(F.min("x.turn").alias("first_turn"), F.max("x.turn").alias("last_turn"), F.sum(r(F.col("x"))).alias("n")).drop("_run")
+
+
+def distinctive(df: DataFrame, key: str, by: str, text: str, least: int = 5, top: int = 50) -> DataFrame:
+    """(by, term, texts, llr): the `top` terms that each group's texts have more often than the others', by Dunning's log-likelihood ratio.
+
+    A term counts once in a text and must be in `least` texts or more; ties of the ratio (to 6 decimals) go to the lesser
+    term. Texts without a group are left out. Keys are unique. A group's terms are ranked in 64 parts first.
+    """
+    own = df.where(F.col(by).isNotNull())
+    terms = own.select(F.col(by), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("term")).where("term <> ''")
+    counts = terms.groupBy(by, "term").agg(F.count(F.lit(1)).alias("texts"))
+    groups = own.groupBy(by).agg(F.count(F.lit(1)).alias("docs"))
+    has = counts.groupBy("term").agg(F.sum("texts").alias("has")).where(F.col("has") >= least)
+    n = groups.agg(F.sum("docs").alias("n"))
+    x = counts.join(has, "term").join(groups, by).join(F.broadcast(n))
+    a, docs, every = F.col("texts").cast("double"), F.col("docs").cast("double"), F.col("n").cast("double")
+    b, c = F.col("has") - a, docs - a
+    d = every - docs - F.col("has") + a
+    part = lambda v, row, column: F.when(v > 0, v * F.log(v * every / (row * column))).otherwise(0.0)
+    llr = F.round(2 * (part(a, a + b, a + c) + part(b, a + b, b + d) + part(c, c + d, a + c) + part(d, c + d, b + d)), 6)
+    more = x.where(a * every > (a + b) * (a + c)).select(by, "term", "texts", llr.alias("llr"), F.pmod(F.xxhash64("term"), F.lit(64)).alias("_part"))
+    first = lambda t, *w: t.withColumn("_i", F.row_number().over(Window.partitionBy(*w).orderBy(F.desc("llr"), "term"))).where(F.col("_i") <= top)
+    return first(first(more, by, "_part"), by).select(by, "term", "texts", "llr")

@@ -5,6 +5,7 @@ Stand-ins: part names are screened as if they were names of people, orders and l
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -237,6 +238,32 @@ def identifier_checks(spark, d):
     return rows.withColumn("valid", identifiers.valid(F.col("kind"), F.col("value")))
 
 
+#: Identifiers as a table would hold them: made from keys, most of them with wrong check digits, some malformed.
+MADE_SQL = """select c_custkey as id, 'ISIN' as kind, case when c_custkey % 50 = 7 then 'us' || c_custkey else 'US' || lpad(cast(c_custkey * 7919 % 1000000000 as varchar(9)), 9, '0') || c_custkey % 10 end as value from customer
+union all select o_orderkey, 'IBAN', case when o_orderkey % 50 = 7 then 'GB' || o_orderkey else 'GB' || lpad(cast(2 + o_orderkey % 97 as varchar(2)), 2, '0') || ' NWBK ' || lpad(cast(o_orderkey * 104729 % 100000000000000 as varchar(14)), 14, '0') end from orders
+union all select s_suppkey, 'BIC', upper(substr(s_name, 1, 4)) || 'DE' || lpad(cast(s_suppkey % 100 as varchar(2)), 2, '0') || case when s_suppkey % 3 = 0 then 'XXX' when s_suppkey % 3 = 1 then '' else 'X' end from supplier"""
+
+
+@query(f"""
+with m as ({MADE_SQL}), i as (select id, value, ('3028' || substr(value, 3))::hugeint as n from m where kind = 'ISIN' and length(value) = 12),
+g as (select id, value, list_transform(range(1, length(n::varchar) + 1), lambda k: substr(reverse(n::varchar), k, 1)::int * (1 + (k + 1) % 2)) as t from i),
+isin as (select id, value, list_sum(list_transform(t, lambda x: x // 10 + x % 10)) % 10 = 0 as ok from g),
+iban as (select id, value, (('23321120' || substr(replace(value, ' ', ''), 9) || '1611' || substr(value, 3, 2))::hugeint % 97) = 1 as ok from m where kind = 'IBAN' and value like '% %')
+select m.kind, m.id, m.value, case m.kind when 'BIC' then regexp_matches(m.value, '^[A-Z]{{4}}DE[0-9]{{2}}([A-Z0-9]{{3}})?$') else coalesce(a.ok, b.ok, false) end as valid, case when m.kind = 'BIC' then m.value in (select upper(substr(s_name, 1, 4)) || 'DE' || lpad(cast(s_suppkey % 100 as varchar(2)), 2, '0') || 'XXX' from supplier where s_acctbal >= 0) end as listed
+from m left join isin a on m.kind = 'ISIN' and a.id = m.id left join iban b on m.kind = 'IBAN' and b.id = m.id
+""")
+def identifier_audit(spark, d):
+    """Check digits and structure of identifiers in tables; bank codes are also looked up in a directory, which lists head offices of suppliers without debt."""
+    for t in ("customer", "orders", "supplier"):
+        read(spark, d, t).createOrReplaceTempView(f"_made_{t}")
+    rows = spark.sql(re.sub(r"from (customer|orders|supplier)\b", r"from _made_\1", MADE_SQL))
+    code = F.concat(F.upper(F.substring("s_name", 1, 4)), F.lit("DE"), F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"), F.lit("XXX"))
+    directory = read(spark, d, "supplier").where("s_acctbal >= 0").select(code.alias("value"))
+    banks = networks.registered(rows.where("kind = 'BIC'"), directory, "value").withColumnRenamed("exists", "listed")
+    every = rows.where("kind <> 'BIC'").withColumn("listed", F.lit(None).cast("boolean")).unionByName(banks)
+    return every.select("kind", "id", "value", identifiers.valid(F.col("kind"), F.col("value")).alias("valid"), "listed")
+
+
 @query("""
 with l as (select l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as computed from lineitem group by l_orderkey)
 select o_orderkey, round(o_totalprice, 2) as stated, round(coalesce(computed, 0), 2) as computed, round(o_totalprice - coalesce(computed, 0), 2) as difference, abs(round(o_totalprice - coalesce(computed, 0), 2)) <= 0.01 as consistent
@@ -442,6 +469,11 @@ def influence_degrees(spark, d):
     return networks.degrees(named_edges(entity_edges(spark, d)), "a", "b")
 
 
+# The same under the names that they had while the three above were an excerpt.
+for _f in (entity_links, entity_components, influence_degrees):
+    QUERIES[f"all_{_f.__name__}"], SQL[f"all_{_f.__name__}"] = _f, SQL[_f.__name__]
+
+
 #: Whom a supplier depends on: the three that most often share its orders, ties to the lesser key. Half of it is theirs, by those counts; the rest stays outside.
 STAKES_SQL = """
 o as (select distinct l_orderkey as k, l_suppkey as s from lineitem), m as (select a.s as entity, b.s as owner, count(*) as n from o a join o b on b.k = a.k and b.s <> a.s group by all),
@@ -588,6 +620,41 @@ def near_narratives(spark, d):
     return narratives.clusters(told, "key", "text", 0.7, 3, checkpoint)
 
 
+BURST_SQL = r"""
+with recursive t as (select turn, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from conversations where turn is not null), c as (select turn, token, count(*) as r from t where token <> '' group by all),
+d as (select turn, sum(r) as d, row_number() over (order by turn) as k from c group by turn), e as (select count(*) as m, sum(d) as d from d),
+p as (select token, sum(r) / any_value(e.d)::double as p0, any_value(m) as m from c, e group by token having sum(r) >= 10), q as (select token, p0, least(2 * p0, 0.9999) as p1, ln(m)::double as g from p),
+x as (select q.token, k, d.turn, coalesce(r, 0) as r, g, -(coalesce(r, 0) * ln(p0) + (d - coalesce(r, 0)) * ln(1 - p0)) as x0, -(coalesce(r, 0) * ln(p1) + (d - coalesce(r, 0)) * ln(1 - p1)) as x1 from q cross join d left join c on c.token = q.token and c.turn = d.turn),
+v(token, k, c0, c1, s0, s1) as (
+    select token, 0::bigint, 0::double, 1e300::double, '', '' from q
+    union all select v.token, v.k + 1, least(c0, c1) + x0, least(c0 + g, c1) + x1, case when c0 <= c1 then s0 else s1 end || '0', case when c1 <= c0 + g then s1 else s0 end || '1' from v join x on x.token = v.token and x.k = v.k + 1
+), s as (select token, case when c0 <= c1 then s0 else s1 end as s from v, e where k = m),
+h as (select token, turn, r, k - row_number() over (partition by token order by k) as run from s join x using (token) where substr(s, k::int, 1) = '1')
+select token, min(turn) as first_turn, max(turn) as last_turn, sum(r)::bigint as n from h group by token, run
+"""
+
+
+@query(BURST_SQL)
+def narrative_bursts(spark, d):
+    """From which turn to which a word is used far more than elsewhere."""
+    return timelines.bursts(read(spark, d, "conversations"), "turn", "text")
+
+
+DISCOURSE_SQL = r"""
+with t as (select distinct doc_id, source, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as term from documents), c as (select source, term, count(*) as a from t where term <> '' group by all),
+g as (select source, count(*) as docs from documents where source is not null group by source), o as (select term, sum(a) as has from c where source is not null group by term), e as (select sum(docs) as n from g),
+x as (select c.source, c.term, a::double as a, (has - a)::double as b, (docs - a)::double as c, (n - docs - has + a)::double as d, n::double as n from c join g on g.source = c.source join o on o.term = c.term, e where has >= 5),
+y as (select source, term, a::bigint as texts, round(2 * (case when a > 0 then a * ln(a * n / ((a + b) * (a + c))) else 0 end + case when b > 0 then b * ln(b * n / ((a + b) * (b + d))) else 0 end + case when c > 0 then c * ln(c * n / ((c + d) * (a + c))) else 0 end + case when d > 0 then d * ln(d * n / ((c + d) * (b + d))) else 0 end), 6) as llr from x where a * n > (a + b) * (a + c))
+select source, term, texts, llr from y qualify row_number() over (partition by source order by llr desc, term) <= 50
+"""
+
+
+@query(DISCOURSE_SQL)
+def discourse_terms(spark, d):
+    """The words that set each source's documents apart."""
+    return timelines.distinctive(read(spark, d, "documents"), "doc_id", "source", "text")
+
+
 #: Periods in seconds, from half an hour to a week.
 PERIODS = [1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800, 302400, 604800]
 

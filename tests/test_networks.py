@@ -168,3 +168,35 @@ def test_list_changes_and_rescreening(spark):
     assert lists.changes(b, a, ["id"]).where("change = 'removed'").first().id == 6 and lists.changes(a, a, ["id"]).count() == 0
     screen = lambda df: df.where("name <> 'bob'").select("id", "name", "alias")
     assert sorted(map(str, lists.rescreened(screen(a), changed, "id", screen, b).collect())) == sorted(map(str, screen(b).collect()))
+
+
+def test_bursts(spark):
+    r = random.Random(7)
+    rows = [(t, " ".join(r.choice("abcdefgh") for _ in range(30)) + (" war war WAR" if 4 <= t <= 6 else " peace")) for t in range(12) for _ in range(4)] + [(None, "war war"), (3, None), (4, "")]
+    out = timelines.bursts(spark.createDataFrame(rows, "turn int, text string"), "turn", "text").collect()
+    counts = [{}, *({} for _ in range(11))]
+    for t, text in rows:
+        for w in (text or "").lower().split() if t is not None else ():
+            counts[t][w] = counts[t].get(w, 0) + 1
+    d, want = [sum(c.values()) for c in counts], []
+    for w in {w for c in counts for w in c}:
+        p0 = sum(c.get(w, 0) for c in counts) / sum(d)
+        p = (p0, min(2 * p0, 0.9999))
+        cost = lambda t, s: -(counts[t].get(w, 0) * math.log(p[s]) + (d[t] - counts[t].get(w, 0)) * math.log(1 - p[s]))  # noqa: B023, E731
+        # By hand: the cheapest of all 2^12 sequences of states.
+        best = min(range(1 << 12), key=lambda m: (round(sum(cost(t, m >> t & 1) for t in range(12)) + math.log(12) * sum(m >> t & 1 and not (t and m >> t - 1 & 1) for t in range(12)), 9), m))  # noqa: B023
+        runs = [t for t in range(12) if best >> t & 1]
+        while runs:
+            n = next((i for i in range(1, len(runs)) if runs[i] != runs[i - 1] + 1), len(runs))
+            want.append((w, runs[0], runs[n - 1], sum(counts[t].get(w, 0) for t in runs[:n])))
+            runs = runs[n:]
+    assert sorted((x.token, x.first_turn, x.last_turn, x.n) for x in out) == sorted(want) and ("war", 4, 6, 36) in want
+
+
+def test_distinctive_terms(spark):
+    rows = [(i, "a" if i % 3 else "b", "the same words" + (" tax tax" if i % 3 and i % 2 else "") + (" rain" if not i % 3 else "")) for i in range(60)] + [(100, None, "rain"), (101, "a", None)]
+    got = {(x.source, x.term): x for x in timelines.distinctive(spark.createDataFrame(rows, "id int, source string, text string"), "id", "source", "text").collect()}
+    assert set(got) == {("a", "tax"), ("b", "rain"), ("b", "the"), ("b", "same"), ("b", "words")} and got["b", "rain"].texts == 20
+    a, b, c, d = 20.0, 0.0, 0.0, 41.0
+    g2 = 2 * sum(v * math.log(v * 61 / (x * y)) for v, x, y in ((a, 20, 20), (d, 41, 41)) if v)
+    assert b == c == 0 and abs(got["b", "rain"].llr - g2) < 1e-5
