@@ -34,13 +34,13 @@ ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table"
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CONTENT = frozenset(("article", "main"))
 LISTS = frozenset("ul ol dl blockquote table tbody tr figure".split())
-#: Words of class and id that speak of something other than the article, and words of layout that take that back.
+#: Words of class and id that speak of something other than the article; words that say it is only spoken of; and what a layout of content may have at its side.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header footer masthead "
     "sidebar side aside cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus respond reply replies share sharing "
     "social related recommended newsletter subscribe subscription signup login search widget pager pagination toolbar skip".split()
 )
-LAYOUT = frozenset("has no with without wrap wrapper layout container page site grid row col main content".split())
+SPOKEN, SIDES = frozenset("has no with without".split()), frozenset("sidebar side".split())
 #: What a block's fused ratio is multiplied with inside an article, and where something else is marked.
 INSIDE, MARKED = 8.0, 1 / 64
 
@@ -90,7 +90,8 @@ def kind(tag: str, more: str) -> tuple[bool, bool, bool, bool]:
         aside |= role in ROLES
         for name in f"{given.get('class', '')} {given.get('id', '')}".split():
             words = {w.lower() for w in WORD.findall(name)}
-            marked |= not words.isdisjoint(MARKS) and words.isdisjoint(LAYOUT)
+            said = words & MARKS
+            marked |= bool(said) and words.isdisjoint(SPOKEN) and not ("content" in words and said <= SIDES)
         bare = {w.lower() for w in ATTRIBUTE.sub(" ", more).split()}
         never |= "hidden" in bare or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     return never, aside, marked, content
@@ -218,7 +219,7 @@ def chosen(path: np.ndarray, ratio: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str) -> str:
-    """The text of a page's content blocks; empty if the page has none."""
+    """The text of a page's content blocks; empty if the page has none, as where all of it is marked as something else."""
     page = parsed(html)
     if not page.blocks:
         return ""
@@ -226,7 +227,7 @@ def main_text(html: str) -> str:
     parent, marked, home = np.array(page.parent), np.array(page.marked), np.array(page.home)
     path = np.array(page.path)[of]
     prior = np.where(marked[of], MARKED, np.where(home[of] > 0, INSIDE, 1.0))
-    content = chosen(path, fused(path, texts, prior))
+    content = chosen(path, fused(path, texts, prior)) & ~marked[of]
     open_ = np.isin(np.array(page.tag), ("#", "html", "body"))
     holds, level = np.zeros(len(parent), bool), np.zeros(len(parent), bool)
     holds[home[of[content]]] = True
