@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import identifiers, names, phonetics
 from .functions import similarity as S
-from .operators import documents, evidence, influence, mentions, narratives, networks, prefixes, reports, screening, timelines
+from .operators import documents, evidence, influence, linkage, mentions, narratives, networks, prefixes, reports, screening, timelines
 from .plans import routes
 from .sources import custody, lists
 
@@ -513,6 +513,34 @@ def influence_ranks(spark, d):
     return influence.pagerank(e, "a", "b", "w", rounds=30, checkpoint=checkpoint).select("node", F.round("rank", 9).alias("rank"))
 
 
+_clip = lambda x: f"least(greatest({x}, 1e-6), 1 - 1e-6)"
+_side = lambda v: " * ".join(f"(case when g{i} then {v}{i} else 1 - {v}{i} end)" for i in (1, 2, 3))
+
+
+@query(f"""
+with recursive g as (
+    select c_custkey, s_suppkey, c_custkey % 10 = s_suppkey % 10 as g1, abs(c_acctbal - s_acctbal) <= 25 as g2, coalesce(o, 0) > 0 as g3
+    from customer join supplier on c_nationkey = s_nationkey and floor(c_acctbal / 500) = floor(s_acctbal / 500)
+    left join (select o_custkey, l_suppkey, count(*) as o from orders join lineitem on l_orderkey = o_orderkey group by all) on o_custkey = c_custkey and l_suppkey = s_suppkey
+), c as (select g1, g2, g3, count(*)::double as n from g group by all),
+r(k, p, m1, m2, m3, u1, u2, u3) as (
+    select 0, 0.1::double, 0.9::double, 0.9::double, 0.9::double, 0.1::double, 0.1::double, 0.1::double
+    union all select any_value(k) + 1, {_clip("sum(n * w) / sum(n)")}, {", ".join(_clip(f"sum(n * w * g{i}::int) / sum(n * w)") for i in (1, 2, 3))}, {", ".join(_clip(f"sum(n * (1 - w) * g{i}::int) / sum(n * (1 - w))") for i in (1, 2, 3))}
+    from (select *, p * {_side("m")} / (p * {_side("m")} + (1 - p) * {_side("u")}) as w from r, c where k < 50) having count(*) > 0
+), f as (select * from r where k = 50), x as (select c_custkey, s_suppkey, p, {" + ".join(f"(case when g{i} then log2(m{i} / u{i}) else log2((1 - m{i}) / (1 - u{i})) end)" for i in (1, 2, 3))} as weight from g, f)
+select c_custkey, s_suppkey, round(weight, 4) as weight, round(pow(2.0, weight) * (p / (1 - p)) / (1 + pow(2.0, weight) * (p / (1 - p))), 4) as probability from x
+""")
+def cross_references(spark, d):
+    """How likely customers and suppliers of a nation with balances alike are the same party: by their numbers, balances and dealings."""
+    c, p = read(spark, d, "customer"), read(spark, d, "supplier")
+    band = lambda x: F.floor(F.col(x) / 500).alias("band")
+    pairs = linkage.blocked(c.select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"), band("c_acctbal")), p.select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"), band("s_acctbal")), ["nation", "band"])
+    deals = entity_edges(spark, d).select(F.col("customer").alias("c_custkey"), F.col("supplier").alias("s_suppkey"), F.lit(True).alias("dealt"))
+    told = pairs.join(deals, ["c_custkey", "s_suppkey"], "left")
+    checks = {"number": F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, "balance": F.abs(F.col("c_acctbal") - F.col("s_acctbal")) <= 25, "dealt": F.col("dealt")}
+    return linkage.linked(told, checks, 50, 0.0).select("c_custkey", "s_suppkey", F.round("weight", 4).alias("weight"), F.round("probability", 4).alias("probability"))
+
+
 #: Made from the keys of customers and of events, as the tables have no networks: prefixes of 8 to 24 bits, and addresses.
 PREFIX_SQL = "((c_custkey * 7919) % 223 + 1) || '.' || ((c_custkey * 31) % 256) || '.' || (c_nationkey * 10) || '.0/' || (8 + c_custkey % 17)"
 ADDRESS_SQL = "((user_id * 31 + event_id * 17) % 223 + 1) || '.' || ((event_id * 11) % 256) || '.' || (user_id % 256) || '.' || ((event_id * 7) % 256)"
@@ -827,6 +855,17 @@ def route_limits(spark, d):
     return routes.limits(spark).select("trigger", "step", "limit")
 
 
+TRIGGERS = list(routes.ROUTES)
+
+
+@query("with r(trigger, flow, i) as (values " + ", ".join(f"('{k}', {list(v)}, {i})" for i, (k, v) in enumerate(routes.ROUTES.items())) + "), l(trigger, step, lim) as (values " + ", ".join(f"('{k}', '{x}', '{v}')" for (k, x), v in routes.LIMITS.items()) + f"), o as (select o_orderkey, (substr(o_orderpriority, 1, 1)::int + (o_orderstatus = 'F')::int) % {len(TRIGGERS)} as i from orders), s as (select o_orderkey, r.trigger, flow, unnest(range(1, len(flow) + 1)) as pos from o join r using (i)) select o_orderkey, s.trigger, pos::int - 1 as pos, flow[pos] as step, pos < len(flow) as more, lim as limit from s left join l on l.trigger = s.trigger and l.step = flow[pos]")
+def order_routes(spark, d):
+    """The steps that each order would go through as a case, its kind of evidence told by priority and status, with the limits of each step."""
+    kind = (F.substring("o_orderpriority", 1, 1).cast("int") + (F.col("o_orderstatus") == "F").cast("int")) % len(TRIGGERS)
+    orders = read(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, TRIGGERS)), kind + 1).alias("trigger"))
+    return orders.join(routes.table(spark), "trigger").join(routes.limits(spark), ["trigger", "pos", "step"], "left").select("o_orderkey", "trigger", "pos", "step", "more", "limit")
+
+
 @query("select * from (values " + ", ".join(f"('{n}', '{t}')" for n, t in lists.FURTHER) + ") t(name, type)")
 def further_lists(spark, d):
     return lists.further(spark)

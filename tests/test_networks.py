@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta import queries
-from attesta.operators import influence, mentions, narratives, prefixes, timelines
+from attesta.operators import influence, linkage, mentions, narratives, prefixes, timelines
 from attesta.sources import custody, lists
 
 
@@ -200,3 +200,27 @@ def test_distinctive_terms(spark):
     a, b, c, d = 20.0, 0.0, 0.0, 41.0
     g2 = 2 * sum(v * math.log(v * 61 / (x * y)) for v, x, y in ((a, 20, 20), (d, 41, 41)) if v)
     assert b == c == 0 and abs(got["b", "rain"].llr - g2) < 1e-5
+
+
+def test_linkage(spark):
+    r = random.Random(8)
+    true = [r.random() < 0.2 for _ in range(3000)]
+    m, u = (0.95, 0.8, 0.7), (0.05, 0.2, 0.1)
+    rows = [(i, *(r.random() < (m if t else u)[k] for k in range(3))) for i, t in enumerate(true)] + [(9999, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, a boolean, b boolean, c boolean")
+    out = {x.id: x for x in linkage.linked(df, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}).collect()}
+    # By hand: EM over the rows themselves.
+    g = np.array([[bool(v) for v in x[1:]] for x in rows], float)
+    p, pm, pu = 0.1, np.full(3, 0.9), np.full(3, 0.1)
+    for _ in range(100):
+        yes, no = p * np.prod(np.where(g, pm, 1 - pm), axis=1), (1 - p) * np.prod(np.where(g, pu, 1 - pu), axis=1)
+        w = yes / (yes + no)
+        p, pm, pu = w.mean(), w @ g / w.sum(), (1 - w) @ g / (1 - w).sum()
+    assert abs(p - 0.2) < 0.05 and np.allclose(pm, m, atol=0.08) and np.allclose(pu, u, atol=0.05)
+    weights = np.where(g, np.log2(pm / pu), np.log2((1 - pm) / (1 - pu))).sum(axis=1)
+    assert all(abs(out[x[0]].weight - weights[i]) < 1e-6 for i, x in enumerate(rows))
+    odds = 2.0 ** weights[0] * p / (1 - p)
+    assert abs(out[0].probability - odds / (1 + odds)) < 1e-9
+    assert sum((out[i].probability > 0.5) == t for i, t in enumerate(true)) > 2700
+    assert linkage.linked(df.limit(0), {"a": F.col("a")}).count() == 0
+    assert linkage.blocked(df.withColumn("k", F.lit(None).cast("int")), df.withColumn("k", F.lit(None).cast("int")), ["k"]).count() == 0
