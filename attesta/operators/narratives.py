@@ -21,11 +21,15 @@ Checkpoint = Callable[[DataFrame], DataFrame]
 BANDS, MINIMA = 40, 3
 
 
-def shingles(text: Column, size: int) -> Column:
-    """Hashes of the different runs of `size` words, sorted; a text of fewer words is one run, one without words has none."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def tokens(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def shingles(words: Column, size: int) -> Column:
+    """Hashes of the different runs of `size` words, sorted; fewer words are one run, none have none."""
     count = F.greatest(F.size(words) - size + 1, F.lit(0))
-    # Shifted copies side by side: a lambda that took slices of `words` would split the text again for every word.
+    # Shifted copies side by side: slices of `words` inside a lambda would be as many as there are words, each a copy.
     runs = F.transform(F.arrays_zip(*(F.slice(words, k + 1, count).alias(f"w{k}") for k in range(size))), lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{k}"] for k in range(size)))))
     short = F.filter(F.array(F.when(F.size(words) > 0, F.xxhash64(F.array_join(words, " ")))), lambda h: h.isNotNull())
     return F.array_sort(F.array_distinct(F.when(F.size(words) < size, short).otherwise(runs)))
@@ -70,7 +74,8 @@ def clusters(df: DataFrame, key: str, text: str, least: float = 0.7, size: int =
 
     Null texts and texts without words are compared with nothing. Keys that are null or repeated count as one text each.
     """
-    told = df.select(F.col(key).alias("key"), shingles(F.col(text), size).alias("grams")).where(F.size("grams") > 0)
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a row each, so that no later use of the column computes it again
+    told = df.select(F.col(key).alias("key"), once(tokens(F.col(text)), "words")).select("key", once(shingles(F.col("words"), size), "grams")).where(F.size("grams") > 0)
     members = checkpoint(told.select("key", F.md5(F.array_join("grams", ",")).alias("digest"), "grams").groupBy("digest", "key").agg(F.first("grams").alias("grams")))
     items = members.groupBy("digest").agg(F.min("key").alias("item"), F.first("grams").alias("grams"))
     sets = checkpoint(items.select("digest", "item", "grams", bands(F.col("grams")).alias("bands")))
