@@ -370,6 +370,18 @@ def mail_policy(spark, d):
     return evidence.mail_policy(spark.createDataFrame(rows, "domain string, record string"), "domain", "record")
 
 
+#: Text records as a name server would give them for the pages' hosts, made from the pages' numbers and the length of their addresses.
+RECORDS_SQL = """select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as domain, case page_id % 4 when 0 then 'v=spf1 include:mail.example ' || substr('-~?', cast(length(url) % 3 + 1 as int), 1) || 'all'
+when 1 then 'v=DMARC1; p=' || case length(url) % 3 when 0 then 'none' when 1 then 'quarantine' else 'reject' end || '; pct=100' when 2 then 'v=DKIM1; k=rsa; p=MIG' || page_id else 'verification=' || page_id end as record from pages"""
+
+
+@query(f"with r as ({RECORDS_SQL}) select domain, case page_id % 4 when 0 then 'spf' when 1 then 'dmarc' else 'dkim' end as kind, case page_id % 4 when 0 then right(record, 4) when 1 then split_part(split_part(record, 'p=', 2), ';', 1) else 'key' end as policy from r where page_id % 4 < 3")
+def host_mail_policies(spark, d):
+    """What the hosts' text records say of mail."""
+    read(spark, d, "pages").createOrReplaceTempView("_pages")
+    return evidence.mail_policy(spark.sql(RECORDS_SQL.replace("from pages", "from _pages")), "domain", "record")
+
+
 # Networks ----------------------------------------------------------------------------------------
 
 RANGES = [("10.0.0.0", "59.255.255.255", "AS1"), ("60.0.0.0", "60.0.255.255", "AS2"), ("61.0.0.0", "99.255.255.255", "AS3")]
