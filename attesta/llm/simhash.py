@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import checkpointed, text_or_empty, told, written
+from .common import bloom, checkpointed, maybe, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -192,10 +192,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """The rows of `docs` that stay: of each component the row of the least key, once if that row is repeated.
 
     Texts are linked by the exact similarity of their shingles (`similar`), not by fingerprints. Texts without words
-    are one component. Rows with a null key can't be named and all stay. Only keys are joined to the rows; texts are
-    shuffled only for keys that are repeated.
+    are one component. Rows with a null key can't be named and all stay. Only rows whose keys go or are repeated, and
+    a few that a Bloom filter takes for such, are shuffled; all others pass as they are read, at every size.
     """
-    best = written(similar.representatives(docs, key, text, words).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "best")
-    once = docs.join(told(best.where("_rows = 1").select(key)), key, "left_semi")
-    repeated = docs.join(told(best.where("_rows > 1").select(key)), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(key).isNull()))
+    marked = written(similar.judged(docs, key, text, words).where("rows <> 1"), "marked")
+    found = maybe(bloom(marked.select(key), key), key)
+    hit = docs.where(found)
+    others = hit.join(marked.select(key).hint("merge"), key, "left_anti")
+    repeated = hit.join(marked.where("rows > 1").select(key).hint("merge"), key, "left_semi").dropDuplicates([key])
+    return docs.where(~found).unionByName(others.select(docs.columns)).unionByName(repeated.select(docs.columns))

@@ -299,6 +299,51 @@ def test_deduplicated_links_similarity(spark, monkeypatch, often):
     assert got == set(root)
 
 
+def test_sketches_lose_nothing_and_bloom_filters_pass_their_keys(spark):
+    r = np.random.default_rng(7)
+    for n, edits in ((1, 0), (40, 5), (150, 16), (150, 30), (5000, 400)):
+        a = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate((a[edits:], r.integers(-(2**63), 2**63 - 1, edits))))
+        apart = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(similar.sketch(a).tolist(), similar.sketch(b).tolist(), strict=True))
+        assert apart <= len(np.setxor1d(a, b)) and (apart > 0) == (edits > 0)
+    assert similar.sketch(np.zeros(0, np.int64)).tolist() == [0] * similar.SKETCH
+    keys, rest = spark.range(-20_000, 40_000, 2), spark.range(-19_999, 40_000, 2)
+    bits = common.bloom(keys, "id")
+    assert keys.where(common.maybe(bits, "id")).count() == 30_000 and rest.where(common.maybe(bits, "id")).count() < 900
+    none = common.bloom(keys.limit(0), "id")
+    assert rest.where(common.maybe(none, "id")).count() == 0
+
+
+def test_long_pairs_at_the_least_similarity(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    same = words("s", 96_004)
+    at = [" ".join(same + words(x, 12_000)) for x in "ab"]  # 96,000 of 120,000 shingles
+    under = " ".join(same + words("c", 12_001))
+    assert [x.doc_id for x in simhash.deduplicated(spark.createDataFrame([(1, at[0]), (2, at[1])], DOCS)).collect()] == [1]
+    assert simhash.deduplicated(spark.createDataFrame([(1, at[0]), (3, under)], DOCS)).count() == 2
+
+
+@pytest.mark.parametrize("nodes", [4096, 3])
+def test_a_group_whose_members_are_mostly_just_too_far(spark, monkeypatch, nodes):
+    monkeypatch.setattr(similar, "NODES", nodes)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):
+        now = list(base)
+        for i in r.sample(range(150), r.choice((1, 2, 3, 4))):
+            now[i] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(now))
+    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in map(str.split, texts)]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if z in (root[i], root[j]) else z for z in root]
+    got = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == set(root) and 2 < len(got) < 60
+
+
 def test_close_fingerprints_are_not_enough(spark):
     r = random.Random(6)
     word = lambda: f"w{r.randrange(10**6)}"
