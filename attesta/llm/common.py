@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> SparkSession:
     """Bounds the rows and bytes of an Arrow batch of whole texts, unless the session already sets smaller ones."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(name, None)
         if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))

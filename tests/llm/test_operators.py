@@ -306,6 +306,17 @@ def test_sketches_lose_nothing_and_bloom_filters_pass_their_keys(spark):
         b = np.unique(np.concatenate((a[edits:], r.integers(-(2**63), 2**63 - 1, edits))))
         apart = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(similar.sketch(a).tolist(), similar.sketch(b).tolist(), strict=True))
         assert apart <= len(np.setxor1d(a, b)) and (apart > 0) == (edits > 0)
+        if n > 64 * similar.SKETCH:
+            two = similar.longer(a)
+            assert len(two) * 64 >= len(a) and (similar.sketch(a, len(two) // 2) == two[: len(two) // 2] ^ two[len(two) // 2 :]).all()
+    rows = []  # sets of fitting sizes around a power of two, and their real distance
+    for n, m, same in ((1000, 1060, 940), (1024, 1100, 1000), (1000, 1100, 500), (900, 1000, 870), (600, 500, 490), (4000, 4200, 3000)):
+        h = np.unique(r.integers(-(2**63), 2**63 - 1, n + m - same))
+        a, b = h[:n], h[n - same :]
+        rows.append((n, m, *(similar.sketch(s).tolist() for s in (a, b)), *(None if (t := similar.longer(s)) is None else t.tolist() for s in (a, b)), 5 * same >= 4 * (n + m - same)))
+    df = spark.createDataFrame(rows, "n int, m int, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>, linked boolean")
+    assert df.where(~similar.near("n", "m", "a", "b", "c", "d") & F.col("linked")).count() == 0
+    assert df.where(similar.near("n", "m", "a", "b", "c", "d")).count() == 4
     assert similar.sketch(np.zeros(0, np.int64)).tolist() == [0] * similar.SKETCH
     keys, rest = spark.range(-20_000, 40_000, 2), spark.range(-19_999, 40_000, 2)
     bits = common.bloom(keys, "id")
