@@ -395,6 +395,30 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "tok
     return docs.withColumn(ids, to_ids(text_or_empty(text)))
 
 
+def checked(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", same: str = "decodes") -> DataFrame:
+    """`encoded` with a column that says whether the ids decode to the text, null taken as empty.
+
+    Both directions run in the same worker, so a task needs one vocabulary and the decoded text never leaves it.
+    """
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(tokenizer)
+        encoder = Encoder(vocabulary)
+        for texts in batches:
+            each, alike = [], []
+            for told, parts in zip(texts, encoder.encode_all(texts), strict=True):
+                found = np.fromiter((i for pieces in parts for piece, _, _ in pieces for i in piece), np.int32)
+                each.append(found)
+                alike.append(Decoder(vocabulary).feed(found.tolist(), True) == told)
+            yield pd.DataFrame({"ids": pd.Series(each, dtype=object), "same": np.array(alike, bool)})
+
+    # Nondeterministic, so that it is called once for both columns.
+    at = "_both" + "_" * sum(map(len, docs.columns))  # no other column's name
+    found = docs.withColumn(at, both.asNondeterministic()(text_or_empty(text)))
+    return found.withColumns({ids: F.col(f"{at}.ids"), same: F.col(f"{at}.same")}).drop(at)
+
+
 def decoded(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "text") -> DataFrame:
     """`df` with the text of its token ids; null ids give null."""
 

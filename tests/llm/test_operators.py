@@ -82,6 +82,10 @@ def test_bpe_query(spark, tokenizer):
     assert got == sorted(exp, key=str)
     both = bpe.decoded(bpe.encoded(clashing(spark.createDataFrame(rows, DOCS)), tokenizer_path()), tokenizer_path(), text="back")
     assert all(r.back == (r.text or "") for r in both.collect())
+    odd = clashing(spark.createDataFrame(rows, DOCS)).withColumn("_both", F.lit("x"))
+    for r in bpe.checked(odd, tokenizer_path()).collect():
+        assert r.decodes and r["_both"] == "x" and r.token_ids == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+    assert bpe.checked(odd.limit(0), tokenizer_path()).count() == 0
     assert bpe.digests(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
 
 
