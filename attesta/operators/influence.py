@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 Checkpoint = Callable[[DataFrame], DataFrame]
 
 
+#: Rounds between two checkpoints, and stakes that may be broadcast: up to so many the sums stay in their partitions, and no round shuffles them.
+ROUNDS, TOLD = 5, 4_000_000
+
+
 def integrated(stakes: DataFrame, subjects: DataFrame | None = None, tolerance: float = 1e-12, most: int = 200, checkpoint: Checkpoint = lambda df: df.checkpoint()) -> DataFrame:
     """(entity, owner, share): direct and indirect shares of each owner in each entity, X = A + A X, over all chains of stakes (entity, owner, share).
 
@@ -19,19 +22,26 @@ def integrated(stakes: DataFrame, subjects: DataFrame | None = None, tolerance:
     `tolerance` left to carry (what is left out is at most that over the part of a round that leaves). A circle that
     keeps everything to itself, which has no solution, is an error after `most` rounds. Stakes of null, of nothing and
     of less are left out; several between the same two count together; no stakes give no rows.
+
+    A row holds both the sum so far and what the last round added, so there is one table, not one a round.
     """
     direct = checkpoint(stakes.where("entity is not null and owner is not null and share > 0").groupBy("entity", "owner").agg(F.sum("share").cast("double").alias("share")))
-    further = direct.select(F.col("entity").alias("owner"), F.col("owner").alias("_next"), F.col("share").alias("_share"))
-    now = direct if subjects is None else checkpoint(direct.join(subjects.select("entity").distinct(), "entity", "left_semi"))
-    parts = [now]
-    for _ in range(most):
-        step = now.join(further, "owner").groupBy("entity", F.col("_next").alias("owner")).agg(F.sum(F.col("share") * F.col("_share")).alias("share"))
-        now = checkpoint(step)
+    # Where a row goes in a round: what it got last to the owner's owners, its sum to where it is.
+    further = direct.select(F.col("entity").alias("owner"), F.col("owner").alias("_next"), F.col("share").alias("_share"), F.lit(0.0).alias("_stays"))
+    stays = direct.select("owner").distinct().select("owner", F.col("owner").alias("_next"), F.lit(0.0).alias("_share"), F.lit(1.0).alias("_stays"))
+    ways = checkpoint(further.unionByName(stays))
+    if direct.limit(TOLD + 1).count() <= TOLD:
+        ways = F.broadcast(ways)
+    now = direct if subjects is None else direct.join(subjects.select("entity").distinct(), "entity", "left_semi")
+    now = now.select("entity", "owner", "share", F.col("share").alias("all")).repartition("entity")
+    for done in range(0, most, ROUNDS):
+        for _ in range(min(ROUNDS, most - done)):
+            added = F.sum(F.col("share") * F.col("_share"))
+            now = now.join(ways, "owner").groupBy("entity", F.col("_next").alias("owner")).agg(added.alias("share"), (F.sum(F.col("all") * F.col("_stays")) + added).alias("all"))
+        now = checkpoint(now)
         left = now.groupBy("entity").agg(F.sum("share").alias("left")).agg(F.max("left")).first()[0]
-        if left is not None:
-            parts.append(now)
         if left is None or left <= tolerance:
-            return reduce(DataFrame.unionByName, parts).groupBy("entity", "owner").agg(F.sum("share").alias("share"))
+            return now.select("entity", "owner", F.col("all").alias("share"))
     raise ValueError(f"stakes in a circle still carry {left:g} after {most} rounds")
 
 

@@ -224,3 +224,12 @@ def test_linkage(spark):
     assert sum((out[i].probability > 0.5) == t for i, t in enumerate(true)) > 2700
     assert linkage.linked(df.limit(0), {"a": F.col("a")}).count() == 0
     assert linkage.blocked(df.withColumn("k", F.lit(None).cast("int")), df.withColumn("k", F.lit(None).cast("int")), ["k"]).count() == 0
+
+
+def test_integrated_keeps_one_table(spark):
+    """Rounds share checkpoints, and the table that each leaves holds the sums of all rounds before it."""
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, r.randrange(12), 0.2) for i in range(12) for _ in range(2)], "entity int, owner int, share double")
+    kept = []
+    got = influence.integrated(df, tolerance=1e-6, checkpoint=lambda x: kept.append(queries.checkpoint(x)) or kept[-1])
+    assert len(kept) <= 2 + 16 // influence.ROUNDS + 1 and "Union" not in got._jdf.queryExecution().toString()
