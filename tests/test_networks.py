@@ -4,6 +4,7 @@ import hashlib
 import ipaddress
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -233,3 +234,9 @@ def test_integrated_keeps_one_table(spark):
     kept = []
     got = influence.integrated(df, tolerance=1e-6, checkpoint=lambda x: kept.append(queries.checkpoint(x)) or kept[-1])
     assert len(kept) <= 2 + 16 // influence.ROUNDS + 1 and "Union" not in got._jdf.queryExecution().toString()
+
+
+def test_cross_references_shuffle_no_pairs(spark, small):
+    """Dealings come with the customers, so pairs of a block are never dealt by both their keys."""
+    plan = queries.QUERIES["cross_references"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(c_custkey#\d+L?, s_suppkey#", plan)
