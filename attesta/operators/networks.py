@@ -87,6 +87,14 @@ def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count_distinct("other").alias("neighbours"))
 
 
+def link_degrees(links: DataFrame, left: str, right: str) -> DataFrame:
+    """side (0 left, 1 right), id, n_out, n_in and neighbours of the nodes of different links from left nodes to right ones. Ids stay numbers and links are counted once for both sides."""
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).cast("bigint").alias("id")) for k, c in enumerate((left, right)))))
+    n = links.select(ends.alias("e")).groupBy("e.side", "e.id").agg(F.count(F.lit(1)).alias("neighbours"))
+    here = lambda k: F.when(F.col("side") == k, F.col("neighbours")).otherwise(F.lit(0).cast("bigint"))
+    return n.select("side", "id", here(0).alias("n_out"), here(1).alias("n_in"), "neighbours")
+
+
 def components(edges: DataFrame, a: str, b: str, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """(node, component): the least node reachable from each node of an edge. Labels spread to neighbours and jump to the label's own label, so rounds grow with the logarithm of a chain's length."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta import queries
-from attesta.operators import influence, linkage, mentions, narratives, prefixes, timelines
+from attesta.operators import influence, linkage, mentions, narratives, networks, prefixes, timelines
 from attesta.sources import custody, lists
 
 
@@ -240,3 +240,10 @@ def test_cross_references_shuffle_no_pairs(spark, small):
     """Dealings come with the customers, so pairs of a block are never dealt by both their keys."""
     plan = queries.QUERIES["cross_references"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(c_custkey#\d+L?, s_suppkey#", plan)
+
+
+def test_link_degrees(spark):
+    links = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a long, b long")
+    got = {tuple(x) for x in networks.link_degrees(links, "a", "b").collect()}
+    assert got == {(0, 1, 2, 0, 2), (0, 2, 1, 0, 1), (1, 1, 0, 2, 2), (1, 2, 0, 1, 1)}
+    assert networks.link_degrees(links.limit(0), "a", "b").count() == 0
