@@ -95,6 +95,21 @@ def link_degrees(links: DataFrame, left: str, right: str) -> DataFrame:
     return n.select("side", "id", here(0).alias("n_out"), here(1).alias("n_in"), "neighbours")
 
 
+def group_components(members: DataFrame, group: str, member: str, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(side, id, component): groups (side 0) and members (side 1) that hang together by rows (group, member); component is the least member's id.
+
+    Each group ties its members to the least of them, which leaves a graph of members alone: its different edges are
+    far fewer than the rows, and only they go round. Rows without a group or a member tie nothing.
+    """
+    rows = members.select(F.col(group).cast("bigint").alias("g"), F.col(member).cast("bigint").alias("m")).where("g is not null and m is not null")
+    least = rows.groupBy("g").agg(F.min("m").alias("low"))
+    tied = checkpoint(rows.join(least, "g").select("low", "m").distinct())
+    met = components(tied.where("low <> m"), "low", "m", checkpoint)
+    own = tied.select("m").distinct().join(met, F.col("m") == F.col("node"), "left").select("m", F.coalesce("component", "m").alias("component"))
+    groups = least.join(own.withColumnRenamed("m", "low"), "low").select(F.lit(0).alias("side"), F.col("g").alias("id"), "component")
+    return groups.unionByName(own.select(F.lit(1).alias("side"), F.col("m").alias("id"), "component"))
+
+
 def components(edges: DataFrame, a: str, b: str, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """(node, component): the least node reachable from each node of an edge. Labels spread to neighbours and jump to the label's own label, so rounds grow with the logarithm of a chain's length."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))

@@ -247,3 +247,16 @@ def test_link_degrees(spark):
     got = {tuple(x) for x in networks.link_degrees(links, "a", "b").collect()}
     assert got == {(0, 1, 2, 0, 2), (0, 2, 1, 0, 1), (1, 1, 0, 2, 2), (1, 2, 0, 1, 1)}
     assert networks.link_degrees(links.limit(0), "a", "b").count() == 0
+
+
+def test_group_components(spark):
+    r = random.Random(4)
+    tied = [(r.randrange(60), r.randrange(80)) for _ in range(70)] * 2 + [(100, 100)]
+    label = {(0, g): 1000 for g, _ in tied} | {(1, m): m for _, m in tied}
+    for _ in tied:
+        for g, m in tied:
+            label[0, g] = label[1, m] = min(label[0, g], label[1, m])
+    df = spark.createDataFrame([*tied, (None, 7), (5, None)], "g long, m long")
+    got = {(x.side, x.id): x.component for x in networks.group_components(df, "g", "m", queries.checkpoint).collect()}
+    assert got == label
+    assert networks.group_components(df.limit(0), "g", "m", queries.checkpoint).count() == 0
