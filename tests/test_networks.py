@@ -260,3 +260,13 @@ def test_group_components(spark):
     got = {(x.side, x.id): x.component for x in networks.group_components(df, "g", "m", queries.checkpoint).collect()}
     assert got == label
     assert networks.group_components(df.limit(0), "g", "m", queries.checkpoint).count() == 0
+
+
+def test_tables_are_read_with_bounded_tasks(spark, small):
+    """Batches of texts and the pieces of shuffles are bounded before a table is used."""
+    queries.read(spark, small, "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    queries.bounded(spark, f"{small}/documents.parquet")
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) == before
