@@ -160,6 +160,28 @@ def test_custody(spark, tmp_path):
     assert got == {"set": (4, 1 + 10 + 11 + 124, whole([(f"{k}.bin", k) for k in sorted(data)])), "one": (1, 124, whole([("one.bin", "e")]))}
 
 
+def test_custody_reads_ranges_of_a_file(spark, tmp_path):
+    r = random.Random(8)
+    lines = bytes(r.choice(b"abc\n\r") for _ in range(30_000))
+    data = {"a": lines, "b": lines + b"\n", "c": b"\xef\xbb\xbf" + lines, "d": b"\xef\xbb\xbf", "e": b"\n", "f": r.randbytes(30_000) + b"\n\n", "g": b"x" * 5000, "h": b"\xef\xbb\xbf\n\xff", "i j%20": b"\xef\xbb\xbf" + lines[:999]}
+    for k, v in data.items():
+        (tmp_path / f"{k}.bin").write_bytes(v)
+    (tmp_path / "z.gz").write_bytes(lines)  # not packed, for all its name
+    want = {(f"{k}.bin", i // 100, hashlib.sha256(b"\0" + v[i : i + 100]).hexdigest()) for k, v in {**data, "z": lines}.items() for i in range(0, len(v), 100)}
+    want = {(f.replace("z.bin", "z.gz"), i, x) for f, i, x in want}
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1234")
+    try:
+        found = custody.blocks(spark, str(tmp_path), 100)
+        got = [(x.file, x.i, x.digest.hex()) for x in found.collect()]
+        one = custody.blocks(spark, str(tmp_path / "a.bin"), 100)
+        assert one.count() == 300 and one.inputFiles()
+        assert "binaryFile" not in one._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_list_changes_and_rescreening(spark):
     old = [(1, "ann", None), (2, "bob", "x"), (2, "bob", "x"), (3, "cy", "y"), (None, "dee", "z"), (5, "eve", None)]
     new = [(1, "ann", None), (2, "bob", "x"), (3, "cy", "w"), (None, "dee", "z"), (5, "eve", ""), (6, "ann", None)]
