@@ -11,7 +11,7 @@ if there are more than SIGNATURES, coarser groups are taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,15 +26,37 @@ COMMON = "eaionrtlsudcmpghbyfvkwzxjq"
 GROUPS, SIGNATURES, COMPARED = (16, 8, 4, 2, 1), 50_000, 1 << 20
 #: Half a step of the rounded score, left to it when pairs are dropped by an upper bound.
 SLACK = 0.005
+#: Pairs of names to a task at most, unless the tasks would be more than PARTS; slices into which the names of one key are dealt at most.
+PAIRS, PARTS, SLICES = 2_000_000, 2_000, 16
+Checkpoint = Callable[[DataFrame], DataFrame]
 CLAUSE = "The absence of a match in the lists consulted is not a determination of absence of risk."
 
 
-def signature(name: Column, groups: int) -> Column:
-    """array<int>: the first letter's code, then the number of letters in each group and of other signs."""
-    group = "".join(chr(ord("A") + i % groups) for i in range(len(COMMON)))
-    plain = F.translate(F.lower(name), COMMON, group)
-    counts = [F.length(plain) - F.length(F.replace(plain, F.lit(g), F.lit(""))) for g in sorted(set(group))]
-    return F.array(F.ascii(F.lower(name)), *counts, F.length(plain) - sum(counts, F.lit(0)))
+def signature(name: Column) -> Column:
+    """array<int>: the first letter's code, then the number of letters in each of the most groups and of other signs.
+
+    Counted from arrays of code points: as an expression it would be so long that compiling it took most of a small job's time.
+    """
+    most = GROUPS[0]
+    group = np.full(128, most)
+    group[[ord(c) for c in COMMON]] = np.arange(len(COMMON)) % most
+
+    @F.pandas_udf("array<int>")
+    def of(lower: pd.Series) -> pd.Series:
+        codes, size = S.code_points(lower.fillna("").tolist())
+        at = np.where(np.arange(codes.shape[1]) < size[:, None], np.where(codes < 128, group[np.minimum(codes, 127)], most), -1)
+        return pd.Series(list(np.stack([codes[:, 0], *((at == g).sum(axis=1) for g in range(most + 1))], axis=1).astype(np.int32)))
+
+    return of(F.lower(name))
+
+
+def coarser(fine: Column, groups: int) -> Column:
+    """The signature with this many groups, each a sum of the most: groups are dealt in turn, and their numbers are powers of two."""
+    most = GROUPS[0]
+    if groups == most:
+        return fine
+    counts = [sum((F.get(fine, F.lit(1 + i)) for i in range(g + groups, most, groups)), F.get(fine, F.lit(1 + g))) for g in range(groups)]
+    return F.array(F.get(fine, F.lit(0)), *counts, F.get(fine, F.lit(1 + most)))
 
 
 def reachable(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -66,18 +88,35 @@ def meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return left.select("_s").distinct().mapInPandas(run, "_s array<int>, _t array<int>")
 
 
-def candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 60.0) -> DataFrame:
-    """Pairs of rows (names `a` of `left` and `b` of `right`, null and empty names left out) that may score `threshold` or more, with sdx and lev."""
-    left, right = left.where(F.length(a) > 0), right.where(F.length(b) > 0)
+def together(left: DataFrame, right: DataFrame, keys: list[str], by: str, parts: int) -> DataFrame:
+    """The join of both on equal keys, in at least so many tasks: rows of `left` are dealt by the column `by` into slices of each key, and `right` meets each.
+
+    Names are few bytes, but their pairs are many: tasks cut by the bytes they read would be a few, however many pairs they make.
+    """
+    slices = min(parts, SLICES)
+    if slices == 1:
+        return left.join(right, keys)
+    mine = left.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(slices)).cast("int")).repartition(parts, *keys, "_slice")
+    theirs = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(parts, *keys, "_slice")
+    return mine.join(theirs, [*keys, "_slice"]).drop("_slice")
+
+
+def candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 60.0, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
+    """Pairs of rows (names `a` of `left` and `b` of `right`, null and empty names left out) that may score `threshold` or more, with sdx and lev.
+
+    `checkpoint` keeps the names with their signatures, which are read several times.
+    """
     x, y = F.col(a), F.col(b)
-    coded = left.withColumn("_c", F.soundex(x)).join(right.withColumn("_d", F.soundex(y)), F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("sdx", F.lit(1.0))
-    loose = coded
+    left = checkpoint(left.where(F.length(a) > 0).withColumns({"_c": F.soundex(x), "_s": signature(x)}))
+    right = checkpoint(right.where(F.length(b) > 0).withColumns({"_c": F.soundex(y), "_t": signature(y)}))
+    parts = max(1, min(PARTS, -(-left.count() * right.count() // PAIRS)))
+    loose = together(left.drop("_s"), right.drop("_t"), ["_c"], a, parts).drop("_c").withColumn("sdx", F.lit(1.0))
     if threshold - SLACK <= 100 * (S.WEIGHTS["jaro_winkler"] + S.WEIGHTS["levenshtein"]):
-        sizes = right.agg(*(F.count_distinct(signature(y, g)).alias(str(g)) for g in GROUPS)).first()
-        groups = next((g for g in GROUPS if sizes[str(g)] <= SIGNATURES), GROUPS[-1])
-        p, q = left.withColumn("_s", signature(x, groups)), right.withColumn("_t", signature(y, groups))
-        met = p.join(meeting(p, q, threshold), "_s").join(q, "_t").drop("_s", "_t")
-        loose = coded.unionByName(met.where(F.soundex(x) != F.soundex(y)).withColumn("sdx", F.lit(0.0)))
+        few = lambda g: g == GROUPS[-1] or right.select(coarser(F.col("_t"), g)).distinct().limit(SIGNATURES + 1).count() <= SIGNATURES
+        groups = next(g for g in GROUPS if few(g))
+        p, q = left.withColumn("_s", coarser(F.col("_s"), groups)), right.withColumn("_t", coarser(F.col("_t"), groups)).withColumnRenamed("_c", "_d")
+        met = together(p.join(meeting(p, q, threshold), "_s").drop("_s"), q, ["_t"], a, parts).where("_c <> _d").drop("_t", "_c", "_d")
+        loose = loose.unionByName(met.withColumn("sdx", F.lit(0.0)))
     scored = loose.withColumn("lev", S.levenshtein_share(x, y))
     return scored.where(50 + 20 * F.col("sdx") + 30 * F.col("lev") >= threshold - SLACK)
 
@@ -92,10 +131,10 @@ def scored(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("class", S.classified(F.col("score")))
 
 
-def screened(subjects: DataFrame, entries: DataFrame, subject: str, entry: str, threshold: float = 60.0, quality: str | None = None) -> DataFrame:
+def screened(subjects: DataFrame, entries: DataFrame, subject: str, entry: str, threshold: float = 60.0, quality: str | None = None, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
     """Matches of subjects with list entries at or above the threshold; with `quality` (a column of the entries) the bonus counts."""
     most = max(S.BONUS.values()) if quality else 0.0
-    out = scored(candidates(subjects, entries, subject, entry, threshold - most), subject, entry)
+    out = scored(candidates(subjects, entries, subject, entry, threshold - most, checkpoint), subject, entry)
     if quality:
         out = out.withColumnRenamed("score", "base_score").withColumn("score", S.adjusted(F.col("base_score"), F.col(quality)))
         out = out.withColumn("class", S.classified(F.col("score")))

@@ -101,3 +101,24 @@ def test_phonetic_keys():
 def test_name_preparation(spark):
     row = spark.createDataFrame([("  Dr. José  MUÑOZ-Peña, jr ", None)], "a string, b string").select(names.normalized(F.col("a")).alias("n"), names.tokens(names.normalized(F.col("a"))).alias("t"), names.normalized(F.col("b")).alias("none"), names.needs_transliteration(F.lit("Иван")).alias("cyr"), names.needs_transliteration(F.col("a")).alias("lat")).first()
     assert row.n == "jose munoz-pena, jr" and row.t == ["jose", "munoz", "pena", "jr"] and row.none is None and row.cyr and not row.lat
+
+
+def test_candidates_deal_the_pairs_of_a_few_names(spark, monkeypatch):
+    """Pairs are dealt by their number, not by the bytes of the names, and no pair is lost or doubled."""
+    monkeypatch.setattr(screening, "PAIRS", 500)
+    n = spark.range(120).select(F.concat(F.element_at(F.array(*map(F.lit, ("large ring", "hot bolt", "blue ring"))), (F.col("id") % 3 + 1).cast("int")), F.lit(" "), F.col("id").cast("string")).alias("name"))
+    a, b = n.select(F.col("name").alias("a")), n.select(F.col("name").alias("b"))
+    found = screening.candidates(a, b, "a", "b", 60.0)
+    assert len({x.p for x in found.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 8
+    told = lambda df: sorted((x.a, x.b, x.score) for x in df.where("score >= 60").collect())
+    assert told(screening.scored(a.crossJoin(b), "a", "b")) == told(screening.scored(found, "a", "b"))
+
+
+def test_signatures_are_counts_of_letters(spark):
+    words = ["", "Maria", "o'neil 9", "MÜLLER", "\U0001f600x", "zz"]
+    rows = spark.createDataFrame([(w,) for w in words], "name string").select("name", screening.signature(F.col("name")).alias("s"))
+    for g in screening.GROUPS:
+        for x in rows.select("name", screening.coarser(F.col("s"), g).alias("s")).collect():
+            w = x.name.lower()
+            counts = [sum(c in screening.COMMON and screening.COMMON.index(c) % g == k for c in w) for k in range(g)]
+            assert x.s == [ord(w[0]) if w else 0, *counts, len(w) - sum(counts)]
