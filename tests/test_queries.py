@@ -131,3 +131,9 @@ def test_error_stream(spark, tmp_path):
     stream = errors.first_errors(spark.readStream.schema(df.schema).parquet(src))
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination(60)
     assert sorted(r.message for r in spark.read.parquet(out).collect()) == ["m", "n"]
+
+
+def test_tasks_that_read_are_bounded(spark, small):
+    """What a task sums before a shuffle grows with what it reads."""
+    queries.read(spark, small, "lineitem")
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) <= 16 << 20
