@@ -55,16 +55,32 @@ def pagerank(edges: DataFrame, src: str, dst: str, weight: str | None = None, da
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("w")).where("src is not null and dst is not null and w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("all"))
     e = checkpoint(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("part")))
-    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("out")))
-    nodes = checkpoint(ends.groupBy("node").agg((F.max("out") == 0).alias("dangling")))
-    n = nodes.count()
-    now, loose = nodes.select("node", "dangling", F.lit(1.0 / n if n else 0.0).alias("rank")), nodes.where("dangling").count() / n if n else 0.0
-    for _ in range(rounds if n else 0):
-        given = now.join(e.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("given"))
+    # For each node, whether edges leave it and whether they reach it.
+    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = checkpoint(ends.groupBy("node").agg((F.max("out") == 0).alias("dangling"), (F.max("in") == 0).alias("first")))
+    n, firsts, dangling = nodes.agg(F.count(F.lit(1)), F.count_if("first"), F.count_if("dangling")).first()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    # Nodes that no edge reaches all have the same rank in every round, so what they give is one sum a node, and no round shuffles their edges.
+    first = nodes.where("first").select(F.col("node").alias("src"))
+    fixed = e.join(first, "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("fixed"))
+    now = checkpoint(nodes.where("not first").join(fixed, "node", "left").select("node", "dangling", F.coalesce("fixed", F.lit(0.0)).alias("fixed"), F.lit(1.0 / n).alias("rank")))
+    inner = checkpoint(e.join(first, "src", "left_anti").select(F.col("src").alias("node"), "dst", "part"))
+    several = not inner.isEmpty()
+    theirs, loose = 1.0 / n, dangling / n
+    for _ in range(rounds):
         base = (1 - damping + damping * loose) / n
-        new = checkpoint(now.withColumnRenamed("rank", "_old").join(given, "node", "left").withColumn("rank", F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).select("node", "dangling", "rank", "_old"))
-        loose, moved = new.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)), F.sum(F.abs(F.col("rank") - F.col("_old")))).first()
-        now = new.drop("_old")
+        old = now.withColumnRenamed("rank", "_old")
+        if several:
+            given = now.join(inner, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("given"))
+            old = old.join(given, "node", "left")
+        else:
+            old = old.withColumn("given", F.lit(0.0))
+        rank = F.lit(base) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(theirs) * F.col("fixed"))
+        new = checkpoint(old.withColumn("rank", rank).select("node", "dangling", "fixed", "rank", "_old"))
+        loose, moved = new.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)), F.lit(0.0)), F.coalesce(F.sum(F.abs(F.col("rank") - F.col("_old"))), F.lit(0.0))).first()
+        moved += firsts * abs(base - theirs)
+        now, theirs = new.drop("_old"), base
         if moved <= tolerance:
             break
-    return now.select("node", "rank")
+    return now.select("node", "rank").unionByName(first.select(F.col("src").alias("node"), F.lit(theirs).alias("rank")))

@@ -292,3 +292,27 @@ def test_tables_are_read_with_bounded_tasks(spark, small):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
     queries.bounded(spark, f"{small}/documents.parquet")
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) == before
+
+
+def test_pagerank_carries_no_edges_of_nodes_that_none_reaches(spark):
+    """What such nodes give is summed once: rounds keep the other nodes only."""
+    rows = [(f"c{i}", f"s{i % 3}", 1.0 + i % 4) for i in range(40)] + [("s0", "s1", 2.0)]
+    kept = []
+
+    def checkpoint(df):
+        out = df.localCheckpoint()
+        kept.append((set(out.columns), out.count()))
+        return out
+
+    got = {x.node: x.rank for x in influence.pagerank(spark.createDataFrame(rows, "a string, b string, w double"), "a", "b", "w", rounds=20, checkpoint=checkpoint).collect()}
+    nodes = sorted({x for r in rows for x in r[:2]})
+    out = {n: sum(w for a, _, w in rows if a == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        loose = sum(rank[n] for n in nodes if not out[n])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * loose) / len(nodes))
+        for a, b, w in rows:
+            new[b] += 0.85 * rank[a] * w / out[a]
+        rank = new
+    assert got == pytest.approx(rank, abs=1e-12)
+    assert {n for columns, n in kept if "rank" in columns} == {3}
