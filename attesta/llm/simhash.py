@@ -191,11 +191,11 @@ def report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """The rows of `docs` that stay: of each component the row of the least key, once if that row is repeated.
 
-    Texts are linked by the exact similarity of their shingles (`similar`), not by fingerprints. Texts without words
+    Texts of linked fingerprints are compared first, then all others that may be similar enough; what links them is the exact similarity of their shingles (`similar`). Texts without words
     are one component. Rows with a null key can't be named and all stay. Only rows whose keys go or are repeated, and
     a few that a Bloom filter takes for such, are shuffled; all others pass as they are read, at every size.
     """
-    marked = written(similar.judged(docs, key, text, words).where("rows <> 1"), "marked")
+    marked = written(similar.judged(docs, fingerprint, edges, key, text, words).where("rows <> 1"), "marked")
     found = maybe(bloom(marked.select(key), key), key)
     hit = docs.where(found)
     others = hit.join(marked.select(key).hint("merge"), key, "left_anti")

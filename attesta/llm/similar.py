@@ -10,16 +10,16 @@ for larger sets also in about as many buckets as hashes. Bits in which sketches
 differ in a ninth of their sizes' sum at most. So pairs beyond that are left out without loss, and whole texts are
 read again only for pairs that are left. These are confirmed on all 64-bit hashes.
 
-A group of many copies is not compared pair by pair. First each node is compared with one node of each of its
-shingles, and what is linked becomes a component. Then only pairs of different components are compared: twice again with
-one node of each shingle, which another choice may link, and at last all that remain, by their sketches within the join.
+A group of many copies is not compared pair by pair. First nodes whose fingerprints are linked (operator 5) are compared,
+and what is confirmed becomes a component. Then only pairs of different components are compared: each node with one node
+of each of its shingles, three times with another choice, and at last all that remain, by their sketches within the join.
 No pair of 0.8 or more ends in two components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ LEAST = (4, 5)
 #: One text in so many is read for the frequent shingles; a shingle is frequent from so many of these on; so many are kept.
 SAMPLED, FREQUENT, KEPT = 16, 8, 200_000
 #: Rounds in which each node is compared with another choice of one node for each of its shingles, before all remaining pairs are.
-ROUNDS = 2
+ROUNDS = 3
 #: 64-bit words of a sketch (longer ones by powers of two); nodes of a shingle whose pairs one task compares.
 SKETCH, NODES = 16, 4096
 
@@ -103,16 +103,16 @@ def after(n: str) -> Column:
     return F.ceil(F.col(n) * over / under) - 1
 
 
-def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """`key`, `node`, `n`, `prefix`, `sketch` and `longer` of every row."""
+def signed(docs: DataFrame, key: str, text: str, words: int, fingerprint: Callable[[str, int], int]) -> DataFrame:
+    """`key`, `node`, `fp`, `n`, `prefix`, `sketch` and `longer` of every row."""
     top = frequent(docs, key, text, words)
     known = docs.sparkSession.sparkContext.broadcast((top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
-    @F.pandas_udf("node bigint, n int, prefix array<bigint>, sketch array<bigint>, longer array<bigint>")
+    @F.pandas_udf("node bigint, fp bigint, n int, prefix array<bigint>, sketch array<bigint>, longer array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = [shingles(t, words) for t in batch]
-            yield pd.DataFrame({"node": np.array([named(s) for s in each], np.int64), "n": np.array([len(s) for s in each], np.int32), "prefix": pd.Series([prefix(s, *known.value) for s in each], dtype=object), "sketch": pd.Series([sketch(s) for s in each], dtype=object), "longer": pd.Series([longer(s) for s in each], dtype=object)})
+            yield pd.DataFrame({"node": np.array([named(s) for s in each], np.int64), "fp": np.array([fingerprint(t, words) for t in batch], np.int64), "n": np.array([len(s) for s in each], np.int32), "prefix": pd.Series([prefix(s, *known.value) for s in each], dtype=object), "sketch": pd.Series([sketch(s) for s in each], dtype=object), "longer": pd.Series([longer(s) for s in each], dtype=object)})
 
     return docs.select(F.col(key), of.asNondeterministic()(text_or_empty(text)).alias("s")).select(key, "s.*")
 
@@ -163,13 +163,23 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def close(own: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(x, y): pairs of nodes by their fingerprints: each node with the least one of its fingerprint, and the least ones of linked fingerprints."""
+    marks = own.select("node", "fp").distinct()
+    least = marks.groupBy("fp").agg(F.min("node").alias("x"))
+    same = marks.join(least, "fp").where("node <> x").select("x", F.col("node").alias("y"))
+    of = lambda fp, node: least.select(F.col("fp").alias(fp), F.col("x").alias(node))
+    met = edges(least.select("fp")).withColumnsRenamed({"x": "_f", "y": "_g"}).join(of("_f", "x"), "_f").join(of("_g", "y"), "_g")
+    return same.unionByName(met.select("x", "y"))
+
+
+def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root): the nodes that have links, with the least node of their component."""
     each = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.explode("prefix").alias("shingle"))
     slim = written(own.groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("longer").alias("longer")), "sketches")
     # Summed and joined back instead of a window: a shingle that very many sets have is then no single task.
-    several = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("x"), F.min_by("n", "node").alias("m")).where("rows > 1")
-    met = written(each.join(several.drop("rows"), "shingle"), "met")
+    several = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met = written(each.join(several.select("shingle"), "shingle"), "met")
 
     def sketched(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose sketches are close enough."""
@@ -190,9 +200,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int) ->
             deleted(done)
         return links
 
-    links = check(sketched(ordered(met.where((F.col("node") != F.col("x")) & fitting("n", "m")).select("x", F.col("node").alias("y")))))
-
-    passed: list[DataFrame] = []
+    links = check(sketched(ordered(close(own, edges))))
 
     def crossing(k: int) -> DataFrame:
         """Rows of `met` with their components, of shingles that lie in several."""
@@ -201,14 +209,16 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int) ->
         other = F.xxhash64("node", "shingle", F.lit(k))  # another choice for each shingle
         centre = [F.min_by(c, other).alias(n) for c, n in (("node", "x"), ("n", "m"), ("root", "r"))]
         several = now.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), *centre).where("low <> high").drop("low", "high")
-        passed.append(written(now.join(several, "shingle"), "crossing"))
-        return passed[-1]
+        return written(now.join(several, "shingle"), "crossing")
 
     for k in range(ROUNDS):
-        tried = crossing(k).where((F.col("root") != F.col("r")) & fitting("n", "m")).select("x", F.col("node").alias("y"))
+        passed = crossing(k)
+        tried = passed.where((F.col("root") != F.col("r")) & fitting("n", "m")).select("x", F.col("node").alias("y"))
         links = checkpointed(links.unionByName(check(sketched(ordered(tried)))))
+        deleted(passed)
     # Pairs of a shingle are compared in parts: each of its nodes in one part, with copies of all in every part.
-    now = crossing(ROUNDS).withColumn("parts", F.ceil(F.col("rows") / NODES)).join(slim.select("node", "sketch", "longer"), "node")
+    passed = crossing(ROUNDS)
+    now = passed.withColumn("parts", F.ceil(F.col("rows") / NODES)).join(slim.select("node", "sketch", "longer"), "node")
     one = now.select("shingle", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), "n", "root", F.col("sketch").alias("_a"), F.col("longer").alias("_c"))
     other = now.select("shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("_b"), F.col("longer").alias("_d"))
     over, under = LEAST
@@ -217,21 +227,24 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int) ->
     enough = (over + under) * (F.col("shared") + F.greatest(after("n"), after("m"))) >= over * (F.col("n") + F.col("m"))
     links = links.unionByName(check(rest.where(enough).select("x", "y")))
     roots = components(links, "x", "y").withColumnRenamed("x", "node")
-    for done in (met, slim, *passed):
+    for done in (met, slim, passed):
         deleted(done)
     return roots
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def judged(docs: DataFrame, fingerprint: Callable[[str, int], int], edges: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """`key` and `rows`, how many of its rows are the least key of their component (1 for most keys), once for every key.
 
+    `fingerprint` of a text and `edges` (x, y) of a column `fp` of fingerprints say which texts are compared first.
     Rows without a key don't take part. Null, empty and blank texts are one component. Repeated rows count each.
     """
     small_batches(docs.sparkSession, 250, 4 << 20)
+    # A round's shuffles go when its result is written, not when the driver happens to collect garbage.
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     docs = docs.where(F.col(key).isNotNull()).select(key, text)
-    own = written(signed(docs, key, text, words), "shingles")
+    own = written(signed(docs, key, text, words, fingerprint), "shingles")
     least = own.groupBy("node").agg(F.min(key).alias("least"))
-    labelled = least.join(linked(own, docs, key, text, words), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = least.join(linked(own, docs, key, text, words, edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = labelled.join(ids, "root").select("node", "component_id")
     best = (F.col(key) == F.col("component_id")).cast("long")

@@ -77,3 +77,26 @@ def test_clashing_columns_and_empty_tables_pass_every_stage(spark, folder):
             assert now.columns == docs.columns
             assert now.where(" or ".join(f"{c} <> 'x'" for c in odd)).count() == 0
         assert stage(spark, now, folder).columns == docs.columns
+
+
+def test_linked_fingerprints_are_compared_first(spark, monkeypatch):
+    """Near copies come by operator 5's fingerprints, and pairs that those lose by the exact join."""
+    from attesta.llm import similar, simhash
+
+    firsts, seen = [], similar.close
+
+    def close(own, edges):
+        found = seen(own, edges)
+        firsts.extend((x.x, x.y) for x in found.collect())
+        return found
+
+    monkeypatch.setattr(similar, "close", close)
+    r = random.Random(9)
+    said = [r.choice("abcdefghij") + str(r.randrange(500)) for _ in range(900)]
+    rows = [(1, " ".join(said)), (2, " ".join([*said, "end"])), (3, " ".join([*said[:800], *(str(i) for i in range(60))])), (4, " ".join(reversed(said)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    node = {i: similar.named(similar.shingles(t, 5)) for i, t in rows}
+    apart = lambda a, b: ((simhash.fingerprint(rows[a - 1][1], 5) ^ simhash.fingerprint(rows[b - 1][1], 5)) & (1 << 64) - 1).bit_count()
+    assert apart(1, 2) <= 2 < apart(1, 3)
+    assert sorted(x.doc_id for x in simhash.deduplicated(docs).collect()) == [1, 4]
+    assert {node[1], node[2]} in [set(p) for p in firsts] and {node[1], node[3]} not in [set(p) for p in firsts]
