@@ -12,7 +12,8 @@ read again only for pairs that are left. These are confirmed on all 64-bit hashe
 
 A group of many copies is not compared pair by pair. First nodes whose fingerprints are linked (operator 5) are compared,
 and what is confirmed becomes a component. Then only pairs of different components are compared: each node with one node
-of each of its shingles, three times with another choice, and at last all that remain, by their sketches within the join.
+of each of its shingles, up to three times with another choice, while that leaves pairs enough to be worth a round, and
+at last all that remain, by their sketches within the join.
 No pair of 0.8 or more ends in two components.
 """
 
@@ -35,8 +36,9 @@ SEED = 42
 LEAST = (4, 5)
 #: One text in so many is read for the frequent shingles; a shingle is frequent from so many of these on; so many are kept.
 SAMPLED, FREQUENT, KEPT = 16, 8, 200_000
-#: Rounds in which each node is compared with another choice of one node for each of its shingles, before all remaining pairs are.
-ROUNDS = 3
+#: Rounds, at most, in which each node is compared with another choice of one node for each of its shingles, before all remaining pairs are.
+#: A round that has fewer than one pair to so many rows left is not worth its jobs: all remaining pairs are compared at once.
+ROUNDS, WORTH = 3, 100
 #: 64-bit words of a sketch (longer ones by powers of two); nodes of a shingle whose pairs one task compares.
 SKETCH, NODES = 16, 4096
 
@@ -188,8 +190,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
         return pairs.join(one, "x").join(other, "y").where(near("_n", "_m", "_a", "_b", "_c", "_d")).select("x", "y")
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are links. Their texts are read again."""
-        pairs = written(pairs, "pairs")
+        """The (written) pairs (x, y) that are links. Their texts are read again."""
         wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(slim.select("node", "least"), "node"), "wanted")
         # Written, so that a task runs one Python worker: first for the filter, then for the sets.
         texts = written(docs.where(maybe(bloom(wanted, "least"), key)).select(text), "texts")
@@ -200,7 +201,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
             deleted(done)
         return links
 
-    links = check(sketched(ordered(close(own, edges))))
+    links = check(written(sketched(ordered(close(own, edges))), "pairs"))
 
     def crossing(k: int) -> DataFrame:
         """Rows of `met` with their components, of shingles that lie in several."""
@@ -211,13 +212,18 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
         several = now.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), *centre).where("low <> high").drop("low", "high")
         return written(now.join(several, "shingle"), "crossing")
 
-    for k in range(ROUNDS):
+    for k in range(ROUNDS + 1):
         passed = crossing(k)
+        if k == ROUNDS:
+            break
         tried = passed.where((F.col("root") != F.col("r")) & fitting("n", "m")).select("x", F.col("node").alias("y"))
-        links = checkpointed(links.unionByName(check(sketched(ordered(tried)))))
+        tried = written(sketched(ordered(tried)), "pairs")
+        if tried.count() * WORTH < passed.count():
+            deleted(tried)
+            break
+        links = checkpointed(links.unionByName(check(tried)))
         deleted(passed)
     # Pairs of a shingle are compared in parts: each of its nodes in one part, with copies of all in every part.
-    passed = crossing(ROUNDS)
     now = passed.withColumn("parts", F.ceil(F.col("rows") / NODES)).join(slim.select("node", "sketch", "longer"), "node")
     one = now.select("shingle", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), "n", "root", F.col("sketch").alias("_a"), F.col("longer").alias("_c"))
     other = now.select("shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("_b"), F.col("longer").alias("_d"))
@@ -225,7 +231,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
     rest = one.join(other, ["shingle", "part"]).where((F.col("x") > F.col("y")) & (F.col("root") != F.col("other")) & fitting("n", "m") & near("n", "m", "_a", "_b", "_c", "_d"))
     rest = rest.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
     enough = (over + under) * (F.col("shared") + F.greatest(after("n"), after("m"))) >= over * (F.col("n") + F.col("m"))
-    links = links.unionByName(check(rest.where(enough).select("x", "y")))
+    links = links.unionByName(check(written(rest.where(enough).select("x", "y"), "pairs")))
     roots = components(links, "x", "y").withColumnRenamed("x", "node")
     for done in (met, slim, passed):
         deleted(done)

@@ -582,3 +582,30 @@ def test_decontamination_of_long_texts():
     assert len(text) > decontamination.SHARD
     (n, spans, items), (m, none, _) = decontamination.scan([text.encode(), b""], block)
     assert (n, m, items, none) == (241_020, 0, {"7"}, []) and [s[:2] for s in spans] == [(240_000, 240_020)]
+
+
+def test_many_partitions_cost_near_copies_few_tasks(spark):
+    """Where partitions are many and rows few, tasks are what components and Bloom filters cost."""
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(i, i + 2) for i in range(0, 20, 2)], "x long, y long").cache()
+    keys = pairs.select("x")
+
+    def run(group, work):
+        sc.setJobGroup(group, group)
+        found = work()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+        return found, jobs, sum(info.numCompletedTasks for s in {s for j in jobs for s in j.stageIds} if (info := sc.statusTracker().getStageInfo(s)))
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        roots, _, tasks = run("components", lambda: components.components(pairs, "x", "y").collect())
+        bits, jobs, _ = run("bloom", lambda: common.bloom(keys, "x"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.x: r.root for r in roots} == {i: 0 if i < 22 else i // 2 * 2 for i in range(41) if i < 40}
+    assert keys.where(common.maybe(bits, "x")).count() == keys.count()
+    assert len(jobs) < 20 and tasks < 2300, (len(jobs), tasks)
