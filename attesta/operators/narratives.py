@@ -76,8 +76,11 @@ def clusters(df: DataFrame, key: str, text: str, least: float = 0.7, size: int =
     """
     once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a row each, so that no later use of the column computes it again
     told = df.select(F.col(key).alias("key"), once(tokens(F.col(text)), "words")).select("key", once(shingles(F.col("words"), size), "grams")).where(F.size("grams") > 0)
-    members = checkpoint(told.select("key", F.md5(F.array_join("grams", ",")).alias("digest"), "grams").groupBy("digest", "key").agg(F.first("grams").alias("grams")))
-    items = members.groupBy("digest").agg(F.min("key").alias("item"), F.first("grams").alias("grams"))
+    # A name of 128 bits without making a string of the set. Sets are shuffled once, by their names; keys without them.
+    name = F.concat_ws(":", F.xxhash64("grams"), F.xxhash64(F.lit(1), "grams")).alias("digest")
+    told = checkpoint(told.select("key", name, "grams"))
+    members = told.select("key", "digest").distinct()
+    items = told.groupBy("digest").agg(F.min("key").alias("item"), F.first("grams").alias("grams"))
     sets = checkpoint(items.select("digest", "item", "grams", bands(F.col("grams")).alias("bands")))
     placed = sets.select("item", F.size("grams").alias("n"), F.posexplode("bands").alias("band", "value"))
     full = placed.groupBy("band", "value").agg(F.min_by(F.struct("item", "n"), "item").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")

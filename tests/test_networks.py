@@ -316,3 +316,18 @@ def test_pagerank_carries_no_edges_of_nodes_that_none_reaches(spark):
         rank = new
     assert got == pytest.approx(rank, abs=1e-12)
     assert {n for columns, n in kept if "rank" in columns} == {3}
+
+
+def test_near_narratives_shuffle_no_set_before_it_is_kept(spark):
+    """The first checkpoint holds the sets as they are read; keys that are repeated or told alike are still one item."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [("a", text), ("b", text), ("b", text), ("c", text + " more"), ("d", None), ("e", "other words entirely here")]
+    found = narratives.clusters(spark.createDataFrame(rows, "key string, text string"), "key", "text", checkpoint=kept)
+    assert sorted(map(tuple, found.collect())) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3)]
+    assert "Exchange" not in plans[0]
