@@ -93,14 +93,17 @@ def anchors(fp: Column, parts: int) -> Column:
 
 
 def edges(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(x, y): pairs of different fingerprints of the column `fp` (distinct) that differ in `threshold` (5 at most) bits or fewer."""
+    """(x, y): pairs of different fingerprints of the column `fp` (distinct) that differ in `threshold` (5 at most) bits or fewer.
+
+    Both sides are merged: Spark sizes what comes after an explode as if each row gave one, 32 or more times too low, and would broadcast it.
+    """
     if not 0 < threshold <= 5:
         raise ValueError("the codes cover fingerprints that differ in 1 to 5 bits")
     each = fps.select("fp", F.explode(anchors(F.col("fp"), 2 if threshold <= 3 else 3)).alias("a"))
     home = each.select("a.part", F.col("a.home").alias("anchor"), F.col("fp").alias("x"))
     near = each.select("a.part", F.explode("a.near").alias("anchor"), F.col("fp").alias("y"))
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold
-    return home.join(near, ["part", "anchor"]).where((F.col("x") != F.col("y")) & close).select("x", "y")
+    return home.join(near.hint("merge"), ["part", "anchor"]).where((F.col("x") != F.col("y")) & close).select("x", "y")
 
 
 def tied(homes: np.ndarray, near: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +153,7 @@ def ties(fps: DataFrame, threshold: int = LOOSE) -> DataFrame:
     home = dealt.where("home = anchor").groupBy("part", "anchor", salt("m").alias("chunk")).agg(F.collect_list("fp").alias("homes"))
     near = dealt.groupBy("part", "anchor", "m", salt("n").alias("other")).agg(F.collect_list("fp").alias("near"))
     near = near.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
-    met = home.join(near, ["part", "anchor", "chunk"]).select("homes", "near")
+    met = home.join(near.hint("merge"), ["part", "anchor", "chunk"]).select("homes", "near")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

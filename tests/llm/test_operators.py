@@ -256,6 +256,14 @@ def test_ties_connect_what_links_connect(spark, monkeypatch, size):
     assert simhash.ties(fps.limit(0)).count() == 0
 
 
+def test_fingerprints_and_their_replicas_are_not_broadcast(spark):
+    """Spark sizes them before the explode: a few thousand fingerprints look small."""
+    fps = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    for made, told in ((simhash.edges(fps, 2), 0), (simhash.edges(fps, 5), 0), (simhash.ties(fps, 5), 2)):  # ties broadcast the sizes of anchors for both sides; their number is bounded
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == told
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 10), (7, 8), (8, 7), (20, 21), (22, 21), (22, 23), (24, 23), (30, 30)]
     got = {r.x: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
