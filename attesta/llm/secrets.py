@@ -112,7 +112,7 @@ def links(some: DataFrame, reach: int = REACH) -> DataFrame:
     """_key and `_linked`, the weak spans that have a complementary part within reach, for each text that has any.
 
     Each span comes with `to`, the parts it is linked to. Equal texts are linked once. The join meets parts of one
-    text in one bucket of positions.
+    text in one bucket of positions, merged, as Spark sizes buckets as if each part had one.
     """
     role = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(k.role))))
     needs = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(COMPLEMENT[k.role]))))
@@ -126,7 +126,7 @@ def links(some: DataFrame, reach: int = REACH) -> DataFrame:
     part = part.select(F.col("_key").alias("_text"), F.struct("p.start", "p.kind", "p.end").alias("p"), buckets(F.col("p.start"), F.col("p.end")).alias("_at"))
     near = (F.col("p.start") < F.col("w.end") + reach) & (F.col("p.end") > F.col("w.start") - reach)
     fits = (needs[F.col("w.kind")] == role[F.col("p.kind")]) & ((role[F.col("w.kind")] != "endpoint") | F.col("p.kind").isin(strong))
-    met = weak.join(part, (F.col("_key") == F.col("_text")) & (F.col("_bucket") == F.col("_at")) & near & fits)
+    met = weak.join(part.hint("merge"), (F.col("_key") == F.col("_text")) & (F.col("_bucket") == F.col("_at")) & near & fits)
     each = met.groupBy("_key", "w").agg(F.array_sort(F.collect_set("p")).alias("to"))
     return each.groupBy("_key").agg(F.collect_list(F.struct("w.start", "w.kind", "w.end", "w.first", "w.last", "to")).cast(LINKED).alias("_linked"))
 

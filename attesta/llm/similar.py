@@ -153,12 +153,12 @@ def whole_sets(texts: DataFrame, nodes: DataFrame, text: str, words: int) -> Dat
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) of nodes whose sets are similar enough."""
+    """The pairs (x, y) of nodes whose sets are similar enough. Sets, like sketches below, are merged: files of near copies are a small part of what they hold, and Spark would broadcast them by the files' size."""
     one = sets.select(F.col("node").alias("x"), F.col("n").alias("_n"), F.col("set").alias("_a"))
     other = sets.select(F.col("node").alias("y"), F.col("n").alias("_m"), F.col("set").alias("_b"))
     over, under = LEAST
     alike = (over + under) * F.size(F.array_intersect("_a", "_b")) >= over * (F.col("_n") + F.col("_m"))
-    return checkpointed(pairs.join(one, "x").join(other, "y").where(alike).select("x", "y"))
+    return checkpointed(pairs.join(one.hint("merge"), "x").join(other.hint("merge"), "y").where(alike).select("x", "y"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
         """The pairs (x, y) whose sketches are close enough."""
         one = slim.select(F.col("node").alias("x"), F.col("n").alias("_n"), F.col("sketch").alias("_a"), F.col("longer").alias("_c"))
         other = slim.select(F.col("node").alias("y"), F.col("n").alias("_m"), F.col("sketch").alias("_b"), F.col("longer").alias("_d"))
-        return pairs.join(one, "x").join(other, "y").where(near("_n", "_m", "_a", "_b", "_c", "_d")).select("x", "y")
+        return pairs.join(one.hint("merge"), "x").join(other.hint("merge"), "y").where(near("_n", "_m", "_a", "_b", "_c", "_d")).select("x", "y")
 
     def check(pairs: DataFrame) -> DataFrame:
         """The (written) pairs (x, y) that are links. Their texts are read again."""
@@ -224,7 +224,7 @@ def linked(own: DataFrame, docs: DataFrame, key: str, text: str, words: int, edg
         links = checkpointed(links.unionByName(check(tried)))
         deleted(passed)
     # Pairs of a shingle are compared in parts: each of its nodes in one part, with copies of all in every part.
-    now = passed.withColumn("parts", F.ceil(F.col("rows") / NODES)).join(slim.select("node", "sketch", "longer"), "node")
+    now = passed.withColumn("parts", F.ceil(F.col("rows") / NODES)).join(slim.select("node", "sketch", "longer").hint("merge"), "node")
     one = now.select("shingle", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), "n", "root", F.col("sketch").alias("_a"), F.col("longer").alias("_c"))
     other = now.select("shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("_b"), F.col("longer").alias("_d"))
     over, under = LEAST

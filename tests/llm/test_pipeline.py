@@ -100,3 +100,16 @@ def test_linked_fingerprints_are_compared_first(spark, monkeypatch):
     assert apart(1, 2) <= 2 < apart(1, 3)
     assert sorted(x.doc_id for x in simhash.deduplicated(docs).collect()) == [1, 4]
     assert {node[1], node[2]} in [set(p) for p in firsts] and {node[1], node[3]} not in [set(p) for p in firsts]
+
+
+def test_sets_of_near_copies_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Spark sizes them by their files, and files of near copies are a small part of what they hold."""
+    from attesta.llm import similar
+
+    monkeypatch.setattr(similar, "checkpointed", lambda df: df)
+    spark.range(3000).selectExpr("id as node", "2000 as n", "sequence(0L, 1999L) as set").coalesce(1).write.parquet(str(tmp_path / "sets"))
+    spark.range(1, 3000).selectExpr("id as x", "0L as y").write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "sets").iterdir()) < 10 << 20 < 3000 * 2000 * 8
+    links = similar.confirmed(spark.read.parquet(str(tmp_path / "pairs")), spark.read.parquet(str(tmp_path / "sets")))
+    assert "BroadcastExchange" not in links._jdf.queryExecution().executedPlan().toString()
+    assert links.count() == 2999
