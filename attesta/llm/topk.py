@@ -5,9 +5,10 @@ shards of bounded size, each with its ball tree. So a shard's ball is narrow whe
 be skipped. Queries are packed into blocks by the same cells. In a pair of block and shard the tree is walked for all
 queries of the block at once, nodes with the larger upper bounds on the inner product first, and a query leaves a
 branch whose bound is below its current kth score. That score is shared: it starts from a bounded sample of all
-vectors, a first round searches the shards of the block's own cell, the second round begins with what the first one
-found, and it is carried from pair to pair inside a task. In the second round blocks go to all slots and meet the
-shards of a slot by an equi-join. The pairs' results, k rows a query at most, are ranked per query.
+vectors, a first round searches a shard of the block's own cell, the second round begins with what the first one
+found, and it is carried from shard to shard of a slot. In the second round blocks go to all slots. Shards of a slot
+come first in its rows and are held, a bounded number of vectors, while its blocks stream past: no pair of block and
+shard is a row, nothing is broadcast but samples. A slot's results, k rows a query at most, are ranked per query.
 
 Components are whole numbers held as floating point. Products are summed as such where they are exact (below 2^52 by
 the norms), else as Python's integers.
@@ -31,8 +32,8 @@ from .common import written
 
 #: Vectors in a shard, in a leaf, and in a block of queries; vectors in the sample that gives directions and the first kth scores; directions.
 SHARD, LEAF, BLOCK, SAMPLE, DIRECTIONS = 4_096, 128, 1_024, 2_048, 256
-#: Shards of a slot, and the inner product (by the norms) below which floating point is exact.
-SLOT, EXACT = 4, float(1 << 52)
+#: Shards of a slot at most (of vectors of WIDTH components), slots up to which a slot has one, and the inner product (by the norms) below which floating point is exact.
+SLOT, WIDTH, SLOTS, EXACT = 16, 64, 24, float(1 << 52)
 NONE = np.iinfo(np.int64).min
 
 
@@ -190,32 +191,32 @@ def celled(rows: DataFrame, told: Broadcast, size: int) -> DataFrame:
     placed = written(rows.select("id", "v", F.size("v").alias("dim"), cell("v").alias("cell")), "cells")
     # One row for each direction, power of two and length of vectors.
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
-    return placed.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", F.pmod(F.xxhash64("id", "v"), "chunks").alias("chunk"))
+    return placed.join(F.broadcast(sizes), ["dim", "cell"]).select("id", "v", "dim", "cell", F.pmod(F.xxhash64("id", "v"), "chunks").alias("chunk"))
 
 
 def packed(rows: DataFrame, size: int, tree: bool) -> DataFrame:
-    """One row (dim, cell, n, data) for each chunk of vectors of one cell; larger chunks are cut."""
+    """One row (dim, cell, chunk, part, n, data) for each chunk of vectors of one cell; larger chunks are cut into parts."""
 
     def run(batches):
-        held, now = [], None
+        held, now, part = [], None, 0
 
         def pack():
             ids, vectors = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], float).reshape(len(held), now[0])
             data = pickle.dumps(Shard.of(ids, vectors) if tree else (ids, vectors), protocol=5)
-            return pd.DataFrame({"dim": [now[0]], "cell": [now[1]], "n": [len(held)], "data": [data]})
+            return pd.DataFrame({"dim": [now[0]], "cell": [now[1]], "chunk": [now[2]], "part": [part], "n": [len(held)], "data": [data]})
 
         for batch in batches:
             for i, v, *place in zip(*(batch[c] for c in ("id", "v", "dim", "cell", "chunk")), strict=True):
                 if held and (place != now or len(held) >= 2 * size):
                     yield pack()
-                    held = []
+                    held, part = [], part + 1 if place == now else 0
                 now = place
                 held.append((i, v))
         if held:
             yield pack()
 
     dealt = rows.repartition("dim", "cell", "chunk").sortWithinPartitions("dim", "cell", "chunk")
-    return dealt.mapInPandas(run, "dim int, cell int, n bigint, data binary")
+    return dealt.mapInPandas(run, "dim int, cell int, chunk bigint, part bigint, n bigint, data binary")
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -243,44 +244,57 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     theirs, v = seeds.value[dim]
                     best.add(np.arange(len(ids)), products(mine, v), ids[:, None] != theirs[None, :], theirs)
                 out.append(pickle.dumps((ids, mine, best.floor), protocol=5))
-            yield pd.DataFrame({"dim": batch["dim"], "cell": batch["cell"], "block": [md5(b).hexdigest() for b in out], "queries": out})
-
-    def run(batches):
-        floors: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for block, asked, data in zip(batch["block"], batch["queries"], batch["data"], strict=True):
-                ids, mine, floor = pickle.loads(asked)
-                best = Best(len(ids), k, floors.get(block, floor))
-                search(ids, mine, pickle.loads(data), best)
-                floors = {block: best.floor}  # rows come block by block
-                row, column = np.nonzero(best.found)
-                yield pd.DataFrame({"block": block, "query_id": ids[row], "vec_id": best.id[row, column], "score": best.score[row, column]})
+            yield batch[["dim", "cell", "chunk"]].assign(block=[md5(b).hexdigest() for b in out], data=out)
+
+    def met(shards: DataFrame, blocks: DataFrame, on: list[str], first: bool) -> DataFrame:
+        """(block, query_id, vec_id, score): the best of the shards that have the same `on` for each query, without the pairs of the first round unless this is it."""
+
+        def run(batches):
+            held, now = [], None
+            for batch in batches:
+                for key, block, place, part, data in zip(batch["key"], batch["block"], zip(batch["cell"], batch["chunk"], strict=True), batch["part"], batch["data"], strict=True):
+                    if key != now:
+                        held, now = [], key
+                    if part >= 0:
+                        held.append((place if part == 0 and not first else None, pickle.loads(data)))
+                        continue
+                    ids, mine, floor = pickle.loads(data)
+                    best = Best(len(ids), k, floor)
+                    for done, shard in held:
+                        if done != place:
+                            search(ids, mine, shard, best)
+                    row, column = np.nonzero(best.found)
+                    yield pd.DataFrame({"block": block, "query_id": ids[row], "vec_id": best.id[row, column], "score": best.score[row, column]})
+
+        key = F.concat_ws(":", *on).alias("key")
+        rows = shards.select(key, F.lit("").alias("block"), "cell", "chunk", "part", "data").unionByName(blocks.select(key, "block", "cell", "chunk", F.lit(-1).cast("bigint").alias("part"), "data"))
+        # Shards of a key first: no block is "".
+        return rows.repartition("key").sortWithinPartitions("key", "block").mapInPandas(run, "block string, query_id bigint, vec_id bigint, score bigint")
 
     def raised(batches):
         """Blocks whose queries know the kth score that their own cell gave."""
         for batch in batches:
             out = []
-            for asked, known, score in zip(batch["queries"], batch["ids"], batch["floors"], strict=True):
+            for asked, known, score in zip(batch["data"], batch["ids"], batch["floors"], strict=True):
                 ids, mine, floor = pickle.loads(asked)
                 if known is not None and len(known):
                     order = np.argsort(ids)
                     at = order[np.searchsorted(ids[order], np.array(known, np.int64))]
                     floor[at] = np.maximum(floor[at], np.array(score, np.int64))
                 out.append(pickle.dumps((ids, mine, floor), protocol=5))
-            yield batch.assign(queries=out)[["dim", "cell", "block", "queries"]]
+            yield batch.assign(data=out)[["dim", "cell", "chunk", "block", "data"]]
 
-    blocks = written(packed(celled(queries, ways, BLOCK), BLOCK, False).mapInPandas(seeded, "dim int, cell int, block string, queries binary"), "queries")
+    kind = "dim int, cell int, chunk bigint, block string, data binary"
+    blocks = written(packed(celled(queries, ways, BLOCK), BLOCK, False).mapInPandas(seeded, kind), "queries")
     shards = written(packed(celled(vectors, ways, SHARD), SHARD, True), "shards")
-    kind = "block string, query_id bigint, vec_id bigint, score bigint"
-    pair = lambda left, right, on: left.join(right, on).select("block", "queries", "data").sortWithinPartitions("block").mapInPandas(run, kind)
-    own = written(pair(blocks, shards, ["dim", "cell"]), "own")
+    own = written(met(shards.where("part = 0"), blocks, ["dim", "cell", "chunk"], True), "own")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     kth = own.withColumn("rank", rank).where(F.col("rank") == k).groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("score").alias("floors"))
-    second = blocks.join(kth, "block", "left").mapInPandas(raised, "dim int, cell int, block string, queries binary")
-    slots = max(1, -(-total // (SLOT * SHARD)))
-    second = second.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumnRenamed("cell", "own")
-    others = shards.withColumn("slot", F.pmod(F.hash("data"), F.lit(slots)))
-    found = own.unionByName(pair(second, others.where("n > 0"), (second["slot"] == others["slot"]) & (second["dim"] == others["dim"]) & (second["own"] != others["cell"])))
+    width = max([WIDTH, *arrays])
+    slots = max(1, -(-total * width // (SLOT * SHARD * WIDTH)), min(SLOTS, -(-total // SHARD)))
+    second = blocks.join(kth, "block", "left").mapInPandas(raised, kind).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+    others = shards.withColumn("slot", F.pmod(F.xxhash64("dim", "cell", "chunk", "part"), F.lit(slots)))
+    found = own.unionByName(met(others, second, ["slot", "dim"], False))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -408,6 +408,17 @@ def test_topk(spark, monkeypatch, shard, block):
     assert twice == 20
 
 
+def test_topk_broadcasts_no_vectors(spark, monkeypatch):
+    """Blocks meet shards without a join: packed vectors are many times their files, by whose size Spark would broadcast them."""
+    plans, kept = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, what: plans.update({what: df._jdf.queryExecution().executedPlan().toString()}) or kept(df, what))
+    monkeypatch.setattr(topk, "SHARD", 100)
+    df = spark.range(1000).selectExpr("id as vec_id", "transform(sequence(1, 8), i -> float(sin(id * i))) as embedding")
+    found = topk.report(df)
+    assert "Join" not in plans["own"] and found._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # the kth scores of blocks
+    assert found.count() == 50 * 20
+
+
 def test_topk_skips_shards(monkeypatch):
     monkeypatch.setattr(topk, "LEAF", 16)
     r = np.random.default_rng(1)
