@@ -33,8 +33,10 @@ def integrated(stakes: DataFrame, subjects: DataFrame | None = None, tolerance:
     if direct.limit(TOLD + 1).count() <= TOLD:
         ways = F.broadcast(ways)
     now = direct if subjects is None else direct.join(subjects.select("entity").distinct(), "entity", "left_semi")
-    now = now.select("entity", "owner", "share", F.col("share").alias("all")).repartition("entity")
+    now = now.select("entity", "owner", "share", F.col("share").alias("all"))
     for done in range(0, most, ROUNDS):
+        # A checkpoint forgets how its rows lie: dealt again, no round until the next one shuffles, where stakes are broadcast.
+        now = now.repartition("entity")
         for _ in range(min(ROUNDS, most - done)):
             added = F.sum(F.col("share") * F.col("_share"))
             now = now.join(ways, "owner").groupBy("entity", F.col("_next").alias("owner")).agg(added.alias("share"), (F.sum(F.col("all") * F.col("_stays")) + added).alias("all"))

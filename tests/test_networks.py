@@ -249,6 +249,14 @@ def test_linkage(spark):
     assert linkage.blocked(df.withColumn("k", F.lit(None).cast("int")), df.withColumn("k", F.lit(None).cast("int")), ["k"]).count() == 0
 
 
+def test_integrated_shuffles_once_between_checkpoints(spark):
+    stakes = spark.range(3000).selectExpr("id % 1000 as entity", "id * 7919 % 1000 as owner", "0.1 as share")
+    plans = []
+    influence.integrated(stakes, checkpoint=lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or queries.checkpoint(x))
+    rounds = plans[2:]  # after the stakes and the ways
+    assert len(rounds) > 1 and [p.count("Exchange hashpartitioning") for p in rounds] == [1] * len(rounds)
+
+
 def test_integrated_keeps_one_table(spark):
     """Rounds share checkpoints, and the table that each leaves holds the sums of all rounds before it."""
     r = random.Random(3)
