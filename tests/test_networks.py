@@ -339,3 +339,15 @@ def test_near_narratives_shuffle_no_set_before_it_is_kept(spark):
     found = narratives.clusters(spark.createDataFrame(rows, "key string, text string"), "key", "text", checkpoint=kept)
     assert sorted(map(tuple, found.collect())) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3)]
     assert "Exchange" not in plans[0]
+
+
+@pytest.mark.parametrize("told", [1_000_000, 0])
+def test_near_narratives_keep_sets_of_what_meets_only(spark, monkeypatch, told):
+    """Beyond TOLD items texts are found by a shuffle instead of a broadcast, with the same result."""
+    monkeypatch.setattr(narratives, "TOLD", told, raising=False)
+    kept = []
+    rows = [(f"k{i}", " ".join(f"w{i}x{j}" for j in range(40))) for i in range(60)]
+    rows += [("near", rows[7][1] + " more"), ("k7", "a text of its own under a key that is repeated")]
+    found = narratives.clusters(spark.createDataFrame(rows, "key string, text string"), "key", "text", checkpoint=lambda x: kept.append(queries.checkpoint(x)) or kept[-1])
+    assert sorted(map(tuple, found.collect())) == [("k7", "k7", 3), ("k7", "k7", 3), ("near", "k7", 3)]
+    assert all(x.count() <= 3 for x in kept if "grams" in x.columns)
